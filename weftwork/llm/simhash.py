@@ -67,6 +67,11 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >= 1 << (BITS - 1) else x
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ; numpy counts the bits of a negative number's absolute value, so count unsigned."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def bucket_links(fps: np.ndarray, distance: int = MAX_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Links that join the components of one bucket: at most one for each fingerprint.
 
@@ -78,7 +83,7 @@ def bucket_links(fps: np.ndarray, distance: int = MAX_DISTANCE) -> tuple[np.ndar
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             x = frontier.pop()
-            close = np.bitwise_count(x ^ rest) <= distance
+            close = differing(x, rest) <= distance
             if close.any():
                 found = rest[close]
                 a.append(np.full(len(found), x))
@@ -97,7 +102,7 @@ def links_of_sorted(choice: np.ndarray, key: np.ndarray, fp: np.ndarray, distanc
     fresh = np.flatnonzero((np.diff(choice, prepend=-1) != 0) | (np.diff(key, prepend=0) != 0) | (np.arange(len(fp)) == 0))
     sizes = np.diff(np.append(fresh, len(fp)))
     twos = fresh[sizes == 2]
-    twos = twos[np.bitwise_count(fp[twos] ^ fp[twos + 1]) <= distance]
+    twos = twos[differing(fp[twos], fp[twos + 1]) <= distance]
     found = [(choice[twos], fp[twos], fp[twos + 1])]
     for start, n in zip(fresh[sizes > 2], sizes[sizes > 2], strict=True):
         a, b = bucket_links(fp[start : start + n], distance)

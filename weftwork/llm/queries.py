@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftwork.llm import exactdedup, mixing, packing, sharding, simhash, urlfilter
+from weftwork.llm import exactdedup, mixing, packing, quality, secrets, sharding, simhash, urlfilter
 from weftwork.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,7 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_rules": lambda spark, d: quality.op1(documents(spark, d)),
         "op2_pack_sequences": lambda spark, d: packing.op2(documents(spark, d)),
+        "op4_secret_scan": lambda spark, d: secrets.op4(documents(spark, d)),
         "op5_exact_dedup": lambda spark, d: exactdedup.op5(spark, f"{d}/documents.parquet"),
         "op6_url_filter": lambda spark, d: urlfilter.op6(spark.read.parquet(f"{d}/pages.parquet")),
         "op7_mix_sources": lambda spark, d: mixing.op7(documents(spark, d)),
@@ -24,4 +26,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exactdedup.SQL, "op6_url_filter": urlfilter.SQL, "op7_mix_sources": mixing.SQL}
+    return {"op1_quality_rules": quality.SQL, "op5_exact_dedup": exactdedup.SQL, "op6_url_filter": urlfilter.SQL, "op7_mix_sources": mixing.SQL}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftwork.llm.common import cut, whole
+from weftwork.llm.common import cut, shared_path, whole
 from weftwork.llm.components import connected_components
 
 BITS = 64
@@ -46,14 +46,17 @@ def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED, step: int = 1
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (long) of each row; a null text has no words."""
-
+def simhash_udf(size: int = SHINGLE, seed: int = SEED):
     @F.pandas_udf(T.LongType())
     def simhash(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, size, seed) for t in texts], dtype="int64")
 
-    return docs.select(F.col(id_col).alias("doc_id"), simhash(whole(text_col)).alias("fp"))
+    return simhash
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id and fp (long) of each row; a null text has no words."""
+    return docs.select(F.col(id_col).alias("doc_id"), simhash_udf(size, seed)(whole(text_col)).alias("fp"))
 
 
 def block_masks(blocks: int = BLOCKS, distance: int = MAX_DISTANCE) -> list[int]:
@@ -167,14 +170,12 @@ def star_links(over: DataFrame, masks: list[int], distance: int = MAX_DISTANCE)
     return near.join(first, "point").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct()
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, blocks: int = BLOCKS, distance: int = MAX_DISTANCE, limit: int = BUCKET_LIMIT) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id that links reach).
+def classes_of(fps: DataFrame, blocks: int = BLOCKS, distance: int = MAX_DISTANCE, limit: int = BUCKET_LIMIT) -> DataFrame:
+    """``fps(doc_id, fp)`` with component_id; doc_id may be of any orderable type.
 
-    Equal fingerprints are one class from the start, so copies never meet in the link search. Texts without
-    words have fingerprint 0 and link like any other; null ids are kept and are nobody's smallest id; an empty
-    table gives an empty result.
+    Equal fingerprints are one class from the start, so copies never meet in the link search; then classes
+    are linked, and a component takes the smallest id of its classes.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, size))
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     linked = connected_components(block_links(classes.select("fp"), blocks, distance, limit))
     members = linked.join(classes, linked["node"] == classes["fp"]).select("fp", "label", "first_id")
@@ -184,6 +185,32 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return fps.join(component, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, **search: int) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the smallest doc_id that links reach).
+
+    Texts without words, null ones too, have fingerprint 0 and link like any other; null ids are kept and are
+    nobody's smallest id; repeated rows are in one class; an empty table gives an empty result.
+    """
+    return classes_of(cut(fingerprints(docs, id_col, text_col, size)), **search)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, **search: int) -> DataFrame:
+    """One row of each group stays, that of the smallest id; same columns, which may have any names.
+
+    Rows and their fingerprints are written to the shared folder first, with a number for each row, so that
+    rows that share an id are told apart. Only the dropped rows' numbers are joined away.
+    """
+    spark = docs.sparkSession
+    staged = shared_path(spark, "simhash-input")
+    record = docs.select(F.struct("*").alias("record"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    hashed = record.withColumn("fp", simhash_udf(size, SEED)(whole("text"))).drop("text")
+    hashed.withColumn("row", F.monotonically_increasing_id()).write.parquet(staged)
+    rows = spark.read.parquet(staged)
+    found = classes_of(rows.select(F.struct("doc_id", "row").alias("doc_id"), "fp"), **search)
+    dropped = cut(found.filter("doc_id <> component_id").select("doc_id.row"))
+    return rows.join(dropped, "row", "left_anti").select("record.*")
+
+
 def hex16(fp: str | Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 

@@ -54,3 +54,29 @@ def whole(text: str | Column) -> Column:
 def n_words(text: str | Column) -> Column:
     """Number of words of ``WORD``; null has none."""
     return F.coalesce(F.regexp_count(whole(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+SPANS = "array<struct<start:long,end:long,text:string>>"
+
+
+def running_spans(parts: Column, chunk: int = 64) -> Column:
+    """Spans (start, end, text) of parts (gap, n, m): each stands ``gap`` behind the one before it and is ``n`` long.
+
+    Offsets are running sums, taken in chunks and then over the chunks, so that very many parts take about
+    linear time.
+    """
+    zero, none = F.lit(0).cast("long"), F.array().cast(SPANS)
+
+    def place(done: Column, x: Column) -> Column:
+        begin = done["at"] + x["gap"]
+        span = F.struct(begin.alias("start"), (begin + x["n"]).alias("end"), x["m"].alias("text"))
+        return F.struct((begin + x["n"]).alias("at"), F.array_append(done["spans"], span).alias("spans"))
+
+    def follow(done: Column, x: Column) -> Column:
+        moved = F.transform(x["spans"], lambda s: F.struct((s["start"] + done["at"]).alias("start"), (s["end"] + done["at"]).alias("end"), s["text"].alias("text")))
+        return F.struct((done["at"] + x["at"]).alias("at"), F.array_append(done["spans"], moved).alias("spans"))
+
+    first = F.struct(zero.alias("at"), none.alias("spans"))
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(parts) - 1, F.lit(0)) / chunk).cast("int"))
+    chunks = F.transform(starts, lambda i: F.aggregate(F.slice(parts, i * chunk + 1, F.lit(chunk)), first, place))
+    return F.flatten(F.aggregate(chunks, F.struct(zero.alias("at"), F.array().cast(f"array<{SPANS}>").alias("spans")), follow)["spans"])

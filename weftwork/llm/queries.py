@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftwork.llm import exactdedup, mixing, packing, quality, secrets, sharding, simhash, urlfilter
+from weftwork.llm import chat, exactdedup, mixing, packing, quality, secrets, sharding, simhash, urlfilter
 from weftwork.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,11 @@ def queries() -> dict[str, Query]:
         "op5_exact_dedup": lambda spark, d: exactdedup.op5(spark, f"{d}/documents.parquet"),
         "op6_url_filter": lambda spark, d: urlfilter.op6(spark.read.parquet(f"{d}/pages.parquet")),
         "op7_mix_sources": lambda spark, d: mixing.op7(documents(spark, d)),
+        "op8_chat_format": lambda spark, d: chat.op8(spark.read.parquet(f"{d}/conversations.parquet")),
         "op9_simhash_classes": lambda spark, d: simhash.op9(documents(spark, d)),
         "op10_shard_shuffle": lambda spark, d: sharding.op10(documents(spark, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.SQL, "op5_exact_dedup": exactdedup.SQL, "op6_url_filter": urlfilter.SQL, "op7_mix_sources": mixing.SQL}
+    return {"op1_quality_rules": quality.SQL, "op5_exact_dedup": exactdedup.SQL, "op6_url_filter": urlfilter.SQL, "op7_mix_sources": mixing.SQL, "op8_chat_format": chat.SQL}

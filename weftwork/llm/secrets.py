@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import whole
+from weftwork.llm.common import SPANS, running_spans, whole
 
 #: Kind, pattern and what a match must also be. A match that fails is dropped, not looked into.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,39 +27,17 @@ ALLOWED = (
     r"(?i)abcdefghij|0123456789|1234567890|example|placeholder|x{6,}",
     r"^[A-Za-z]*(?:[-_/+=][A-Za-z]*|[-_/+=][0-9]{1,8})*$",
 )
-CHUNK = 64
-SPAN = "array<struct<start:long,end:long,text:string>>"
 
 
 def match_spans(text: Column, pattern: str) -> Column:
     """All matches of the pattern, leftmost and not overlapping, with code-point offsets (end exclusive).
 
     What stands between the matches comes from split(), the matches from regexp_extract_all(); offsets are
-    running sums of their lengths, in chunks, so that a text with very many matches takes linear time.
+    running sums of their lengths.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, gap: F.struct(F.length(gap).cast("long").alias("gap"), F.length(m).cast("long").alias("n"), m.alias("m")))
-    none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
-
-    def place(done: Column, x: Column) -> Column:
-        begin = done["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), (begin + x["n"]).alias("end"), x["m"].alias("text"))
-        return F.struct((begin + x["n"]).alias("at"), F.array_append(done["spans"], span).alias("spans"))
-
-    def chunked(all_parts: Column) -> Column:
-        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_parts) - 1) / CHUNK).cast("int")), lambda i: F.aggregate(F.slice(all_parts, i * CHUNK + 1, F.lit(CHUNK)), start, place))
-        moved = F.aggregate(
-            chunks,
-            F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans")),
-            lambda done, x: F.struct(
-                (done["at"] + x["at"]).alias("at"),
-                F.array_append(done["spans"], F.transform(x["spans"], lambda s: F.struct((s["start"] + done["at"]).alias("start"), (s["end"] + done["at"]).alias("end"), s["text"].alias("text")))).alias("spans"),
-            ),
-        )
-        return F.flatten(moved["spans"])
-
-    return F.when(text.rlike(pattern), chunked(parts)).otherwise(none)
+    return F.when(text.rlike(pattern), running_spans(parts)).otherwise(F.array().cast(SPANS))
 
 
 def flagged_part(text: Column, threshold: float, window: int = WINDOW) -> Column:

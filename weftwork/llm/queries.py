@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftwork.llm import chat, exactdedup, mixing, packing, quality, secrets, sharding, simhash, urlfilter
+from weftwork.llm import chat, cotraining, exactdedup, mixing, packing, quality, secrets, sharding, simhash, urlfilter
 from weftwork.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": lambda spark, d: quality.op1(documents(spark, d)),
         "op2_pack_sequences": lambda spark, d: packing.op2(documents(spark, d)),
+        "op3_cotrained_quality": lambda spark, d: cotraining.op3(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op4_secret_scan": lambda spark, d: secrets.op4(documents(spark, d)),
         "op5_exact_dedup": lambda spark, d: exactdedup.op5(spark, f"{d}/documents.parquet"),
         "op6_url_filter": lambda spark, d: urlfilter.op6(spark.read.parquet(f"{d}/pages.parquet")),

@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftwork.plans import retrieval_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+ALL = {**retrieval_queries.QUERIES}
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Hybrid retrieval of all passages over all documents."""
+    return retrieval_queries.hybrid_search(spark, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ def collapse(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used; for use inside other expressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def blank(c: Column) -> Column:
     return F.coalesce(strip(c), F.lit("")) == ""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftwork.functions.text import blank, first_filled, strip
+from weftwork.functions.text import blank, first_filled, let, strip
 
 MAX_CHUNK_CHARS, MAX_TABLE_ROWS, MAX_INTRO_CHARS = 7000, 40, 1400
 LEAST_CHARS = 1200  # no limit below this one holds
@@ -44,17 +44,20 @@ def split_line(line: Column, limit: int) -> Column:
 def split_text_blocks(text: Column, max_chars: int = MAX_CHUNK_CHARS - 300) -> Column:
     """Parts of at most ``max_chars`` (1,200 at least): packed paragraphs; longer ones by lines, longer lines by words."""
     limit = max(LEAST_CHARS, max_chars)
-    whole = strip(F.coalesce(text, F.lit("")))
-    blocks = F.filter(F.transform(F.split(whole, r"\n(?U)\s*\n"), strip), lambda b: b != "")
+
+    def by_line(lines: Column) -> Column:
+        return pack(F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > limit, split_line(x, limit)).otherwise(F.array(x)))), limit, "\n\n")
 
     def split_block(block: Column) -> Column:
-        lines = F.filter(F.split(block, r"\r\n|[\n\r\x0B\f\x1c-\x1e\u0085  ]"), lambda x: ~blank(x))
-        joined = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), "\n\n")
-        by_line = pack(F.flatten(F.transform(lines, lambda x: F.when(F.length(strip(x)) > limit, split_line(strip(x), limit)).otherwise(F.array(strip(x))))), limit, "\n\n")
-        return F.when(F.size(lines) <= 1, split_line(block, limit)).when(F.length(strip(joined)) <= limit, F.array(strip(joined))).otherwise(by_line)
+        lines = F.filter(F.transform(F.split(block, r"\r\n|[\n\r\x0B\f\x1c-\x1e\u0085\u2028\u2029]"), strip), lambda x: x != "")
+        return let(lines, lambda x: F.when(F.size(x) <= 1, split_line(block, limit)).otherwise(by_line(x)))
+
+    def split_whole(whole: Column) -> Column:
+        blocks = F.filter(F.transform(F.split(whole, r"\n(?U)\s*\n"), strip), lambda b: b != "")
+        return pack(F.flatten(F.transform(blocks, lambda b: F.when(F.length(b) > limit, split_block(b)).otherwise(F.array(b)))), limit, "\n\n")
 
-    parts = F.flatten(F.transform(blocks, lambda b: F.when(F.length(b) > limit, split_block(b)).otherwise(F.array(b))))
-    return F.when(whole == "", F.array().cast(STRINGS)).when(F.length(whole) <= limit, F.array(whole)).otherwise(pack(parts, limit, "\n\n"))
+    none = F.array().cast(STRINGS)
+    return let(strip(F.coalesce(text, F.lit(""))), lambda w: F.when(w == "", none).when(F.length(w) <= limit, F.array(w)).otherwise(split_whole(w)))
 
 
 def table_lines(headers: Column, rows: Column) -> Column:
@@ -105,8 +108,9 @@ def article_text(title: Column, fields: list[tuple[str, Column]], preview: Colum
 
 def intro_text(sections: Column, max_chars: int = MAX_INTRO_CHARS) -> Column:
     """The first filled section text, cut with dots."""
-    text = F.get(F.filter(F.transform(sections, lambda s: strip(F.coalesce(s["text"], F.lit("")))), lambda t: t != ""), F.lit(0))
-    return F.when(F.length(text) > max_chars, F.concat(F.regexp_replace(F.substring(text, 1, max_chars), r"(?U)\s+$", ""), F.lit("..."))).otherwise(F.coalesce(text, F.lit("")))
+    first = F.get(F.filter(F.transform(sections, lambda s: strip(F.coalesce(s["text"], F.lit("")))), lambda t: t != ""), F.lit(0))
+    cut = lambda text: F.when(F.length(text) > max_chars, F.concat(F.regexp_replace(F.substring(text, 1, max_chars), r"(?U)\s+$", ""), F.lit("..."))).otherwise(F.coalesce(text, F.lit("")))
+    return let(first, cut)
 
 
 def build_chunks(docs: DataFrame, max_chunk_chars: int = MAX_CHUNK_CHARS, max_table_rows: int = MAX_TABLE_ROWS, max_intro_chars: int = MAX_INTRO_CHARS) -> DataFrame:
@@ -134,7 +138,7 @@ def build_chunks(docs: DataFrame, max_chunk_chars: int = MAX_CHUNK_CHARS, max_ta
         path = F.array_join(strings(s["heading_path"]), " > ")
         lead = F.concat(F.lit("Article: "), F.col("title"), F.lit("\nSection: "), name, F.when(path != "", F.concat(F.lit("\nHeading path: "), path)).otherwise(""), F.lit("\n\n"))
         parts = F.when(~blank(s["section_id"]), split_text_blocks(s["text"], max_chunk_chars - 300)).otherwise(F.array().cast(STRINGS))
-        own = F.transform(parts, lambda p, i: unit("section", F.concat(lead, p), s["section_id"], F.when(F.size(parts) > 1, i + 1), s))
+        own = let(parts, lambda ps: F.transform(ps, lambda p, i: unit("section", F.concat(lead, p), s["section_id"], F.when(F.size(ps) > 1, i + 1), s)))
         tables = F.flatten(F.transform(F.coalesce(s["tables"], F.array()), lambda t: of_table(s, name, t)))
         formulae = F.transform(
             F.filter(F.coalesce(s["formulae"], F.array()), lambda f: ~blank(f["expression"])),
@@ -144,7 +148,7 @@ def build_chunks(docs: DataFrame, max_chunk_chars: int = MAX_CHUNK_CHARS, max_ta
 
     def of_table(s: Column, name: Column, t: Column) -> Column:
         parts = table_parts(F.col("title"), name, strings(t["headers"]), t["rows"], max_table_rows, max_chunk_chars)
-        return F.transform(parts, lambda p, i: unit("table", p, s["section_id"], F.when(F.size(parts) > 1, i + 1), s))
+        return let(parts, lambda ps: F.transform(ps, lambda p, i: unit("table", p, s["section_id"], F.when(F.size(ps) > 1, i + 1), s)))
 
     sections = F.flatten(F.transform(F.coalesce(F.col("sections"), F.array()), of_section))
     cited = F.filter(F.coalesce(F.col("citations"), F.array()), lambda c: ~blank(c["citation_id"]) & ~blank(c["text"]))

@@ -46,6 +46,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a table that is broadcast, at most; the tables concerned have rows of at most about 200 bytes.
+BROADCAST_ROWS = 100_000
+
+
+def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` rows, which are counted; a larger one is shuffled.
+
+    The other side then stays where it is. ``df`` should be cut, so that counting it costs little.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def whole(text: str | Column) -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import checkpoint_root, cut, shared_path, whole
+from weftwork.llm.common import checkpoint_root, cut, if_small, shared_path, whole
 
 #: Input that one micro-batch reads at most.
 MAX_BYTES_PER_TRIGGER = 1 << 40
@@ -15,7 +15,7 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no disk ahead of need
 }
@@ -81,7 +81,7 @@ def exact_duplicates(spark: SparkSession, path: str, id_col: str = "doc_id", tex
 
     rows = keyed(spark.read.parquet(path), id_col, text_col, digest)
     single = state.filter("n = 1").select(F.col("keep_id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), F.lit(True).alias("kept"), "digest", F.col("keep_file").alias("file"), F.col("keep_row").alias("row"))
-    hits = rows.join(state.filter("n > 1"), "digest")
+    hits = rows.join(if_small(state.filter("n > 1")), "digest")
     stays = (F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))
     content = hits.filter(stays).select(F.col("digest").alias("_digest"), F.col("text").alias("_text"))
     same = F.coalesce(F.col("text") == F.col("_text"), F.lit(False))
@@ -114,7 +114,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     dropped = cut(exact_duplicates(spark, staged).filter("not kept").select("file", "row"))
     rows = spark.read.parquet(staged)
     at = rows.metadataColumn("_metadata")
-    return rows.select("record", at["file_path"].alias("file"), at["row_index"].alias("row")).join(dropped, ["file", "row"], "left_anti").select("record.*")
+    return rows.select("record", at["file_path"].alias("file"), at["row_index"].alias("row")).join(if_small(dropped), ["file", "row"], "left_anti").select("record.*")
 
 
 def op5(spark: SparkSession, path: str) -> DataFrame:

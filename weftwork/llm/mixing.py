@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import cut, n_words
+from weftwork.llm.common import cut, if_small, n_words
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -55,10 +55,10 @@ def repeats(rows: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int
     """``rows(source, size, key, ...)`` with source_size, target and copies.
 
     copies is floor(rate) plus one Bernoulli copy of the rate's fraction, with rate = target / source_size.
-    The join is planned by the measured size of ``targets``: small, it is broadcast at run time; beyond that
-    both sides are shuffled and a hot source's partition is split.
+    ``targets`` has a row per source: it is counted, and broadcast if it is small; beyond that both sides are
+    shuffled and a hot source's partition is split.
     """
-    t = targets.select(F.col("source").alias("_source"), F.col("source_size"), F.col("target"))
+    t = if_small(cut(targets)).select(F.col("source").alias("_source"), F.col("source_size"), F.col("target"))
     joined = rows.join(t, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     extra = (seeded_uniform(F.col(key), seed) < rate - F.floor(rate)).cast("long")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import cut, whole
+from weftwork.llm.common import cut, if_small, whole
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -152,9 +152,9 @@ def judged(rows: DataFrame, references: DataFrame, lang_col: str = "lang") -> Da
     """``rows`` with counts, as ``counted`` gives them, and char_distance, word_distance, base_failed, kept.
 
     A text under the guards, or of a language without a reference, is judged by the base rules alone. The
-    references have a row per language; they are broadcast if they turn out small.
+    references have a row per language; they are counted and broadcast if they are few.
     """
-    joined = rows.join(references, F.col(lang_col).cast("string").eqNullSafe(F.col("ref_lang")), "left")
+    joined = rows.join(if_small(references), F.col(lang_col).cast("string").eqNullSafe(F.col("ref_lang")), "left")
     both = lambda bins: js_distance(F.array(*[f"counts.{c}" for c in bins]), F.array(*[f"reference.{c}" for c in bins]))
     measured = joined.withColumn("char_distance", F.round(both(CHAR_BINS), 6)).withColumn("word_distance", F.round(both(WORD_BINS), 6))
     far = (F.col("char_distance") > MAX_CHAR_DISTANCE) | (F.col("word_distance") > MAX_WORD_DISTANCE)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftwork.llm.common import cut, shared_path, whole
+from weftwork.llm.common import cut, if_small, shared_path, whole
 from weftwork.llm.components import connected_components
 
 BITS = 64
@@ -194,23 +194,6 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return classes_of(cut(fingerprints(docs, id_col, text_col, size)), **search)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, **search: int) -> DataFrame:
-    """One row of each group stays, that of the smallest id; same columns, which may have any names.
-
-    Rows and their fingerprints are written to the shared folder first, with a number for each row, so that
-    rows that share an id are told apart. Only the dropped rows' numbers are joined away.
-    """
-    spark = docs.sparkSession
-    staged = shared_path(spark, "simhash-input")
-    record = docs.select(F.struct("*").alias("record"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    hashed = record.withColumn("fp", simhash_udf(size, SEED)(whole("text"))).drop("text")
-    hashed.withColumn("row", F.monotonically_increasing_id()).write.parquet(staged)
-    rows = spark.read.parquet(staged)
-    found = classes_of(rows.select(F.struct("doc_id", "row").alias("doc_id"), "fp"), **search)
-    dropped = cut(found.filter("doc_id <> component_id").select("doc_id.row"))
-    return rows.join(dropped, "row", "left_anti").select("record.*")
-
-
 def hex16(fp: str | Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 

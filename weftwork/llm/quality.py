@@ -19,6 +19,8 @@ SYMBOLS = "#*$%&|<>"
 #: A text's histograms are compared from these lengths on; shorter ones say too little.
 GUARD_CHARS = 200
 GUARD_WORDS = 50
+#: A document's share in a bin of its language's reference counts in these parts of one, so that sums are whole.
+SHARE_UNITS = 1_000_000
 #: Jensen-Shannon distances (square root of the divergence, base 2) above which a text is rejected.
 MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.45
@@ -129,23 +131,24 @@ def long_enough(counts: str = "counts") -> Column:
 
 
 def fit_references(rows: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """One row per language of ``rows``, with their counts: ref_lang and a struct of summed histograms.
+    """One row per language of ``rows``, with their counts: ref_lang and a struct of the documents' mean histograms, summed.
 
-    All texts that pass the base rules and the guards count. Sums of whole numbers, combined before the
-    shuffle: the same for any order of the rows.
+    All texts that pass the base rules and the guards count, each with its shares: a very long text weighs as
+    much as any other. Sums of whole numbers, combined before the shuffle: the same for any order of the rows.
     """
     good = rows.filter(~base_failed() & long_enough())
-    sums = [F.sum(f"counts.{c}").alias(c) for c in [*CHAR_BINS, *WORD_BINS]]
+    total = {c: F.nullif(reduce(lambda a, b: a + b, [F.col(f"counts.{x}") for x in bins]), F.lit(0)) for bins in (CHAR_BINS, WORD_BINS) for c in bins}
+    sums = [F.sum(F.floor(F.col(f"counts.{c}") * SHARE_UNITS / n)).alias(c) for c, n in total.items()]
     return good.groupBy(F.col(lang_col).cast("string").alias("ref_lang")).agg(*sums).select("ref_lang", F.struct(*CHAR_BINS, *WORD_BINS).alias("reference"))
 
 
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two histograms, arrays of one length, in [0, 1]; null where one is empty."""
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    share = lambda a: F.get(F.transform(F.array(F.nullif(total(a), F.lit(0))), lambda t: F.transform(a, lambda v: v / t)), F.lit(0))
+    share = lambda a: F.get(F.transform(F.array(total(a)), lambda t: F.when(t > 0, F.transform(a, lambda v: v / t))), F.lit(0))
     part = lambda a, b: F.when(a > 0, a * F.log2(a * 2 / (a + b))).otherwise(F.lit(0.0))
     divergence = F.aggregate(F.zip_with(share(p), share(q), lambda a, b: part(a, b) + part(b, a)), F.lit(0.0), lambda s, x: s + x) / 2
-    return F.sqrt(F.greatest(divergence, F.lit(0.0)))
+    return F.sqrt(F.when(divergence > 0, divergence).when(divergence.isNotNull(), 0.0))
 
 
 def judged(rows: DataFrame, references: DataFrame, lang_col: str = "lang") -> DataFrame:
@@ -199,7 +202,7 @@ def _sql() -> str:
         f"(CASE WHEN {p}[i] > 0 THEN {p}[i] / list_sum({p}) * log2({p}[i] / list_sum({p}) * 2 / ({p}[i] / list_sum({p}) + {q}[i] / list_sum({q}))) ELSE 0 END)"
         f" + (CASE WHEN {q}[i] > 0 THEN {q}[i] / list_sum({q}) * log2({q}[i] / list_sum({q}) * 2 / ({q}[i] / list_sum({q}) + {p}[i] / list_sum({p}))) ELSE 0 END))) / 2, 0)), 6) END"
     )
-    sums = lambda name, n: "[" + ", ".join(f"sum({name}[{i + 1}])::DOUBLE" for i in range(n)) + "]"
+    sums = lambda name, n: "[" + ", ".join(f"sum({name}[{i + 1}] * {SHARE_UNITS} // list_sum({name}))::DOUBLE" for i in range(n)) + "]"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, lang FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,

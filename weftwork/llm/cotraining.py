@@ -200,7 +200,8 @@ def confident_rows(docs: DataFrame, model: Model, known: list[str], exchanged: i
         for rows in kept.values():
             yield rows[["doc_id", "kind", "p", "content", "text_at", "text_by", "meta_at"]]
 
-    found = cut(others.mapInPandas(best, f"doc_id string, kind int, p double, content long, {FEATURES}")).dropDuplicates(["kind", "content"])
+    each = cut(others.mapInPandas(best, f"doc_id string, kind int, p double, content long, {FEATURES}"))
+    found = each.groupBy("kind", "content").agg(F.min_by(F.struct("*"), F.struct(-F.col("p"), F.col("doc_id"))).alias("row")).select("row.*")
     tops = [found.filter(F.col("kind") == k).orderBy(F.desc("p"), "doc_id").limit(exchanged) for k in range(4)]
     return tops[0].union(tops[1]).union(tops[2]).union(tops[3]).toPandas()
 

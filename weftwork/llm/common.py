@@ -92,3 +92,13 @@ def running_spans(parts: Column, chunk: int = 64) -> Column:
     starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(parts) - 1, F.lit(0)) / chunk).cast("int"))
     chunks = F.transform(starts, lambda i: F.aggregate(F.slice(parts, i * chunk + 1, F.lit(chunk)), first, place))
     return F.flatten(F.aggregate(chunks, F.struct(zero.alias("at"), F.array().cast(f"array<{SPANS}>").alias("spans")), follow)["spans"])
+#: Bytes of one Arrow batch: whole texts go to Python workers, so a number of rows alone bounds nothing.
+BATCH_BYTES = 4 << 20
+
+
+def texts_for_python(rows: DataFrame) -> DataFrame:
+    """``rows``, in a session whose Arrow batches are small: a worker holds few texts at a time."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows
+
+

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import cut, whole
+from weftwork.llm.common import cut, texts_for_python, whole
 from weftwork.llm.quality import CLASSES, class_table, lookup_table
 
 #: Labelled rows that the views are fitted on, at most; chosen by a hash of their ids.
@@ -156,7 +156,7 @@ def fit(labelled: pd.DataFrame, for_text: pd.DataFrame, for_meta: pd.DataFrame)
 
 def inputs(docs: DataFrame) -> DataFrame:
     """The columns that the views read; ids travel as strings, which keep null and value apart for every type."""
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), whole("text").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars"))
+    return texts_for_python(docs).select(F.col("doc_id").cast("string").alias("doc_id"), whole("text").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars"))
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> pd.DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import cut, whole
+from weftwork.llm.common import cut, texts_for_python, whole
 
 CAPACITY = 1024
 END_ID = 2
@@ -83,7 +83,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     # ids travel as they came, null too: as a string they keep null and value apart for every type
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), whole(text_col).alias("text"))
-    return rows.mapInPandas(pieces, schema.replace(f"doc_id {kind}", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast(kind))
+    return texts_for_python(rows).mapInPandas(pieces, schema.replace(f"doc_id {kind}", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:

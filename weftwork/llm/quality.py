@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import cut, if_small, whole
+from weftwork.llm.common import cut, if_small, texts_for_python, whole
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -117,7 +117,7 @@ def counted(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", nam
         tables = class_table(), lookup_table(), {k: [w.encode() for w in v] for k, v in COMMON_WORDS.items()}
         return pd.DataFrame([text_counts(t, g, *tables) for t, g in zip(texts, langs, strict=True)], columns=columns)
 
-    return rows.withColumn(name, count(whole(text_col), F.col(lang_col)))
+    return texts_for_python(rows).withColumn(name, count(whole(text_col), F.col(lang_col)))
 
 
 def base_failed(counts: str = "counts") -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftwork.llm.common import cut, if_small, shared_path, whole
+from weftwork.llm.common import cut, texts_for_python, whole
 from weftwork.llm.components import connected_components
 
 BITS = 64
@@ -56,7 +56,7 @@ def simhash_udf(size: int = SHINGLE, seed: int = SEED):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id and fp (long) of each row; a null text has no words."""
-    return docs.select(F.col(id_col).alias("doc_id"), simhash_udf(size, seed)(whole(text_col)).alias("fp"))
+    return texts_for_python(docs).select(F.col(id_col).alias("doc_id"), simhash_udf(size, seed)(whole(text_col)).alias("fp"))
 
 
 def block_masks(blocks: int = BLOCKS, distance: int = MAX_DISTANCE) -> list[int]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs`` as record (a struct), with its locator: the file that it is in, and its number there.
+
+    Where ``docs`` is read from files, and no two rows come from one place, that is the rows' own place and
+    nothing is written. Any other table (joined, made up, with exploded rows) is written to the shared folder
+    first. Either way a row has one locator however often it is computed.
+    """
+
+    def placed(rows: DataFrame, record: Column) -> DataFrame:
+        at = rows.metadataColumn("_metadata")
+        return rows.select(record.alias("record"), at["file_path"].alias("file"), at["row_index"].alias("row"))
+
+    try:
+        rows = placed(docs, F.struct("*"))
+    except AnalysisException:  # it has no files
+        rows = None
+    if rows is not None and rows.groupBy("file", "row").count().filter("file is null or row is null or count > 1").isEmpty():
+        return rows
+    staged = shared_path(docs.sparkSession, "rows")
+    docs.select(F.struct("*").alias("record")).write.parquet(staged)
+    return placed(docs.sparkSession.read.parquet(staged), F.col("record"))
+
+
 #: Rows of a table that is broadcast, at most; the tables concerned have rows of at most about 200 bytes.
 BROADCAST_ROWS = 100_000
 
@@ -68,6 +98,16 @@ def n_words(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(whole(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Bytes of one Arrow batch: whole texts go to Python workers, so a number of rows alone bounds nothing.
+BATCH_BYTES = 4 << 20
+
+
+def texts_for_python(rows: DataFrame) -> DataFrame:
+    """``rows``, in a session whose Arrow batches are small: a worker holds few texts at a time."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows
+
+
 SPANS = "array<struct<start:long,end:long,text:string>>"
 
 
@@ -92,13 +132,3 @@ def running_spans(parts: Column, chunk: int = 64) -> Column:
     starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(parts) - 1, F.lit(0)) / chunk).cast("int"))
     chunks = F.transform(starts, lambda i: F.aggregate(F.slice(parts, i * chunk + 1, F.lit(chunk)), first, place))
     return F.flatten(F.aggregate(chunks, F.struct(zero.alias("at"), F.array().cast(f"array<{SPANS}>").alias("spans")), follow)["spans"])
-#: Bytes of one Arrow batch: whole texts go to Python workers, so a number of rows alone bounds nothing.
-BATCH_BYTES = 4 << 20
-
-
-def texts_for_python(rows: DataFrame) -> DataFrame:
-    """``rows``, in a session whose Arrow batches are small: a worker holds few texts at a time."""
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return rows
-
-

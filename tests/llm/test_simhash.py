@@ -103,6 +103,20 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (102, 100), (7, 7), (200, 200)]
     labels = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert labels == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
+    assert connected_components(spark.createDataFrame([(5, 5)], "a long, b long")).collect() == []
+
+
+def test_components_of_any_graph(spark):
+    rng = random.Random(11)
+    for n, links in ((400, 250), (400, 700), (60, 59)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(links)] + [(n - 1, i) for i in range(0, 30, 2)]
+        roots = components(n, edges)
+        least: dict[int, int] = {}
+        for i, r in enumerate(roots):
+            least.setdefault(r, i)
+        linked = {x for a, b in edges if a != b for x in (a, b)}
+        labels = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert labels == {i: least[roots[i]] for i in linked}
 
 
 def test_odd_tables(spark):

@@ -1,29 +1,60 @@
-"""Connected components of an edge table, by joins and pre-aggregated minima."""
+"""Connected components of an edge table, by hooking and contraction."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.llm.common import cut
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``edges(a, b)`` -> one row per node: node, label (the smallest node that it reaches).
+def to_roots(hooks: DataFrame) -> DataFrame:
+    """``hooks(node, to)``, each to a smaller node, with the end of each path instead of its first step.
 
-    Every round each node takes the smallest label among its neighbours (a groupBy with partial minima, so a
-    hub's neighbours are combined before the shuffle) and then its label's label, which halves the paths.
-    Each round is cut into the shared folder; it ends when no label changes. Nothing but one count reaches
-    the driver.
+    Paths halve in each round; a round more finds that none is left.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        target = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        jumped = cut(lower.join(target, "label").select("node", "old", F.least("label", "further").alias("label")))
-        changed = jumped.filter("label <> old").limit(1).count()
-        labels = jumped.select("node", "label")
-        if not changed:
-            return labels
+        up = hooks.select(F.col("node").alias("to"), F.col("to").alias("_up"))
+        jumped = cut(hooks.join(up, "to", "left").select("node", F.coalesce("_up", "to").alias("to"), F.col("_up").isNotNull().alias("moved")))
+        hooks = jumped.select("node", "to")
+        if jumped.filter("moved").isEmpty():
+            return hooks
+
+
+def contracted(links: DataFrame, hooks: DataFrame) -> DataFrame:
+    """Links between the roots of what ``hooks`` has put together; those within one are gone, repeats too."""
+    at = lambda c: hooks.select(F.col("node").alias(c), F.col("to").alias(f"_{c}"))
+    moved = links.join(at("b"), "b", "left").join(at("a"), "a", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    return ordered(moved)
+
+
+def ordered(links: DataFrame) -> DataFrame:
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``edges(a, b)`` -> one row per node that is linked to another: node, label (the smallest node that it reaches).
+
+    Every round each node hooks to its smallest neighbour that is smaller than itself (a groupBy with partial
+    minima, so a hub's links are combined before the shuffle), paths are followed to their roots, and the links
+    are carried over to the roots, where most become one or none: a star is gone after one round, and each round
+    works on what the last has left. All steps are cut into the shared folder; nothing but whether a table is
+    empty reaches the driver.
+    """
+    links, rounds = cut(ordered(edges)), []
+    while not links.isEmpty():
+        rounds.append(to_roots(cut(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")))))
+        links = cut(contracted(links, rounds[-1]))
+    if not rounds:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+
+    def earlier(later: DataFrame, hooks: DataFrame) -> DataFrame:
+        """What one round has hooked, with the labels that the rounds after it gave its roots."""
+        given = later.select(F.col("node").alias("to"), F.col("label").alias("_label"))
+        return hooks.join(given, "to", "left").select("node", F.coalesce("_label", "to").alias("label")).union(later)
+
+    *first, last = rounds
+    labels = cut(reduce(earlier, reversed(first), last.select("node", F.col("to").alias("label"))))
+    return labels.union(labels.select(F.col("label").alias("node"), "label").distinct())

@@ -117,7 +117,8 @@ def counted(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", nam
         tables = class_table(), lookup_table(), {k: [w.encode() for w in v] for k, v in COMMON_WORDS.items()}
         return pd.DataFrame([text_counts(t, g, *tables) for t, g in zip(texts, langs, strict=True)], columns=columns)
 
-    return texts_for_python(rows).withColumn(name, count(whole(text_col), F.col(lang_col)))
+    once = count.asNondeterministic()  # else filters and joins above would each count the text anew
+    return texts_for_python(rows).withColumn(name, once(whole(text_col), F.col(lang_col)))
 
 
 def base_failed(counts: str = "counts") -> Column:

@@ -40,12 +40,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Every round each node hooks to its smallest neighbour that is smaller than itself (a groupBy with partial
     minima, so a hub's links are combined before the shuffle), paths are followed to their roots, and the links
     are carried over to the roots, where most become one or none: a star is gone after one round, and each round
-    works on what the last has left. All steps are cut into the shared folder; nothing but whether a table is
+    works on what the last has left. Links and hooks are cut into the shared folder; nothing but whether a table is
     empty reaches the driver.
     """
     links, rounds = cut(ordered(edges)), []
     while not links.isEmpty():
-        rounds.append(to_roots(cut(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")))))
+        rounds.append(to_roots(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))))
         links = cut(contracted(links, rounds[-1]))
     if not rounds:
         return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
@@ -56,5 +56,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return hooks.join(given, "to", "left").select("node", F.coalesce("_label", "to").alias("label")).union(later)
 
     *first, last = rounds
-    labels = cut(reduce(earlier, reversed(first), last.select("node", F.col("to").alias("label"))))
+    labels = reduce(earlier, reversed(first), last.select("node", F.col("to").alias("label")))
     return labels.union(labels.select(F.col("label").alias("node"), "label").distinct())

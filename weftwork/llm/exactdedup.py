@@ -17,6 +17,7 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # a store is closed soon after its stream has ended
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no disk ahead of need
 }
 
@@ -124,7 +125,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keys.drop("text").write.parquet(staged)
     state = streamed_state(spark, staged, lambda read: read, **options)
     delete(spark, staged)
-    dropped = cut(groups_of(keys, state).filter("not kept").select("file", "row"))
+    dropped = groups_of(keys, state).filter("not kept").select("file", "row")
     return rows.join(if_small(dropped), ["file", "row"], "left_anti").select("record.*")
 
 

@@ -1,10 +1,10 @@
-"""SimHash near-dedup of texts that are similar rather than almost equal: wider fingerprints, more blocks.
+"""Near-dedup of texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
 
-Texts that share four fifths of their shingles differ in about 15 % of their fingerprints' bits, too many for a
-64-bit fingerprint to tell from chance and too many for few blocks. Here a fingerprint has 256 bits; it is cut
-into 16 blocks of 16 bits in four arrangements; texts that share a block meet and their Hamming distance is
-verified. Texts at a similarity of 0.8 share one of the 64 blocks with a probability over 0.99. The distance, not
-a guarantee of a common block, decides what a link is: the tests measure recall.
+Fingerprints only pick candidates: each distinct shingle counts once in a fingerprint of 256 bits, which is cut into
+17 blocks of 15 bits in four arrangements; texts that share a block meet, and those within a distance become one group
+of candidates. By calculation a pair at 0.8 shares a block with a probability over 0.99 and is within the distance
+with one over 0.999. Every link is then verified on the shingle sets of its two texts: within a group of candidates all
+pairs are, as far as they may still join what no other link has joined. The tests measure recall.
 """
 
 from __future__ import annotations
@@ -23,16 +23,23 @@ from weftwork.llm.components import connected_components
 LANES, SHINGLE, SEED = 4, 5, 42
 BITS = 64 * LANES
 #: Differing bits of 256: texts with a Jaccard similarity of 0.8 differ in 39 on average (deviation 6), of 0.6 in
-#: 59 (deviation 7), unrelated ones in 115 or more.
-MAX_DISTANCE = 50
+#: 59 (deviation 7), unrelated ones in 115 or more. Candidates only, so wide of what is looked for.
+MAX_DISTANCE = 60
+#: The Jaccard similarity of a link, as a fraction.
+SIMILARITY = (4, 5)
+#: Shingles of one part of a group of candidates, about; a task holds two parts at most (8 bytes a shingle).
+PART_SHINGLES = 1 << 20
+#: Members of a group of several parts that every part holds, about.
+PIVOTS = 16
 #: Fingerprints of one bucket that a task holds; of a larger bucket, parts of this size are walked one by one,
 #: joined by what they have in common with the parts' first members. 32 bytes each.
 BUCKET_LIMIT = 1 << 18
-BLOCK_BITS = 16
+BLOCK_BITS = 15
+BLOCKS = BITS // BLOCK_BITS
 #: Orders in which the bits are cut into blocks: as they are, across, and two by hashes of their numbers.
 ORDERS = np.array([
-    [*range(BITS)], [j * BLOCK_BITS + i for i in range(BITS // BLOCK_BITS) for j in range(BITS // BLOCK_BITS)],
-    *(sorted(range(BITS), key=lambda i, s=s: xxhash.xxh64_intdigest(str(i), s)) for s in (1, 2)),
+    range(BLOCKS * BLOCK_BITS), [j * BLOCKS + i for i in range(BLOCKS) for j in range(BLOCK_BITS)],
+    *(sorted(range(BITS), key=lambda i, s=s: xxhash.xxh64_intdigest(str(i), s))[: BLOCKS * BLOCK_BITS] for s in (1, 2)),
 ])
 
 
@@ -47,25 +54,31 @@ def lanes(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def wide_fingerprint(text: str, size: int = SHINGLE, seed: int = SEED, step: int = 1 << 14) -> bytes:
-    """256-bit SimHash of the word shingles: 32 bytes; texts without words give zeros."""
+def shingle_set(text: str, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of the distinct word shingles, in order; fewer words than a shingle has make one, no words none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return bytes(BITS // 8)
-    total = max(1, len(words) - size + 1)
+        return np.array([], dtype="<u8")
+    shingles = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), dtype="<u8"))
+
+
+def fingerprint_of(shingles: np.ndarray, step: int = 1 << 14) -> bytes:
     ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, total, step):
-        part = words[at : at + step + size - 1]
-        shingles = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*(part[i:] for i in range(size)), strict=False))
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), dtype="<u8")
-        ones += np.unpackbits(lanes(hashes).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > total, bitorder="little").tobytes()
+    for at in range(0, len(shingles), step):
+        ones += np.unpackbits(lanes(shingles[at : at + step]).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(shingles), bitorder="little").tobytes()
+
+
+def wide_fingerprint(text: str, size: int = SHINGLE, seed: int = SEED, step: int = 1 << 14) -> bytes:
+    """256-bit SimHash of the distinct word shingles: 32 bytes; texts without words give zeros."""
+    return fingerprint_of(shingle_set(text, size, seed), step)
 
 
 def block_keys(fp: bytes) -> list[int]:
     """Keys of all blocks in all orders: the block's number and its bits."""
-    bits = np.unpackbits(np.frombuffer(fp, dtype=np.uint8), bitorder="little")[ORDERS]
-    blocks = np.packbits(bits.reshape(-1, BLOCK_BITS), axis=1, bitorder="little").view("<u2").ravel()
+    bits = np.unpackbits(np.frombuffer(fp, dtype=np.uint8), bitorder="little")[ORDERS].reshape(-1, BLOCK_BITS)
+    blocks = np.packbits(np.pad(bits, ((0, 0), (0, 16 - BLOCK_BITS))), axis=1, bitorder="little").view("<u2").ravel()
     return (blocks.astype(np.int32) | np.arange(len(blocks), dtype=np.int32) << BLOCK_BITS).tolist()
 
 
@@ -138,31 +151,130 @@ def similar_links(rows: DataFrame, distance: int = MAX_DISTANCE, limit: int = BU
     return dealt.mapInPandas(walk, "a long, b long")
 
 
+def verified_forest(ids: np.ndarray, sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the components of all pairs whose sets are similar, fewer than there are sets.
+
+    A breadth-first walk compares the set that it has reached with all that nothing has reached yet; an empty
+    set is like no other.
+    """
+    some = np.array([len(x) > 0 for x in sets], dtype=bool)
+    ids, sets, (p, q), a, b = ids[some], [x for x in sets if len(x)], similarity, [], []
+    if len(ids) < 2:
+        return ids[:0], ids[:0]
+    sizes = np.array([len(x) for x in sets])
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    held, marks = np.split(flat, np.cumsum(sizes)[:-1]), np.zeros(len(names), dtype=np.uint8)
+    rest = np.arange(len(ids))
+    while len(rest):
+        frontier, rest, flat = [rest[0]], rest[1:], flat[sizes[rest[0]] :]
+        while frontier and len(rest):
+            x = frontier.pop()
+            marks[held[x]] = 1
+            both = np.add.reduceat(marks[flat], np.cumsum(sizes[rest]) - sizes[rest], dtype=np.int64)
+            marks[held[x]] = 0
+            close = both * q >= (sizes[rest] + sizes[x] - both) * p
+            if close.any():
+                found = rest[close]
+                a.append(np.full(len(found), ids[x]))
+                b.append(ids[found])
+                frontier.extend(found)
+                flat, rest = flat[np.repeat(~close, sizes[rest])], rest[~close]
+    return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+
+
+def links_of_groups(dealt: DataFrame) -> DataFrame:
+    """Verified links (a, b) of rows (label, i, j, node, shingles), each group (label, i, j) in one task."""
+
+    def forest(held: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(held).drop_duplicates("node")
+        a, b = verified_forest(rows["node"].to_numpy("int64"), [np.frombuffer(x, dtype="<u8") for x in rows["shingles"]])
+        return pd.DataFrame({"a": a, "b": b})
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, at = [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            names = batch[["label", "i", "j"]].to_numpy("int64")
+            edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            for start, end in zip(edges, edges[1:], strict=False):
+                group = tuple(names[start])
+                if held and group != at:
+                    yield forest(held)
+                    held = []
+                at = group
+                held.append(batch.iloc[start:end])
+        if held:
+            yield forest(held)
+
+    return dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "node").select("label", "i", "j", "node", "shingles").mapInPandas(walk, "a long, b long")
+
+
+def verified_links(members: DataFrame, part_shingles: int = PART_SHINGLES) -> DataFrame:
+    """Links that join what all similar pairs within a group join; ``members(node, label, shingles)`` is cut.
+
+    A group that is too large for a task is dealt into parts by a hash. Each part is walked together with a few members
+    that all parts hold; then what the group's largest component has not taken is compared with the whole group,
+    part by part as separate tasks: pairs within that component need no link, and all others meet.
+    """
+    size = F.length("shingles") / 8
+    groups = members.groupBy("label").agg(F.ceil(F.sum(size) / part_shingles).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"))
+    groups = cut(groups.select("label", F.greatest("parts", F.lit(1)).alias("parts"), "n"))
+    spread = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+    placed = members.join(if_small(groups), "label").withColumn("part", spread(1, F.col("parts")))
+    pivot = (F.col("parts") > 1) & (spread(2, F.greatest(F.lit(1), F.floor(F.col("n") / PIVOTS))) == 0)
+    parts = F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+    found = cut(links_of_groups(placed.select("label", F.explode(parts).alias("i"), F.lit(0).alias("j"), "node", "shingles")))
+    large = groups.filter("parts > 1")
+    if large.isEmpty():
+        return found
+    # of the groups in parts: the component that each member is in, the group's largest, and what is not in it
+    joined = connected_components(found).withColumnRenamed("label", "joined")
+    at = cut(placed.filter("parts > 1").select("node", "label", "part", "parts", size.alias("size")).join(joined, "node", "left").withColumn("joined", F.coalesce("joined", "node")))
+    main = at.groupBy("label", "joined").count().groupBy("label").agg(F.max_by("joined", F.struct("count", "joined")).alias("main"))
+    left = cut(at.join(main, "label").filter("joined <> main").select("node", "label", "part", "parts", "size"))
+    against = cut(left.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / part_shingles)).cast("int").alias("lefts")))
+    whole_group = at.select("node", "label", "part").join(against, "label").select("node", "label", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.col("part").alias("j"))
+    others = left.join(against, "label").select("node", "label", spread(3, F.col("lefts")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
+    return found.union(links_of_groups(whole_group.union(others).join(members.select("node", "shingles"), "node")))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE) -> DataFrame:
     """One row of each group of near duplicates stays, that of the smallest id; same columns, of any names.
 
-    Null and empty texts are equal to each other and so one of them stays; null ids come before all others; of
-    rows that share an id one is told from another by its locator. Fingerprints are kept once, texts are not
-    moved; equal fingerprints are one class before the search; only the dropped rows' locators are joined away.
+    Near duplicates are texts that verified links join, each between two texts whose sets of five-word shingles have
+    a Jaccard similarity of 0.8 or more. Null and empty texts are equal to each other and so one of them stays; null
+    ids come before all others; of rows that share an id one is told from another by its locator. Fingerprints
+    are kept once; texts with the same shingles are one class before the search; the shingles of candidates
+    alone are moved; only the dropped rows' locators are joined away.
     """
 
     @F.pandas_udf("binary")
     def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([wide_fingerprint(t) for t in texts])
+        sets = map(shingle_set, texts)
+        return pd.Series([fingerprint_of(s) + xxhash.xxh3_128_digest(s.tobytes()) for s in sets])
+
+    @F.pandas_udf("binary")
+    def shingled(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t).tobytes() for t in texts])
 
     @F.pandas_udf("array<int>")
     def keys(fps: pd.Series) -> pd.Series:
         return pd.Series([block_keys(f) for f in fps])
 
-    # as nondeterministic functions both are computed once a row, not again by what stands above
+    # as nondeterministic functions they are computed once a row, not again by what stands above
     rows = texts_for_python(located(docs))
-    place = ["file", "row"]
-    prints = cut(rows.select(F.col("record")[id_col].alias("doc_id"), *place, hashed.asNondeterministic()(whole(F.col("record")[text_col])).alias("fp")))
-    classes = cut(prints.groupBy("fp").agg(F.min(F.struct("doc_id", *place)).alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    linked = connected_components(similar_links(classes.select(F.col("node").alias("row"), "fp", keys.asNondeterministic()("fp").alias("keys")), distance))
+    place, text = ["file", "row"], whole(F.col("record")[text_col])
+    prints = cut(rows.select(F.col("record")[id_col].alias("doc_id"), *place, hashed.asNondeterministic()(text).alias("print")))
+    classes = cut(prints.groupBy("print").agg(F.min(F.struct("doc_id", *place)).alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    fps = classes.select(F.col("node").alias("row"), F.expr(f"substring(print, 1, {BITS // 8})").alias("fp"))
+    candidates = connected_components(similar_links(fps.select("row", "fp", keys.asNondeterministic()("fp").alias("keys")), distance))
+    known = cut(candidates.join(classes, "node").select("node", "label", "first.file", "first.row"))
+    sets = cut(rows.join(if_small(known), place).select("node", "label", shingled.asNondeterministic()(text).alias("shingles")))
+    linked = connected_components(verified_links(sets))
     members = linked.join(classes, "node")
     best = members.groupBy("label").agg(F.min("first").alias("best"))
     stays = members.join(best, "label").filter("first <> best").select("first.file", "first.row")
-    copies = prints.join(classes, "fp").filter(F.struct(*place) != F.struct("first.file", "first.row")).select(*place)
+    copies = prints.join(classes, "print").filter(F.struct(*place) != F.struct("first.file", "first.row")).select(*place)
     dropped = cut(copies.union(stays))
     return rows.join(if_small(dropped), place, "left_anti").select("record.*")

@@ -102,3 +102,19 @@ def test_large_groups_are_verified_in_parts(spark, part):
         want += [start + r for r in brute(g)]
         start += len(g)
     assert same_classes([got.get(i, i) for i in range(len(sets))], want)
+
+
+def test_a_bucket_over_the_limit_loses_no_link(spark):
+    """A chain of edits: each fingerprint is close to the one before it and to no other."""
+    rng = random.Random(4)
+    fps = [rng.getrandbits(256)]
+    for _ in range(99):
+        fps.append(fps[-1] ^ sum(1 << b for b in rng.sample(range(256), 40)))
+    rows = [(i, f.to_bytes(32, "little"), [7]) for i, f in enumerate(fps)] + [(1000 + i, f.to_bytes(32, "little"), [8]) for i, f in enumerate(fps[:3])]
+    keyed = spark.createDataFrame(rows, "row long, fp binary, keys array<int>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        labels = {r["node"]: r["label"] for r in connected_components(neardedup.similar_links(keyed, limit=15)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert labels == {**{i: 0 for i in range(100)}, **{1000 + i: 1000 for i in range(3)}}

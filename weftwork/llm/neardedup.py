@@ -31,8 +31,7 @@ SIMILARITY = (4, 5)
 PART_SHINGLES = 1 << 20
 #: Members of a group of several parts that every part holds, about.
 PIVOTS = 16
-#: Fingerprints of one bucket that a task holds; of a larger bucket, parts of this size are walked one by one,
-#: joined by what they have in common with the parts' first members. 32 bytes each.
+#: Fingerprints of one bucket that a task holds, 32 bytes each; a larger bucket is one group of candidates.
 BUCKET_LIMIT = 1 << 18
 BLOCK_BITS = 15
 BLOCKS = BITS // BLOCK_BITS
@@ -121,20 +120,28 @@ def links_of_sorted(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, distance:
 
 
 def similar_links(rows: DataFrame, distance: int = MAX_DISTANCE, limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Links (a, b) of ``rows(row, fp, keys)``, verified within each block's buckets.
+    """Links (a, b) of candidates ``rows(row, fp, keys)``, by the distance within each block's buckets.
 
     Buckets are dealt and sorted by key and walked one at a time, from the smallest row, so that different buckets
-    find the same links where they can. When a bucket has more than ``limit`` members,
-    what has been walked is reduced to one member of each of its components, with which the next part is
-    walked: a bucket of near copies takes the memory of one part.
+    find the same links where they can. All members of a bucket that has more than ``limit`` are linked to
+    its first, whatever their distance: candidates are verified later, so that a task holds no more than
+    ``limit`` and a batch, and no pair is lost.
     """
     dealt = rows.select("row", "fp", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "row")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = (np.array([], "int64"), np.array([], "int64"), np.empty((0, LANES), "<u8"))
+        over: tuple[int, int] | None = None  # the key and first row of a bucket that is too large and may go on
         for batch in batches:
             if not len(batch):
                 continue
+            if over is not None:
+                more = batch["key"] == over[0]
+                yield pd.DataFrame({"a": over[1], "b": batch["row"][more]})
+                batch = batch[~more]
+                if not len(batch):
+                    continue
+                over = None
             now = (batch["key"].to_numpy("int64"), batch["row"].to_numpy("int64"), np.frombuffer(b"".join(batch["fp"]), dtype="<u8").reshape(-1, LANES))
             key, ids, fps = map(np.concatenate, zip(held, now, strict=True))
             other = np.flatnonzero(key != key[-1])
@@ -142,10 +149,9 @@ def similar_links(rows: DataFrame, distance: int = MAX_DISTANCE, limit: int = BU
             yield links_of_sorted(key[:start], ids[:start], fps[:start], distance)
             held = (key[start:], ids[start:], fps[start:])
             if len(held[0]) > limit:
-                links = links_of_sorted(*held, distance)
-                yield links
-                first = ~np.isin(held[1], links["b"].to_numpy())
-                held = tuple(x[first] for x in held)
+                over = (held[0][0], held[1][0])
+                yield pd.DataFrame({"a": over[1], "b": held[1][1:]})
+                held = tuple(x[:0] for x in held)
         yield links_of_sorted(*held, distance)
 
     return dealt.mapInPandas(walk, "a long, b long")

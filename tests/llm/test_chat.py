@@ -90,3 +90,10 @@ def test_fingerprint_sees_names_and_not_values(spark):
     prints = lambda *rs: [r[0] for r in spark.createDataFrame([(json.dumps(x),) for x in rs], "r string").select(chat.layout_fingerprint(F.col("r"))).collect()]
     a, b, c = prints({"prompt": "x", "completion": "y"}, {"completion": "other", "prompt": ""}, {"prompt": "x", "response": "y"})
     assert a == b != c
+
+
+def test_a_turn_longer_than_a_variant_takes(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], ROWS)
+    long = rows.withColumn("text", F.when(F.col("role") == "assistant", F.repeat("text", F.lit(20_000_100))).otherwise(F.col("text")))
+    out = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.op8(long).collect()}
+    assert out[1] == (2, 20_000_100) and out[-7][0] == 2

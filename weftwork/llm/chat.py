@@ -65,28 +65,34 @@ def sample_record(layout: dict) -> str:
     return "{" + ",".join(f'"{field}":"t"' for field, _ in layout["fields"]) + "}"
 
 
+#: Texts of any length are read.
+READ = {"maxStringLen": str((1 << 31) - 1)}
+
+
 def canonical_turns(record: Column, layout: dict) -> Column:
     """Turns (role, text) of a JSON record of the layout; null roles and texts are empty."""
     if "turns" in layout:
         array, role, text = layout["turns"]
-        found = F.from_json(record, f"struct<`{array}`:array<struct<`{role}`:string,`{text}`:string>>>")[array]
+        found = F.from_json(record, f"struct<`{array}`:array<struct<`{role}`:string,`{text}`:string>>>", READ)[array]
         names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
         name = lambda r: F.coalesce(F.try_element_at(names, F.lower(r)), r, F.lit(""))
         return F.transform(found, lambda t: F.struct(name(t[role]).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
-    fields = F.from_json(record, "struct<" + ",".join(f"`{field}`:string" for field, _ in layout["fields"]) + ">")
+    fields = F.from_json(record, "struct<" + ",".join(f"`{field}`:string" for field, _ in layout["fields"]) + ">", READ)
     turns = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(fields[field], F.lit("")).alias("text")) for field, role in layout["fields"]])
     return F.filter(turns, lambda t: t["text"] != "")
 
 
-def with_turns(records: DataFrame, record_col: str, layouts: dict[str, dict] = LAYOUTS) -> DataFrame:
+def with_turns(records: DataFrame, record_col: str, layouts: dict[str, dict] = LAYOUTS, sample_col: str | None = None) -> DataFrame:
     """``records`` with layout and turns; both are null where no layout has the record's field paths.
 
+    The paths are read from the record as a variant, which is limited in size, or from ``sample_col``: a small record
+    of the same paths.
     The table of layouts has one row for each mapping and is broadcast.
     """
     spark = records.sparkSession
     rows = [F.struct(F.lit(name).alias("layout"), F.lit(sample_record(layout)).alias("sample")) for name, layout in layouts.items()]
     known = spark.range(1).select(F.inline(F.array(*rows))).select("layout", layout_fingerprint(F.col("sample")).alias("_known"))
-    chosen = records.withColumn("_print", layout_fingerprint(F.col(record_col))).join(F.broadcast(known), F.col("_print") == F.col("_known"), "left")
+    chosen = records.withColumn("_print", layout_fingerprint(F.col(sample_col or record_col))).join(F.broadcast(known), F.col("_print") == F.col("_known"), "left")
     turns = reduce(lambda other, name: F.when(F.col("layout") == name, canonical_turns(F.col(record_col), layouts[name])).otherwise(other), layouts, F.lit(None).cast("array<struct<role:string,text:string>>"))
     return chosen.withColumn("turns", turns).drop("_print", "_known")
 
@@ -123,14 +129,17 @@ def read_turns(text: Column) -> Column:
     )
 
 
-def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str = "record", layouts: dict[str, dict] = LAYOUTS) -> DataFrame:
+def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str = "record", layouts: dict[str, dict] = LAYOUTS, sample_col: str | None = None) -> DataFrame:
     """One row per JSON record: conv_id, layout, formatted, loss (spans under the loss mask).
 
-    Records of no known layout, broken JSON and null have a null layout and an empty text. Ids may be null or
-    repeat; a layout may have empty texts and no turns at all.
+    Records of no known layout, broken JSON and null have a null layout and an empty text; where samples of the
+    records' paths are given, they are an error. Ids may be null or repeat; a layout may have empty texts and no turns
+    at all.
     """
-    turns = with_turns(records.select(F.col(id_col).alias("conv_id"), F.col(record_col).alias("record")), "record", layouts)
-    some = F.coalesce(F.col("turns"), F.array().cast("array<struct<role:string,text:string>>"))
+    samples = [F.col(sample_col).alias("sample")] if sample_col else []
+    turns = with_turns(records.select(F.col(id_col).alias("conv_id"), F.col(record_col).alias("record"), *samples), "record", layouts, "sample" if sample_col else None)
+    none = F.raise_error(F.lit("a record has no known layout or cannot be read")) if sample_col else F.array()
+    some = F.coalesce(F.col("turns"), none.cast("array<struct<role:string,text:string>>"))
     return turns.select("conv_id", "layout", formatted(some).alias("formatted"), loss_spans(some).alias("loss"))
 
 
@@ -138,19 +147,20 @@ def conversation_records(rows: DataFrame) -> DataFrame:
     """``rows(conv_id, turn, role, text)`` as JSON records with messages in order of turn; nulls are empty.
 
     Rows of one turn are ordered by role and text, rows without a turn come first. A conversation is one
-    record and so is put together in one place.
+    record and so is put together in one place. The sample has the record's field paths and no texts.
     """
     message = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     told = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("messages"))
     plain = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return told.select("conv_id", F.to_json(F.struct(plain.alias("messages"))).alias("record"))
+    blank = F.array(F.struct(F.lit("").alias("role"), F.lit("").alias("content")))
+    return told.select("conv_id", F.to_json(F.struct(plain.alias("messages"))).alias("record"), F.to_json(F.struct(blank.alias("messages"))).alias("sample"))
 
 
 def op8(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     added = spark.range(1).select(F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role")))).alias("t"))
     added = added.select(F.lit(ADDED_ID).cast("long").alias("conv_id"), F.col("t.turn").cast("long").alias("turn"), "t.role", F.lit(ADDED_TEXT).alias("text"))
-    out = format_records(conversation_records(conversations.select("conv_id", "turn", "role", "text").unionByName(added)))
+    out = format_records(conversation_records(conversations.select("conv_id", "turn", "role", "text").unionByName(added)), sample_col="sample")
     turns = read_turns(F.col("formatted"))
     told = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     under = F.array_join(F.transform("loss", lambda s: unescaped(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -108,6 +109,11 @@ def texts_for_python(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used; for use inside other expressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 SPANS = "array<struct<start:long,end:long,text:string>>"
 
 
@@ -129,6 +135,10 @@ def running_spans(parts: Column, chunk: int = 64) -> Column:
         return F.struct((done["at"] + x["at"]).alias("at"), F.array_append(done["spans"], moved).alias("spans"))
 
     first = F.struct(zero.alias("at"), none.alias("spans"))
-    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(parts) - 1, F.lit(0)) / chunk).cast("int"))
-    chunks = F.transform(starts, lambda i: F.aggregate(F.slice(parts, i * chunk + 1, F.lit(chunk)), first, place))
+
+    def chunked(parts: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(parts) - 1, F.lit(0)) / chunk).cast("int"))
+        return F.transform(starts, lambda i: F.aggregate(F.slice(parts, i * chunk + 1, F.lit(chunk)), first, place))
+
+    chunks = let(parts, chunked)
     return F.flatten(F.aggregate(chunks, F.struct(zero.alias("at"), F.array().cast(f"array<{SPANS}>").alias("spans")), follow)["spans"])

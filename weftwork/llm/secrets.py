@@ -7,26 +7,32 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import SPANS, running_spans, whole
+from weftwork.llm.common import SPANS, let, running_spans, whole
 
 #: Kind, pattern and what a match must also be. A match that fails is dropped, not looked into.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]{24,}"  # runs are whole, so these are the runs of [0-9a-f]+ that are long enough
+HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"  # runs are whole, so these are the runs of [0-9a-f]+ that are long enough
 KINDS = ("assign", "access", "hex", "entropy")
 MIN_ASSIGNED, MIN_ACCESS = 6, 20
 
-#: Character classes: candidate strings, and the entropy in bits that a window of theirs must reach.
+#: Character classes: candidate strings (whole runs of the class), and the entropy in bits that a window must reach.
 WINDOW = 20
-CLASSES = (("hex", r"[0-9A-Fa-f]{20,}", 3.1), ("base64", r"[A-Za-z0-9+/_=-]{20,}", 3.85))
-#: A candidate mixes letters and digits; runs of words, of digits or of letters alone are none.
-MIXED = r"^(?=.*[0-9])(?=.*[A-Za-z])"
-#: Allowed: UUIDs, alphabets and counts, placeholders, words joined by signs.
-ALLOWED = (
-    r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-    r"(?i)abcdefghij|0123456789|1234567890|example|placeholder|x{6,}",
-    r"^[A-Za-z]*(?:[-_/+=][A-Za-z]*|[-_/+=][0-9]{1,8})*$",
-)
+CLASSES = (("hex", r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{20,}", 3.1), ("base64", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", 3.85))
+#: Allow-list: candidates that are a UUID; alphabets, counts and placeholders, at which a candidate is cut in pieces;
+#: and high parts that are words and short numbers joined by signs.
+UUID = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
+PLACEHOLDER = r"(?i)abcdefghij|0123456789|1234567890|example|placeholder|x{6,}"
+JOINTS, JOINED = r"[-_/+=]", r"^(?:[A-Za-z]*|[0-9]{1,8})$"
+
+#: Counts of a window are five bits each, twelve to a long; candidates' characters lie between these codes.
+FIRST_CODE, LAST_CODE, PER_WORD, COUNT_BITS = 43, 122, 12, 5
+COUNT_WORDS = (LAST_CODE - FIRST_CODE) // PER_WORD + 1
+#: c log2 c in whole units, so that sums do not depend on the way they came about.
+UNITS = 1 << 32
+C_LOG_C = [round(c * math.log2(c) * UNITS) if c else 0 for c in range(WINDOW + 2)]
+#: Windows that one pass looks at; a longer candidate is cut into chunks that overlap by a window less one.
+CHUNK = 4096
 
 
 def match_spans(text: Column, pattern: str) -> Column:
@@ -40,31 +46,65 @@ def match_spans(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), running_spans(parts)).otherwise(F.array().cast(SPANS))
 
 
-def flagged_part(text: Column, threshold: float, window: int = WINDOW) -> Column:
-    """Start and end of what the windows cover whose Shannon entropy reaches the threshold; start null if none does.
+def pieces(candidate: Column) -> Column:
+    """What a candidate (start, end, text) has before, between and behind placeholders, as such structs."""
+    text = candidate["text"]
+    words = F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0))
+    before = F.concat(F.array(F.lit("")), words)
+    cut = F.zip_with(F.split(text, PLACEHOLDER, -1), before, lambda piece, word: F.struct(F.length(word).cast("long").alias("gap"), F.length(piece).cast("long").alias("n"), piece.alias("m")))
+    moved = F.transform(running_spans(cut), lambda s: F.struct((s["start"] + candidate["start"]).alias("start"), (s["end"] + candidate["start"]).alias("end"), s["text"].alias("text")))
+    return F.when(text.rlike(PLACEHOLDER), moved).otherwise(F.array(candidate))
 
-    One pass over an ASCII text. Counts of the window's characters change by the character that enters and
-    the one that leaves, and so does the sum of c log2 c, from which the entropy follows.
+
+RUNS = "array<struct<start:long,end:long>>"
+
+
+def high_runs(chunk: Column, at: Column, threshold: float, window: int = WINDOW) -> Column:
+    """Runs (start, end) of what a chunk's windows cover whose Shannon entropy reaches the threshold; the chunk is at ``at``.
+
+    One pass: the counts of the window's characters change by the one that enters and the one that leaves, and
+    so does the sum of c log2 c, from which the entropy follows. High windows that overlap or touch are one run.
     """
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c))
+    most = math.floor((math.log2(window) - threshold) * window * UNITS + 1)
+    grows = F.array(*[F.lit(b - a).cast("long") for a, b in zip(C_LOG_C, C_LOG_C[1:], strict=False)])
+    codes = F.transform(F.split(chunk, ""), lambda c: F.ascii(c) - FIRST_CODE)
     left = F.slice(F.concat(F.array_repeat(F.lit(-1), window), codes), F.lit(1), F.size(codes))
-    moves = F.zip_with(codes, left, lambda a, b: F.struct(a.alias("enters"), b.alias("leaves")))
-    clogc = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    grows = lambda c: clogc(c + 1) - clogc(c)
-    zero = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("start"), F.lit(0).alias("end")
-    )
+    place = lambda x: F.struct(F.floor(x / PER_WORD).cast("int").alias("word"), (F.pmod(x, F.lit(PER_WORD)) * COUNT_BITS).alias("bit"))
+    moves = F.zip_with(codes, left, lambda a, b: F.struct(place(a).alias("enters"), place(b).alias("leaves"), (b >= 0).alias("full"), (a == b).alias("same")))
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x["bit"])
+    number = lambda counts, x: F.call_function("shiftright", F.get(counts, x["word"]), x["bit"]).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
+    long = lambda n: F.lit(n).cast("long")
+    zero = F.struct(F.array_repeat(long(0), COUNT_WORDS).alias("counts"), long(0).alias("sum"), long(0).alias("n"), long(-1).alias("start"), long(-1).alias("end"), F.array().cast(RUNS).alias("runs"))
+    run = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
+
+    def moved(s: Column, x: Column) -> Column:
+        counts = F.transform(s["counts"], lambda c, i: c + F.when(i == x["enters"]["word"], one(x["enters"])).otherwise(long(0)) - F.when(x["full"] & (i == x["leaves"]["word"]), one(x["leaves"])).otherwise(long(0)))
+        gone = F.when(x["full"], F.get(grows, number(s["counts"], x["leaves"]) - 1)).otherwise(long(0))
+        total = s["sum"] + F.get(grows, number(s["counts"], x["enters"])) - gone
+        return F.when(x["same"], F.struct(s["counts"].alias("counts"), s["sum"].alias("sum"))).otherwise(F.struct(counts.alias("counts"), total.alias("sum")))
 
     def step(s: Column, x: Column) -> Column:
-        a, b, n = x["enters"], x["leaves"], s["n"] + 1
-        same = a == b
-        counts = F.when(same, s["counts"]).otherwise(F.transform(s["counts"], lambda c, i: c + F.when(i == a, 1).when(i == b, -1).otherwise(0)))
-        change = grows(F.get(s["counts"], a)) - F.when(b >= 0, grows(F.get(s["counts"], b) - 1)).otherwise(F.lit(0.0))
-        total = F.when(same, s["sum"]).otherwise(s["sum"] + change)
-        high = (n >= window) & (F.lit(math.log2(window)) - total / window >= threshold)
-        return F.struct(counts.alias("counts"), total.alias("sum"), n.alias("n"), F.when(high & s["start"].isNull(), n - window).otherwise(s["start"]).alias("start"), F.when(high, n).otherwise(s["end"]).alias("end"))
+        n = s["n"] + 1
+
+        def told(now: Column) -> Column:
+            high = (n >= window) & (now["sum"] <= most)
+            fresh = high & (n - window > s["end"])
+            return F.struct(
+                now["counts"].alias("counts"), now["sum"].alias("sum"), n.alias("n"), F.when(fresh, n - window).otherwise(s["start"]).alias("start"), F.when(high, n).otherwise(s["end"]).alias("end"),
+                F.when(fresh & (s["end"] >= 0), F.array_append(s["runs"], run(s))).otherwise(s["runs"]).alias("runs"),
+            )
 
-    return F.aggregate(moves, zero, step, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        return let(moved(s, x), told)
+
+    found = F.aggregate(moves, zero, step, lambda s: F.when(s["end"] >= 0, F.array_append(s["runs"], run(s))).otherwise(s["runs"]))
+    return F.transform(found, lambda r: F.struct((r["start"] + at).alias("start"), (r["end"] + at).alias("end")))
+
+
+def merged(runs: Column) -> Column:
+    """Runs in order, those that overlap or touch as one."""
+    starts = F.filter(runs, lambda r, i: F.coalesce(r["start"] > F.get(runs, i - 1)["end"], F.lit(True)))
+    ends = F.filter(runs, lambda r, i: F.coalesce(F.get(runs, i + 1)["start"] > r["end"], F.lit(True)))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
 
 
 def kinded(spans: Column, kind: str) -> Column:
@@ -72,17 +112,21 @@ def kinded(spans: Column, kind: str) -> Column:
 
 
 def entropy_spans(text: Column) -> Column:
-    """Spans of kind entropy: of each class's candidates, the part with high windows, unless it is allowed."""
-    allowed = lambda s: F.array(*[s["text"].rlike(p) for p in ALLOWED])
+    """Spans of kind entropy: of each class's candidates, what high windows cover, unless it is allowed.
+
+    A piece of a candidate is looked at from a window's length on, if it mixes letters and digits.
+    """
 
     def of_class(pattern: str, threshold: float) -> Column:
-        tried = F.filter(match_spans(text, pattern), lambda s: s["text"].rlike(MIXED) & ~F.exists(allowed(s), lambda x: x))
-        parts = F.transform(tried, lambda s: F.struct(s["start"].alias("at"), flagged_part(s["text"], threshold).alias("part")))
-        high = F.filter(parts, lambda p: p["part"]["start"].isNotNull())
-        return F.transform(high, lambda p: F.struct((p["at"] + p["part"]["start"]).alias("start"), (p["at"] + p["part"]["end"]).alias("end")))
+        tried = F.filter(match_spans(text, pattern), lambda s: ~s["text"].rlike(UUID))
+        cut = F.flatten(F.transform(tried, pieces))
+        worded = lambda s: F.forall(F.split(s["text"], JOINTS), lambda part: part.rlike(JOINED))
+        mixed = F.filter(cut, lambda s: (F.length(s["text"]) >= WINDOW) & s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]") & ~worded(s))
+        chunks = lambda s: F.regexp_extract_all(s["text"], F.lit(rf"(?s)(?=(.{{1,{CHUNK + WINDOW - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
+        runs = lambda s: F.flatten(F.transform(chunks(s), lambda c, i: high_runs(c, s["start"] + i * CHUNK, threshold)))
+        return F.flatten(F.transform(mixed, lambda s: let(runs(s), merged)))
 
-    each = [of_class(pattern, threshold) for _, pattern, threshold in CLASSES]
-    return F.array_distinct(F.concat(*each))
+    return F.array_distinct(F.concat(*[of_class(pattern, threshold) for _, pattern, threshold in CLASSES]))
 
 
 def secret_spans(text: Column) -> Column:
@@ -95,8 +139,9 @@ def secret_spans(text: Column) -> Column:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id and secrets, an array of (start, order, end, kind).
 
-    Offsets are code points of the whole text, ends exclusive. Null and empty texts have none; ids may be
-    null or repeat; rows are never shuffled.
+    Offsets are code points of the whole text, ends exclusive. Null and empty texts have none; ids may be null or
+    repeat, and each row is scanned by itself; an empty table gives no rows. Work and memory grow in proportion
+    to a text's length, however long one candidate is; rows are never shuffled.
     """
     return docs.select(F.col(id_col).alias("doc_id"), secret_spans(whole(text_col)).alias("secrets"))
 

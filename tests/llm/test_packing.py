@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.conftest import SMALL
-from tests.llm.helpers import empty_docs, odd_docs
+from tests.llm.helpers import clashing, empty_docs, odd_docs
 from weftwork.llm import packing
 from weftwork.llm.common import documents
 
@@ -60,12 +61,10 @@ def test_plan_matches_large_pieces():
 
 
 def test_pieces_and_sequences(spark):
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     for docs in (documents(spark, SMALL), odd_docs(spark)):
         expected = Counter()
         for r in docs.select("doc_id", "text").collect():
-            ids = np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2], dtype="<u4")
+            ids = np.array([*tokenizer().encode(r["text"] or "", add_special_tokens=False).ids, 2], dtype="<u4")
             first = len(ids) % CAPACITY or CAPACITY
             starts = [0, *range(first, len(ids), CAPACITY)]
             for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
@@ -76,10 +75,47 @@ def test_pieces_and_sequences(spark):
         assert len(sequences) <= 1.03 * sum(r["length"] for r in out) / CAPACITY + 1
 
 
-def test_special_strings_are_text(spark):
-    docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "a")], "doc_id long, text string")
-    lengths = {r["doc_id"]: r["length"] for r in packing.op2(docs).collect()}
-    assert lengths[1] > 5 and lengths[2] == 2
+@cache
+def tokenizer() -> Tokenizer:
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def plainly(texts: list[str]) -> list[list[int]]:
+    return [e.ids for e in tokenizer().encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_both_encoders_agree_on_every_plain_character():
+    """Letters, numbers, signs and white space on both sides of each character, and the character beside itself."""
+    encode = packing.encoder(packing.vocabulary_paths())
+    plain = [c for c in map(chr, range(0x2100)) if not packing.NOT_PLAIN.search(c)]
+    assert len(plain) > 300 and not {"\u00a0", "\u0085", "\u0660", "\u4e00"} & set(plain)
+    around = ["a", "Z", "é", "7", ".", "'", " ", "\n", "  ", "\t ", ""]
+    texts = [f"{x}{c}{y}{c}{c}{x} {c}\n{c}'{c}s{c}'t {x}{y}{c}" for c in plain for x in around for y in around]
+    assert [encode(t).tolist() for t in texts] == plainly(texts)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60), st.text(alphabet="ab 1'st.\n\t éßœ—“€ſ", max_size=60))
+def test_any_text_has_the_ids_of_tokenizers(anything, plain):
+    encode = packing.encoder(packing.vocabulary_paths())
+    for text in (anything, plain, plain + "<|endoftext|>" + anything):
+        assert encode(text).tolist() == plainly([text])[0]
+
+
+def test_special_strings_and_long_white_space(spark):
+    texts = ["x <|endoftext|> y", "a", " " * 1_000_000 + "b", "\n" * 99 + "c" + " \t" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in packing.token_pieces(docs, with_ids=True).orderBy("doc_id", "piece").collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], []) + r["ids"]
+    assert [got[i] for i in range(4)] == [[*ids, 2] for ids in plainly(texts)]
+    assert 50256 in got[0]
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    docs = clashing(odd_docs(spark))
+    pieces = lambda df: Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in packing.op2(df).collect())
+    assert pieces(docs) == pieces(odd_docs(spark))
 
 
 def test_ids_are_kept(spark):

@@ -1,4 +1,10 @@
-"""Quality classifier by co-training: a text view and a metadata view teach each other, then score everything."""
+"""Quality classifier by co-training: a text view and a metadata view teach each other, then score everything.
+
+Both views' features of each document are made once and written; every round scores all of them. In a round a view
+names, for each class, the documents of its most extreme scores, a fixed share of the corpus; a seeded sample
+of these joins what the other view learns from and stays there. What a view has to say about its class weighs as much as
+its calibrated score differs from what is known without it, so that a view that knows little moves little.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +16,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import cut, texts_for_python, whole
+from weftwork.llm.common import cut, delete, shared_path, texts_for_python, whole
 from weftwork.llm.quality import CLASSES, class_table, lookup_table
 
 #: Labelled rows that the views are fitted on, at most; chosen by a hash of their ids.
@@ -21,16 +28,22 @@ MAX_LABELLED = 4000
 #: Share of them that is held out to calibrate and combine the views.
 HELD_OUT = 0.25
 ROUNDS = 2
-#: In a round each view passes on, for each class, its most confident rows of all documents: so many at most,
-#: and only with this probability.
-EXCHANGED = 200
-CONFIDENT = 0.9
+#: In a round each view names, for each class, this share of all documents: those of its most extreme scores.
+NAMED = 0.05
+#: Of these about so many are drawn by a hash of their texts, for each view, class and round, to fit the other view on.
+EXCHANGED = 400
+#: A drawn row weighs at most so much, a labelled one 1.
+DRAWN_WEIGHT = 0.5
+#: Scores are counted in bins of this width of the log-odds.
+BIN = 1 / 64
 KEEP_FROM = 0.5
 
 WORD_DIM, EXTRA = 2048, len(CLASSES) + 3
 SOURCE_DIM, LANG_DIM, LENGTH_DIM = 256, 32, 24
 TEXT_DIM, META_DIM = WORD_DIM + EXTRA, SOURCE_DIM + LANG_DIM + LENGTH_DIM
 FEATURES = "text_at array<int>, text_by array<float>, meta_at array<int>"
+#: Kinds of rows that are exchanged: by which view, and as which class.
+KINDS = (("text", 1), ("text", 0), ("meta", 1), ("meta", 0))
 
 
 def text_features(text: str, classes: np.ndarray, lookup: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -58,19 +71,14 @@ def meta_features(source: str | None, lang: str | None, n_chars: float | None) -
     return [code(source, SOURCE_DIM), SOURCE_DIM + code(lang, LANG_DIM), SOURCE_DIM + LANG_DIM + size]
 
 
-def featured(batch: pd.DataFrame, tables: tuple[np.ndarray, bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[list[int]]]:
-    sizes = [None if pd.isna(x) else float(x) for x in batch["n_chars"]]
-    return [text_features(t, *tables) for t in batch["text"]], [meta_features(s, g, n) for s, g, n in zip(batch["source"], batch["lang"], sizes, strict=True)]
-
-
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 150) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, steps: int = 150) -> np.ndarray:
     """Weights, the last one the bias, of a logistic regression with balanced classes, by accelerated descent."""
     x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum())).astype(x.dtype)
+    share = (weight * np.where(y > 0, 0.5 / (weight[y > 0].sum() or 1), 0.5 / (weight[y == 0].sum() or 1))).astype(x.dtype)
     v = np.ones(x.shape[1], dtype=x.dtype)
     for _ in range(8):
         v = x.T @ (share * (x @ v))
@@ -99,6 +107,18 @@ def fit_scale(columns: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float
     return w
 
 
+def sums_of(at: pa.Array, weights: np.ndarray, by: pa.Array | None = None) -> np.ndarray:
+    """For each list of places the sum of their weights, times the values ``by``; an empty list gives 0."""
+    offsets = at.offsets.to_numpy()
+    start, end = offsets[0], offsets[-1]
+    each = weights[at.values.to_numpy(zero_copy_only=False)[start:end]].astype(np.float64)
+    if by is not None:
+        first = by.offsets.to_numpy()
+        each *= by.values.to_numpy(zero_copy_only=False)[first[0] : first[-1]]
+    running = np.concatenate([[0.0], np.cumsum(each)])
+    return running[offsets[1:] - start] - running[offsets[:-1] - start]
+
+
 @dataclass
 class Model:
     """Both views, their calibration and their combination; fixed in size."""
@@ -108,11 +128,12 @@ class Model:
     text_scale: tuple[float, float] = (1.0, 0.0)
     meta_scale: tuple[float, float] = (1.0, 0.0)
     combine: tuple[float, float, float] = (0.5, 0.5, 0.0)
+    prior: float = 0.0  # log-odds of a held-out row, nothing else known
 
-    def views(self, texts: list[tuple[np.ndarray, np.ndarray]], metas: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Calibrated log-odds of both views."""
-        t = np.array([float(self.text[at] @ by) for at, by in texts]) + self.text[-1]
-        m = np.array([float(self.meta[at].sum()) for at in metas]) + self.meta[-1]
+    def views(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated log-odds of both views, of rows with features."""
+        t = sums_of(batch.column("text_at"), self.text, batch.column("text_by")) + self.text[-1]
+        m = sums_of(batch.column("meta_at"), self.meta) + self.meta[-1]
         return t * self.text_scale[0] + self.text_scale[1], m * self.meta_scale[0] + self.meta_scale[1]
 
     def both(self, t: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -128,7 +149,7 @@ def dense(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(labelled: pd.DataFrame, for_text: pd.DataFrame, for_meta: pd.DataFrame) -> Model:
-    """``labelled`` rows, and the rows that each view got from the other, all with y."""
+    """``labelled`` rows with y and held, and the rows that each view got from the other, with y and weight."""
     model = Model()
     y = labelled["y"].to_numpy(np.float64)
     if not len(y):
@@ -145,105 +166,159 @@ def fit(labelled: pd.DataFrame, for_text: pd.DataFrame, for_meta: pd.DataFrame)
     else:
         used = ~held
     more_x, more_z = dense(for_text)[0], dense(for_meta)[1]
-    model.text = fit_logistic(np.vstack([x[used], more_x]), np.concatenate([y[used], for_text["y"].to_numpy(np.float64)]))
-    model.meta = fit_logistic(np.vstack([z[used], more_z]), np.concatenate([y[used], for_meta["y"].to_numpy(np.float64)]))
+    taught = lambda own, more, rows: fit_logistic(np.vstack([own[used], more]), np.concatenate([y[used], rows["y"].to_numpy(np.float64)]), np.concatenate([np.ones(used.sum()), rows["weight"].to_numpy(np.float64)]))
+    model.text, model.meta = taught(x, more_x, for_text), taught(z, more_z, for_meta)
     t, m = x[held] @ model.text[:-1] + model.text[-1], z[held] @ model.meta[:-1] + model.meta[-1]
     model.text_scale, model.meta_scale = tuple(fit_scale(t[:, None], y[held])), tuple(fit_scale(m[:, None], y[held]))
     t, m = t * model.text_scale[0] + model.text_scale[1], m * model.meta_scale[0] + model.meta_scale[1]
     model.combine = tuple(fit_scale(np.stack([t, m], axis=1), y[held]))
+    model.prior = math.log((y[held].sum() + 1) / ((1 - y[held]).sum() + 1))
     return model
 
 
-def inputs(docs: DataFrame) -> DataFrame:
-    """The columns that the views read; ids travel as strings, which keep null and value apart for every type."""
-    return texts_for_python(docs).select(F.col("doc_id").cast("string").alias("doc_id"), whole("text").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars"))
+def write_features(docs: DataFrame, path: str) -> DataFrame:
+    """The features of both views of all rows, written to ``path`` and read from there.
+
+    doc_id is a string, which keeps null and value apart for every type; content is a 64-bit hash of the text.
+    """
+    text = whole("text")
+    rows = docs.select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(text).alias("content"), text.alias("text"),
+        F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars"),
+    )
+
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = class_table(), lookup_table()
+        for b in batches:
+            texts = [text_features(t, *tables) for t in b["text"]]
+            sizes = [None if pd.isna(x) else float(x) for x in b["n_chars"]]
+            metas = [meta_features(s, g, n) for s, g, n in zip(b["source"], b["lang"], sizes, strict=True)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "content": b["content"], "text_at": [x[0] for x in texts], "text_by": [x[1] for x in texts], "meta_at": metas})
+
+    texts_for_python(rows).mapInPandas(features, f"doc_id string, content long, {FEATURES}").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> pd.DataFrame:
+def labelled_rows(features: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> pd.DataFrame:
     """Features and labels of the rows that the views are fitted on. At most ``max_labelled`` labels are broadcast."""
     agreed = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     chosen = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = inputs(docs).join(F.broadcast(chosen), "doc_id")
+    rows = features.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("y", "content", "text_at", "text_by", "meta_at"), F.struct("content", "meta_at")).alias("row"))
+    found = rows.select("doc_id", "row.*").orderBy("doc_id").toPandas()
+    found["held"] = [zlib.crc32(f"held:{i}".encode()) % 1000 < HELD_OUT * 1000 for i in found["doc_id"]]
+    return found.astype({"held": bool})
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = class_table(), lookup_table()
-        for b in batches:
-            texts, metas = featured(b, tables)
-            held = [zlib.crc32(f"held:{i}".encode()) % 1000 < HELD_OUT * 1000 for i in b["doc_id"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "held": held, "text_at": [x[0] for x in texts], "text_by": [x[1] for x in texts], "meta_at": metas})
 
-    found = rows.mapInPandas(features, f"doc_id string, y int, held boolean, {FEATURES}")
-    return found.dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+def others_of(features: DataFrame, known: list[str]) -> DataFrame:
+    """Rows of documents that have no label; the known ids are as many as labels are, and are broadcast."""
+    ids = features.sparkSession.createDataFrame([(x,) for x in known], "doc_id string")
+    return features.join(F.broadcast(ids), "doc_id", "left_anti")
 
 
-def confident_rows(docs: DataFrame, model: Model, known: list[str], exchanged: int = EXCHANGED, confident: float = CONFIDENT) -> pd.DataFrame:
-    """For each view and class the most confident rows among all documents but the known ones, with features.
+def extreme_scores(others: DataFrame, model: Model, named: float = NAMED) -> list[tuple[int, int]]:
+    """For each kind the bin of scores from which on, or up to which, a view names documents, and their number.
 
-    Each task keeps its best ``exchanged`` of a kind, and of those the best are taken: the number that leaves a
-    task is fixed. Rows with one text count once, so a group of copies does not fill the exchange.
+    All documents are scored and counted by bin; the counts alone reach the driver. A bin is named whole.
     """
-    ids = docs.sparkSession.createDataFrame([(x,) for x in known], "doc_id string")
-    others = inputs(docs).join(F.broadcast(ids), "doc_id", "left_anti")
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = class_table(), lookup_table()
-        kept: dict[int, pd.DataFrame] = {}
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, metas = featured(b, tables)
-            t, m = model.views(texts, metas)
-            content = [zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in b["text"]]
-            all_rows = pd.DataFrame({"doc_id": b["doc_id"], "content": content, "text_at": [x[0] for x in texts], "text_by": [x[1] for x in texts], "meta_at": metas})
-            for kind, p in enumerate((sigmoid(t), 1 - sigmoid(t), sigmoid(m), 1 - sigmoid(m))):
-                rows = all_rows.assign(kind=kind, p=p)[p >= confident]
-                both = pd.concat([kept[kind], rows]) if kind in kept else rows
-                kept[kind] = both.sort_values(["p", "doc_id"], ascending=[False, True]).drop_duplicates("content").head(exchanged)
-        for rows in kept.values():
-            yield rows[["doc_id", "kind", "p", "content", "text_at", "text_by", "meta_at"]]
-
-    each = cut(others.mapInPandas(best, f"doc_id string, kind int, p double, content long, {FEATURES}"))
-    found = each.groupBy("kind", "content").agg(F.min_by(F.struct("*"), F.struct(-F.col("p"), F.col("doc_id"))).alias("row")).select("row.*")
-    tops = [found.filter(F.col("kind") == k).orderBy(F.desc("p"), "doc_id").limit(exchanged) for k in range(4)]
-    return tops[0].union(tops[1]).union(tops[2]).union(tops[3]).toPandas()
-
-
-def co_train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED) -> Model:
-    """Fit both views on the labelled rows; in each round a view learns from what the other is sure of."""
-    labelled = labelled_rows(docs, labels, max_labelled)
-    none = labelled.iloc[:0]
-    for_text, for_meta = none, none
-    model = fit(labelled, for_text, for_meta)
+            for view, z in zip(("text", "meta"), model.views(b), strict=True):
+                bins, n = np.unique(np.floor(z / BIN).astype("int32"), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"view": [view] * len(bins), "bin": bins, "n": n.astype("int64")})
+
+    counts = others.mapInArrow(binned, "view string, bin int, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).toPandas()
+    out = []
+    for view, y in KINDS:
+        own = counts[counts["view"] == view].sort_values("bin", ascending=not y)
+        if not len(own):
+            out.append((0, 0))
+            continue
+        upto = own["n"].cumsum()
+        last = int(np.searchsorted(upto.to_numpy(), max(1, named * upto.iloc[-1])))
+        out.append((int(own["bin"].iloc[last]), int(upto.iloc[last])))
+    return out
+
+
+def exchanged_rows(others: DataFrame, model: Model, extremes: list[tuple[int, int]], exchanged: int = EXCHANGED) -> pd.DataFrame:
+    """Of the documents that each view names for each class a sample of about ``exchanged``, with features, y and weight.
+
+    A text is drawn if a hash of it is low enough for the number of documents that are named, so no task has to
+    keep a best list; rows with one text are drawn together and count once. The weight is how far the score, as odds, is
+    from the prior.
+    """
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            views = dict(zip(("text", "meta"), model.views(b), strict=True))
+            draw = (b.column("content").to_numpy().view("uint64") * np.uint64(0x9E3779B97F4A7C15)).astype(np.float64) / 2.0**64
+            for kind, ((view, y), (limit, n)) in enumerate(zip(KINDS, extremes, strict=True)):
+                z = views[view]
+                bins = np.floor(z / BIN)
+                hit = np.flatnonzero(((bins >= limit) if y else (bins <= limit)) & (draw * n < exchanged))
+                lift = np.maximum(0.0, (z[hit] - model.prior) * (1 if y else -1))
+                part = b.take(pa.array(hit))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(hit), kind, "int32")), pa.array(2 * sigmoid(lift) - 1), *[part.column(c) for c in ("content", "doc_id", "text_at", "text_by", "meta_at")]],
+                    names=["kind", "weight", "content", "doc_id", "text_at", "text_by", "meta_at"],
+                )
+
+    found = others.mapInArrow(drawn, f"kind int, weight double, content long, doc_id string, {FEATURES}")
+    once = found.groupBy("kind", "content").agg(F.min_by(F.struct("doc_id", "weight", "text_at", "text_by", "meta_at"), F.struct("doc_id", "meta_at")).alias("row"))
+    rows = once.select("kind", "content", "row.*").orderBy("kind", "content").toPandas()
+    rows["y"] = [KINDS[k][1] for k in rows["kind"]]
+    rows["weight"] *= DRAWN_WEIGHT
+    return rows
+
+
+def co_train(features: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, named: float = NAMED, exchanged: int = EXCHANGED) -> tuple[Model, list[pd.DataFrame]]:
+    """Both views, fitted on the labelled rows and, round by round, on what the other has named; and the rounds' rows.
+
+    What a view got in a round it keeps; a text that is named again counts as it was named last.
+    """
+    labelled = labelled_rows(features, labels, max_labelled)
+    told: list[pd.DataFrame] = []
+    none = labelled.iloc[:0].assign(weight=[], kind=[])
+    model = fit(labelled, none, none)
     if not len(labelled) or labelled["y"].min() == labelled["y"].max():
-        return model
+        return model, told
+    others = others_of(features, labelled["doc_id"].tolist())
     for _ in range(rounds):
-        sure = confident_rows(docs, model, labelled["doc_id"].tolist())
-        sure["y"] = 1 - sure["kind"] % 2
-        for_text, for_meta = sure[sure["kind"] >= 2], sure[sure["kind"] < 2]
-        model = fit(labelled, for_text, for_meta)
-    return model
+        told.append(exchanged_rows(others, model, extreme_scores(others, model, named), exchanged))
+        pool = pd.concat(told)
+        by = lambda view: pool[[KINDS[k][0] == view for k in pool["kind"]]].drop_duplicates("content", keep="last")  # noqa: E731, B023
+        model = fit(labelled, by("meta"), by("text"))
+    return model, told
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per document: doc_id, text_score, meta_score, score, kept."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def score(features: DataFrame, model: Model) -> DataFrame:
+    """One row per document: doc_id (as string), text_score, meta_score, score, kept."""
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = class_table(), lookup_table()
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t, m = model.views(*featured(b, tables))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text_score": sigmoid(t), "meta_score": sigmoid(m), "score": model.both(t, m)})
+            t, m = model.views(b)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sigmoid(t)), pa.array(sigmoid(m)), pa.array(model.both(t, m))], names=["doc_id", "text_score", "meta_score", "score"])
 
-    out = inputs(docs).mapInPandas(scored, "doc_id string, text_score double, meta_score double, score double")
-    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "text_score", "meta_score", "score", (F.col("score") >= KEEP_FROM).alias("kept"))
+    out = features.mapInArrow(scored, "doc_id string, text_score double, meta_score double, score double")
+    return out.withColumn("kept", F.col("score") >= KEEP_FROM)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """Scores of all documents by views that were co-trained on ``labels(doc_id, quality)``.
 
-    Null and empty texts score by their bias and metadata; null metadata are values of their own. Labels
-    without a document, null labels and null ids are left out; labels that disagree are averaged. Without
-    labels all scores are 0.5; with labels of one class alone they are its smoothed share.
+    Null and empty texts score by their bias and metadata; null metadata are values of their own; ids may be
+    null or repeat, repeated rows score alike; texts of any length are one bag of 2048 hashed words. Labels without a
+    document, null labels and null ids are left out; labels that disagree are averaged. Without labels all
+    scores are 0.5; with labels of one class alone they are its smoothed share. An empty table gives no rows. The views
+    are fitted on at most ``max_labelled`` labelled rows and about 4 * EXCHANGED rows a round that are drawn
+    from all that the views name; scores and thresholds are over all documents.
     """
-    return score(docs, co_train(docs, labels, rounds, max_labelled))
+    spark, path = docs.sparkSession, shared_path(docs.sparkSession, "features")
+    features = write_features(docs, path)
+    model, _ = co_train(features, labels, rounds, max_labelled)
+    out = cut(score(features, model))
+    delete(spark, path)
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:

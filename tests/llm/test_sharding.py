@@ -5,6 +5,10 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
+import xxhash
+
 from tests.conftest import SMALL
 from tests.llm.helpers import clashing, empty_docs, odd_docs, rows_of
 from weftwork.llm import sharding
@@ -39,14 +43,83 @@ def test_shards_are_even_and_one_more_takes_its_share(spark):
 
 def test_order_is_shuffled_and_reruns_agree(spark):
     docs = documents(spark, "/root/testdata/sf0.01")
-    rows = rows_of(sharding.op10(docs))
-    assert rows == rows_of(sharding.op10(docs.repartition(5)))
+    for size in (sharding.BUCKET_BYTES, 20_000):
+        plan = lambda d: rows_of(sharding.shard_plan(d, bucket_bytes=size))  # noqa: E731, B023
+        rows = plan(docs)
+        assert rows == plan(docs.repartition(5))
+        for conf, values in (("spark.sql.adaptive.enabled", ("false", "true")), ("spark.sql.shuffle.partitions", ("1", "3", "7"))):
+            before = spark.conf.get(conf)
+            try:
+                for value in values:
+                    spark.conf.set(conf, value)
+                    assert plan(docs) == rows
+            finally:
+                spark.conf.set(conf, before)
     for placed in slots(sharding.op10(docs).collect()).values():
         ids = [i for _, i in sorted(placed)]
         ups = sum(a < b for a, b in zip(ids, ids[1:], strict=False))
         assert 0.35 * len(ids) < ups < 0.65 * len(ids)
 
 
+def chained(*values: tuple[int, int]) -> int:
+    """Spark's xxhash64 of whole numbers (value, bytes): each is hashed with the hash before it as seed."""
+    h = 42
+    for value, n in values:
+        h = xxhash.xxh64_intdigest(value.to_bytes(n, "little", signed=True), h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def fisher_yates(n: int, draws: np.random.RandomState) -> list[int]:
+    """Inside out, with whole numbers below a bound as the JVM's Mersenne Twister draws them."""
+
+    def below(bound: int) -> int:
+        while True:
+            bits = int(draws.randint(0, 1 << 32, dtype=np.uint32)) >> 1
+            if bound & (bound - 1) == 0:
+                return bound * bits >> 31
+            if bits - bits % bound + bound - 1 < 1 << 31:
+                return bits % bound
+
+    out: list[int] = []
+    for i in range(n):
+        j = below(i + 1)
+        out.append(out[j] if j < i else i)
+        out[j] = i
+    return out
+
+
+@pytest.mark.parametrize("bucket_bytes", [sharding.BUCKET_BYTES, 50_000])
+def test_plain_version(spark, bucket_bytes):
+    """Shards, buckets and slots, all worked out again in plain Python."""
+    docs = documents(spark, SMALL)
+    texts = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()]
+    rows = [(i, zlib.crc32(t), len(t) + 1) for i, t in texts]
+    buckets = max(1, -(-sum(n + sharding.ROW_BYTES for *_, n in rows) // (8 * bucket_bytes)))
+    shard = lambda i, n: max((chained((42, 4), (k, 4), (i, 8)), k) for k in range(n))[1]
+    held = defaultdict(list)
+    for i, crc, n in rows:
+        bucket = chained((43, 4), (i, 8), (crc, 8), (n, 8)) % buckets if buckets > 1 else 0
+        held[shard(i, 8), bucket].append((i, crc, n, shard(i, 9)))
+    wanted, starts = [], Counter()
+    for at, bucket in sorted(held):
+        ordered = sorted(held[at, bucket])
+        seed = 42 + at * buckets + bucket
+        for k, j in enumerate(fisher_yates(len(ordered), np.random.RandomState([seed >> 32, seed & 0xFFFFFFFF]))):
+            i, crc, n, grown = ordered[j]
+            wanted.append((i, n, crc, at, grown, bucket, starts[at] + k))
+        starts[at] += len(ordered)
+    got = sharding.shard_plan(docs, bucket_bytes=bucket_bytes).select("doc_id", "size", "text_crc32", "shard", "grown_shard", "bucket", "slot").collect()
+    assert (buckets > 1) == (bucket_bytes == 50_000) and sorted(map(tuple, got)) == sorted(wanted)
+
+
+def test_rows_that_are_alike_scatter(spark):
+    docs = spark.range(4000).selectExpr("CAST(IF(id % 3 = 0, NULL, id) AS LONG) AS doc_id", "'one text' AS text")
+    plan = sharding.shard_plan(docs, bucket_bytes=10_000).collect()
+    assert max(Counter((r["shard"], r["bucket"]) for r in plan if r["doc_id"] is None).values()) < 400
+    for placed in slots(plan).values():
+        assert sorted(s for s, _ in placed) == list(range(len(placed)))
+
+
 def test_many_buckets(spark):
     docs = documents(spark, SMALL)
     plan = sharding.shard_plan(docs, bucket_bytes=5_000).collect()

@@ -42,6 +42,41 @@ def test_pairs_below_the_similarity_stay(spark):
     assert kept(spark, texts) == set(range(len(texts)))
 
 
+def similar_pairs(rng: random.Random, n: int, wanted: float) -> list[str]:
+    """Texts 2k and 2k + 1 have a similarity just above ``wanted``: words far apart are changed, five shingles for each."""
+    texts: list[str] = []
+    for _ in range(n):
+        found = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(150, 400))]
+        copy, shingles = list(found), len(found) - 4
+        for i in range(int(shingles * (1 - wanted) / (5 * (1 + wanted)))):
+            copy[5 + 9 * i] = f"x{rng.randrange(10**6)}"
+        texts += [" ".join(found), " ".join(copy)]
+    return texts
+
+
+@pytest.mark.parametrize("bits", [15, 22])
+def test_recall_just_above_the_similarity(spark, monkeypatch, bits):
+    """Of pairs at 0.8 to 0.86, most of them near 0.8, nearly all are found, with the blocks of small tables and with those of large ones."""
+    monkeypatch.setattr(neardedup, "LEAST_BITS", bits)
+    texts = similar_pairs(random.Random(bits), 300, 0.8)
+    assert all(0.8 <= similarity(a, b) <= 0.86 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    recall = (len(texts) - len(kept(spark, texts))) / 300
+    print("recall", bits, recall)
+    assert recall >= 0.97
+
+
+def test_blocks_follow_the_number_of_texts():
+    assert neardedup.block_plan(0) == neardedup.block_plan(200_000) == (15, 5)
+    for n in (10**7, 10**9, 10**11):
+        bits, orders = neardedup.block_plan(n)
+        places = neardedup.block_orders(bits, orders)
+        assert n / 2**bits <= neardedup.BY_CHANCE and places.shape == (orders * (256 // bits), bits)
+        assert all(len(set(block)) == bits for block in places.tolist())
+        assert (1 - (1 - 39 / 256) ** bits) ** len(places) <= neardedup.MISSED
+    keys = neardedup.block_keys(bytes(range(32)), neardedup.block_orders(15, 5))
+    assert len(keys) == len(set(keys)) == 85 and [k >> 15 for k in keys] == list(range(85))
+
+
 def test_a_repeated_line_makes_no_near_copies(spark):
     rng = random.Random(9)
     line = drawn(rng, 12)
@@ -111,7 +146,7 @@ def test_a_bucket_over_the_limit_loses_no_link(spark):
     for _ in range(99):
         fps.append(fps[-1] ^ sum(1 << b for b in rng.sample(range(256), 40)))
     rows = [(i, f.to_bytes(32, "little"), [7]) for i, f in enumerate(fps)] + [(1000 + i, f.to_bytes(32, "little"), [8]) for i, f in enumerate(fps[:3])]
-    keyed = spark.createDataFrame(rows, "row long, fp binary, keys array<int>")
+    keyed = spark.createDataFrame(rows, "row long, fp binary, keys array<long>")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
     try:
         labels = {r["node"]: r["label"] for r in connected_components(neardedup.similar_links(keyed, limit=15)).collect()}

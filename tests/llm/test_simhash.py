@@ -176,7 +176,7 @@ def test_large_buckets_are_walked_in_parts(spark):
     rows = [(i, text + f" {i}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     hashed = [neardedup.wide_fingerprint(t) for _, t in rows]
-    keyed = spark.createDataFrame([(i, f, neardedup.block_keys(f)) for i, f in enumerate(hashed)], "row long, fp binary, keys array<int>")
+    keyed = spark.createDataFrame([(i, f, neardedup.block_keys(f, neardedup.block_orders(15, 4))) for i, f in enumerate(hashed)], "row long, fp binary, keys array<long>")
     labels = connected_components(neardedup.similar_links(keyed, limit=20)).select("label").distinct().count()
     assert labels == 1
     assert [r["doc_id"] for r in neardedup.drop_near_duplicates(docs).collect()] == [0]

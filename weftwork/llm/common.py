@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
@@ -37,9 +38,26 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_scratch: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _scratch:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that shared_path() names inside are deleted at the end; nothing that still reads them may be left."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            delete(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -48,6 +66,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of one part of a table that was counted, about.
+PART_ROWS = 1 << 16
+
+
+def counted_cut(df: DataFrame, marked: Column | None = None, part_rows: int | None = PART_ROWS) -> tuple[DataFrame, int]:
+    """cut(df), and the number of its rows, or of those that are ``marked``; counted as they are written.
+
+    The table comes in no more parts than its rows fill (where ``part_rows`` is given): a table that fits one part is
+    joined and grouped without a shuffle, and a larger one is dealt as ever.
+    """
+    seen = Observation()
+    metrics = [F.count(F.lit(1)).alias("n"), F.count_if(marked if marked is not None else F.lit(True)).alias("marked")]
+    out = cut(df.observe(seen, *metrics))
+    found = seen.get
+    return out.coalesce(max(1, -(-found["n"] // part_rows))) if part_rows else out, found["marked"]
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder, in whatever store it is."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -70,7 +105,7 @@ def located(docs: DataFrame) -> DataFrame:
         rows = placed(docs, F.struct("*"))
     except AnalysisException:  # it has no files
         rows = None
-    if rows is not None and rows.groupBy("file", "row").count().filter("file is null or row is null or count > 1").isEmpty():
+    if rows is not None and not rows.groupBy("file", "row").count().filter("file is null or row is null or count > 1").count():
         return rows
     staged = shared_path(docs.sparkSession, "rows")
     docs.select(F.struct("*").alias("record")).write.parquet(staged)
@@ -81,12 +116,13 @@ def located(docs: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 100_000
 
 
-def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def if_small(df: DataFrame, most: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """``df``, to be broadcast if it has at most ``most`` rows, which are counted; a larger one is shuffled.
 
-    The other side then stays where it is. ``df`` should be cut, so that counting it costs little.
+    The other side then stays where it is. ``df`` should be cut, so that counting it costs little; its number of
+    ``rows`` may be known.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if (df.limit(most + 1).count() if rows is None else rows) <= most else df
 
 
 def whole(text: str | Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import cut
+from weftwork.llm.common import counted_cut
 
 
 def to_roots(hooks: DataFrame) -> DataFrame:
@@ -15,12 +15,13 @@ def to_roots(hooks: DataFrame) -> DataFrame:
 
     Paths halve in each round; a round more finds that none is left.
     """
-    while True:
+    moved = 1
+    while moved:
         up = hooks.select(F.col("node").alias("to"), F.col("to").alias("_up"))
-        jumped = cut(hooks.join(up, "to", "left").select("node", F.coalesce("_up", "to").alias("to"), F.col("_up").isNotNull().alias("moved")))
+        jumped = hooks.join(up, "to", "left").select("node", F.coalesce("_up", "to").alias("to"), F.col("_up").isNotNull().alias("moved"))
+        jumped, moved = counted_cut(jumped, F.col("moved"))
         hooks = jumped.select("node", "to")
-        if jumped.filter("moved").isEmpty():
-            return hooks
+    return hooks
 
 
 def contracted(links: DataFrame, hooks: DataFrame) -> DataFrame:
@@ -40,13 +41,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Every round each node hooks to its smallest neighbour that is smaller than itself (a groupBy with partial
     minima, so a hub's links are combined before the shuffle), paths are followed to their roots, and the links
     are carried over to the roots, where most become one or none: a star is gone after one round, and each round
-    works on what the last has left. Links and hooks are cut into the shared folder; nothing but whether a table is
-    empty reaches the driver.
+    works on what the last has left. Links and hooks are cut into the shared folder; nothing but numbers of rows
+    reaches the driver.
     """
-    links, rounds = cut(ordered(edges)), []
-    while not links.isEmpty():
+    links, n = counted_cut(ordered(edges))
+    rounds: list[DataFrame] = []
+    while n:
         rounds.append(to_roots(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))))
-        links = cut(contracted(links, rounds[-1]))
+        links, n = counted_cut(contracted(links, rounds[-1]))
     if not rounds:
         return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
 

@@ -1,14 +1,16 @@
 """Near-dedup of texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
 
 Fingerprints only pick candidates: each distinct shingle counts once in a fingerprint of 256 bits, which is cut into
-17 blocks of 15 bits in four arrangements; texts that share a block meet, and those within a distance become one group
-of candidates. By calculation a pair at 0.8 shares a block with a probability over 0.99 and is within the distance
-with one over 0.999. Every link is then verified on the shingle sets of its two texts: within a group of candidates all
-pairs are, as far as they may still join what no other link has joined. The tests measure recall.
+blocks in several orders of its bits; texts that share a block meet, and those within a distance become one group of
+candidates. Blocks get wider, and more of them, with the number of texts, so that a block's buckets hold about as many
+unrelated texts at every size. By calculation a pair at 0.8 shares a block with a probability of 0.999 and is within
+the distance with one over 0.999. Every link is then verified on the shingle sets of its two texts: within a group of
+candidates all pairs are, as far as they may still join what no other link has joined. The tests measure recall.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import cut, if_small, located, texts_for_python, whole
+from weftwork.llm.common import counted_cut, cut, if_small, located, texts_for_python, whole
 from weftwork.llm.components import connected_components
 
 LANES, SHINGLE, SEED = 4, 5, 42
@@ -33,13 +35,25 @@ PART_SHINGLES = 1 << 20
 PIVOTS = 16
 #: Fingerprints of one bucket that a task holds, 32 bytes each; a larger bucket is one group of candidates.
 BUCKET_LIMIT = 1 << 18
-BLOCK_BITS = 15
-BLOCKS = BITS // BLOCK_BITS
-#: Orders in which the bits are cut into blocks: as they are, across, and two by hashes of their numbers.
-ORDERS = np.array([
-    range(BLOCKS * BLOCK_BITS), [j * BLOCKS + i for i in range(BLOCKS) for j in range(BLOCK_BITS)],
-    *(sorted(range(BITS), key=lambda i, s=s: xxhash.xxh64_intdigest(str(i), s))[: BLOCKS * BLOCK_BITS] for s in (1, 2)),
-])
+#: Bits of a block at least, and the texts of a bucket that are together by chance, at most.
+LEAST_BITS, BY_CHANCE = 15, 256
+#: Bits in which a pair at 0.8 differs, and the share of such pairs that may share no block.
+DIFFERING, MISSED = 39, 0.001
+
+
+def block_plan(texts: int) -> tuple[int, int]:
+    """Bits of a block and number of orders for so many different texts."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, texts) / BY_CHANCE)))
+    blocks = math.log(MISSED) / math.log(1 - (1 - DIFFERING / BITS) ** bits)
+    return bits, math.ceil(blocks / (BITS // bits))
+
+
+def block_orders(bits: int, orders: int) -> np.ndarray:
+    """Places of the bits of all blocks, a row for each: as they are, across, and then by hashes of their numbers."""
+    n = BITS // bits
+    by_hash = lambda seed: sorted(range(BITS), key=lambda i: xxhash.xxh64_intdigest(str(i), seed))[: n * bits]
+    across = [j * n + i for i in range(n) for j in range(bits)]
+    return np.array([[*range(n * bits)], across, *map(by_hash, range(1, orders - 1))][:orders]).reshape(-1, bits)
 
 
 def lanes(hashes: np.ndarray) -> np.ndarray:
@@ -74,11 +88,10 @@ def wide_fingerprint(text: str, size: int = SHINGLE, seed: int = SEED, step: int
     return fingerprint_of(shingle_set(text, size, seed), step)
 
 
-def block_keys(fp: bytes) -> list[int]:
-    """Keys of all blocks in all orders: the block's number and its bits."""
-    bits = np.unpackbits(np.frombuffer(fp, dtype=np.uint8), bitorder="little")[ORDERS].reshape(-1, BLOCK_BITS)
-    blocks = np.packbits(np.pad(bits, ((0, 0), (0, 16 - BLOCK_BITS))), axis=1, bitorder="little").view("<u2").ravel()
-    return (blocks.astype(np.int32) | np.arange(len(blocks), dtype=np.int32) << BLOCK_BITS).tolist()
+def block_keys(fp: bytes, orders: np.ndarray) -> list[int]:
+    """Keys of all blocks: the block's number and its bits."""
+    bits = np.unpackbits(np.frombuffer(fp, dtype=np.uint8), bitorder="little")[orders]
+    return (np.arange(len(orders)) << orders.shape[1] | bits.astype(np.int64) @ (1 << np.arange(orders.shape[1]))).tolist()
 
 
 def bucket_forest(ids: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,22 +237,24 @@ def verified_links(members: DataFrame, part_shingles: int = PART_SHINGLES) -> Da
     part by part as separate tasks: pairs within that component need no link, and all others meet.
     """
     size = F.length("shingles") / 8
-    groups = members.groupBy("label").agg(F.ceil(F.sum(size) / part_shingles).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"))
-    groups = cut(groups.select("label", F.greatest("parts", F.lit(1)).alias("parts"), "n"))
+    groups = members.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / part_shingles)).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"))
+    large, n_large = counted_cut(groups.filter("parts > 1"))
     spread = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
-    placed = members.join(if_small(groups), "label").withColumn("part", spread(1, F.col("parts")))
+    placed = members.join(if_small(large, rows=n_large), "label", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", spread(1, F.col("parts")))
     pivot = (F.col("parts") > 1) & (spread(2, F.greatest(F.lit(1), F.floor(F.col("n") / PIVOTS))) == 0)
     parts = F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
-    found = cut(links_of_groups(placed.select("label", F.explode(parts).alias("i"), F.lit(0).alias("j"), "node", "shingles")))
-    large = groups.filter("parts > 1")
-    if large.isEmpty():
+    found = links_of_groups(placed.select("label", F.explode(parts).alias("i"), F.lit(0).alias("j"), "node", "shingles"))
+    if not n_large:
         return found
+    found, _ = counted_cut(found)
     # of the groups in parts: the component that each member is in, the group's largest, and what is not in it
     joined = connected_components(found).withColumnRenamed("label", "joined")
-    at = cut(placed.filter("parts > 1").select("node", "label", "part", "parts", size.alias("size")).join(joined, "node", "left").withColumn("joined", F.coalesce("joined", "node")))
+    at, _ = counted_cut(placed.filter("parts > 1").select("node", "label", "part", "parts", size.alias("size")).join(joined, "node", "left").withColumn("joined", F.coalesce("joined", "node")))
     main = at.groupBy("label", "joined").count().groupBy("label").agg(F.max_by("joined", F.struct("count", "joined")).alias("main"))
-    left = cut(at.join(main, "label").filter("joined <> main").select("node", "label", "part", "parts", "size"))
-    against = cut(left.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / part_shingles)).cast("int").alias("lefts")))
+    left, n_left = counted_cut(at.join(main, "label").filter("joined <> main").select("node", "label", "part", "parts", "size"))
+    if not n_left:
+        return found
+    against, _ = counted_cut(left.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / part_shingles)).cast("int").alias("lefts")))
     whole_group = at.select("node", "label", "part").join(against, "label").select("node", "label", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.col("part").alias("j"))
     others = left.join(against, "label").select("node", "label", spread(3, F.col("lefts")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
     return found.union(links_of_groups(whole_group.union(others).join(members.select("node", "shingles"), "node")))
@@ -250,9 +265,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Near duplicates are texts that verified links join, each between two texts whose sets of five-word shingles have
     a Jaccard similarity of 0.8 or more. Null and empty texts are equal to each other and so one of them stays; null
-    ids come before all others; of rows that share an id one is told from another by its locator. Fingerprints
-    are kept once; texts with the same shingles are one class before the search; the shingles of candidates
-    alone are moved; only the dropped rows' locators are joined away.
+    ids come before all others; of rows that share an id one is told from another by its locator; texts of fewer
+    than five words are one shingle; an empty table gives no rows. Fingerprints are kept once; texts with the same
+    shingles are one class before the search; the shingles of candidates alone are moved; only the dropped rows'
+    locators are joined away.
     """
 
     @F.pandas_udf("binary")
@@ -264,23 +280,25 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def shingled(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t).tobytes() for t in texts])
 
-    @F.pandas_udf("array<int>")
-    def keys(fps: pd.Series) -> pd.Series:
-        return pd.Series([block_keys(f) for f in fps])
-
     # as nondeterministic functions they are computed once a row, not again by what stands above
     rows = texts_for_python(located(docs))
     place, text = ["file", "row"], whole(F.col("record")[text_col])
     prints = cut(rows.select(F.col("record")[id_col].alias("doc_id"), *place, hashed.asNondeterministic()(text).alias("print")))
-    classes = cut(prints.groupBy("print").agg(F.min(F.struct("doc_id", *place)).alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    classes = prints.groupBy("print").agg(F.min(F.struct("doc_id", *place)).alias("first")).withColumn("node", F.monotonically_increasing_id())
+    classes, n = counted_cut(classes, part_rows=None)
+    orders = block_orders(*block_plan(n))
+
+    @F.pandas_udf("array<long>")
+    def keys(fps: pd.Series) -> pd.Series:
+        return pd.Series([block_keys(f, orders) for f in fps])
+
     fps = classes.select(F.col("node").alias("row"), F.expr(f"substring(print, 1, {BITS // 8})").alias("fp"))
     candidates = connected_components(similar_links(fps.select("row", "fp", keys.asNondeterministic()("fp").alias("keys")), distance))
-    known = cut(candidates.join(classes, "node").select("node", "label", "first.file", "first.row"))
-    sets = cut(rows.join(if_small(known), place).select("node", "label", shingled.asNondeterministic()(text).alias("shingles")))
-    linked = connected_components(verified_links(sets))
-    members = linked.join(classes, "node")
-    best = members.groupBy("label").agg(F.min("first").alias("best"))
-    stays = members.join(best, "label").filter("first <> best").select("first.file", "first.row")
+    known, n_known = counted_cut(candidates.join(classes, "node").select("node", "label", "first.file", "first.row"))
+    sets = cut(rows.join(if_small(known, rows=n_known), place).select("node", "label", shingled.asNondeterministic()(text).alias("shingles")))
+    linked, _ = counted_cut(connected_components(verified_links(sets)).join(classes, "node").select("label", "first"))
+    best = linked.groupBy("label").agg(F.min("first").alias("best"))
+    stays = linked.join(best, "label").filter("first <> best").select("first.file", "first.row")
     copies = prints.join(classes, "print").filter(F.struct(*place) != F.struct("first.file", "first.row")).select(*place)
-    dropped = cut(copies.union(stays))
-    return rows.join(if_small(dropped), place, "left_anti").select("record.*")
+    dropped, n_dropped = counted_cut(copies.union(stays))
+    return rows.join(if_small(dropped, rows=n_dropped), place, "left_anti").select("record.*")

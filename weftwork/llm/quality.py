@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import cut, if_small, texts_for_python, whole
+from weftwork.llm.common import cut, if_small, shared_path, texts_for_python, whole
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -179,10 +179,16 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, same columns, which may have any names."""
-    rows = counted(docs.select(F.struct("*").alias("record"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
-    references = cut(fit_references(rows))
-    return judged(rows, references).filter("kept").select("record.*")
+    """The rows of ``docs`` that the rules keep, same columns, which may have any names.
+
+    Null and empty texts go; null languages are a language of their own; repeated rows stay or go together; of an
+    empty table nothing stays. Rows are written with their counts to the shared folder once: the references
+    read the counts alone, and texts are counted once.
+    """
+    staged = shared_path(docs.sparkSession, "counted")
+    counted(docs.select(F.struct("*").alias("record"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))).drop("text").write.parquet(staged)
+    rows = docs.sparkSession.read.parquet(staged)
+    return judged(rows, cut(fit_references(rows))).filter("kept").select("record.*")
 
 
 def op1(docs: DataFrame) -> DataFrame:

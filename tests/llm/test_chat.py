@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tests.conftest import SMALL
+from tests.conftest import SMALL, same_rows
 from weftwork.llm import chat
 
 ROWS = "conv_id long, turn long, role string, text string"
@@ -48,10 +48,36 @@ def test_odd_rows(spark):
     check(spark, spark.createDataFrame([], ROWS))
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system"]), st.text(alphabet="#\\</turn>\n ab\u2028é", max_size=30)), min_size=1, max_size=12))
-def test_any_text_comes_back(spark, turns):
-    check(spark, spark.createDataFrame([(1, i, role, text) for i, (role, text) in enumerate(turns)], ROWS))
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system"]), st.text(alphabet="#\\</turn>\n ab\u2028é", max_size=30)), min_size=1, max_size=6), min_size=5, max_size=20))
+def test_any_text_comes_back(spark, conversations):
+    check(spark, spark.createDataFrame([(c, i, role, text) for c, turns in enumerate(conversations) for i, (role, text) in enumerate(turns)], ROWS))
+
+
+def test_roles_are_kept_and_layouts_are_found(spark, duck):
+    """Roles that another layout has other names for; a question with its answer is a record of fields."""
+    rows = [(1, 0, "human", "q"), (1, 1, "bot", "r"), (2, 0, "user", "q"), (2, 1, "assistant", "r"), (3, 0, "system", "s"), (3, 1, "user", "q"), (3, 2, "assistant", "r"), (4, 0, "user", "q"), (4, 1, "assistant", ""), (5, 0, "User", "q"), (5, 1, "gpt", "r")]
+    df = spark.createDataFrame(rows, ROWS)
+    check(spark, df)
+    out = chat.with_turns(chat.conversation_records(df), "record", sample_col="sample")
+    assert {r["conv_id"]: r["layout"] for r in out.collect()} == {1: "messages", 2: "prompt_completion", 3: "system_prompt_response", 4: "messages", 5: "messages"}
+    same_as_sql = duck.cursor()
+    same_as_sql.register("rows", df.toPandas())
+    same_as_sql.execute("CREATE TEMP VIEW conversations AS SELECT * FROM rows")
+    same_rows(chat.op8(df), same_as_sql, chat.SQL)
+
+
+def test_clashing_columns(spark):
+    df = spark.read.parquet(f"{SMALL}/conversations.parquet")
+    more = df.select("*", *[F.lit("own").alias(c) for c in ("record", "sample", "layout", "turns", "messages", "formatted", "loss", "_print", "content")])
+    assert sorted(map(tuple, chat.op8(more).collect())) == sorted(map(tuple, chat.op8(df).collect()))
+
+
+def test_long_patterns(spark):
+    """Patterns that repeat a group do not pile up calls: a role of lines, a text of signs."""
+    rows = spark.createDataFrame([(1, 0, "r\n", "q"), (1, 1, "assistant", "##</turn>\\")], ROWS)
+    long = rows.select("conv_id", "turn", F.when(F.col("turn") == 0, F.repeat("role", F.lit(500_000))).otherwise(F.col("role")).alias("role"), F.repeat("text", F.lit(100_000)).alias("text"))
+    check(spark, long)
 
 
 def test_no_control_string_is_left_in_a_text(spark):
@@ -65,7 +91,8 @@ def test_layouts(spark):
     records = [
         ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "r"}]}, "messages", [u, a]),
         ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "r"}]}, "conversations", [u, a]),
-        ({"turns": [{"text": "q", "role": "user"}, {"role": "Bot", "text": "r"}]}, "turns", [u, a]),
+        ({"turns": [{"text": "q", "role": "user"}, {"role": "Bot", "text": "r"}]}, "turns", [u, ("Bot", "r")]),
+        ({"conversations": [{"from": "Human", "value": "q"}, {"from": "other", "value": "r"}]}, "conversations", [u, ("other", "r")]),
         ({"completion": "r", "prompt": "q"}, "prompt_completion", [u, a]),
         ({"prompt": "q", "response": "r"}, "prompt_response", [u, a]),
         ({"system": "s", "prompt": "q", "response": "r"}, "system_prompt_response", [s, u, a]),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,11 +10,14 @@ from pyspark.sql import functions as F
 
 from weftwork.llm.common import running_spans
 
-#: Declarative mappings by layout. "turns": an array and its role and text fields; "fields": fields and their
-#: roles, in order; empty ones give no turn. A layout is known by the field paths of a record of its kind.
+#: Names that the layout with "from" gives the roles.
+ROLE_NAMES = {"human": "user", "gpt": "assistant", "chatgpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Declarative mappings by layout. "turns": an array and its role and text fields; "roles": other names of roles, any
+#: case, where a layout has them; "fields": fields and their roles, in order; empty ones give no turn. A layout is
+#: known by the field paths of a record of its kind.
 LAYOUTS = {
     "messages": {"turns": ("messages", "role", "content")},
-    "conversations": {"turns": ("conversations", "from", "value")},
+    "conversations": {"turns": ("conversations", "from", "value"), "roles": ROLE_NAMES},
     "turns": {"turns": ("turns", "role", "text")},
     "prompt_completion": {"fields": (("prompt", "user"), ("completion", "assistant"))},
     "prompt_response": {"fields": (("prompt", "user"), ("response", "assistant"))},
@@ -23,9 +27,6 @@ LAYOUTS = {
     "instruction_input": {"fields": (("instruction", "user"), ("input", "user"), ("output", "assistant"))},
     "system_instruction": {"fields": (("system", "system"), ("instruction", "user"), ("output", "assistant"))},
 }
-#: Names that other layouts give the roles.
-ROLE_NAMES = {"human": "user", "gpt": "assistant", "chatgpt": "assistant", "bot": "assistant", "model": "assistant"}
-
 #: A turn is HEAD, its role, a newline, its text and TAIL.
 HEAD, TAIL = "### ", "</turn>\n"
 HEADER = r"^### ((?:[^\\\n]++|\\(?s:.))*+)\n"
@@ -70,12 +71,12 @@ READ = {"maxStringLen": str((1 << 31) - 1)}
 
 
 def canonical_turns(record: Column, layout: dict) -> Column:
-    """Turns (role, text) of a JSON record of the layout; null roles and texts are empty."""
+    """Turns (role, text) of a JSON record of the layout; null roles and texts are empty, roles are as they came."""
     if "turns" in layout:
         array, role, text = layout["turns"]
         found = F.from_json(record, f"struct<`{array}`:array<struct<`{role}`:string,`{text}`:string>>>", READ)[array]
-        names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
-        name = lambda r: F.coalesce(F.try_element_at(names, F.lower(r)), r, F.lit(""))
+        names = F.create_map(*[F.lit(x) for pair in layout.get("roles", {}).items() for x in pair]).cast("map<string,string>")
+        name = lambda r: F.coalesce(F.try_element_at(names, F.lower(r)) if "roles" in layout else r, r, F.lit(""))
         return F.transform(found, lambda t: F.struct(name(t[role]).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
     fields = F.from_json(record, "struct<" + ",".join(f"`{field}`:string" for field, _ in layout["fields"]) + ">", READ)
     turns = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(fields[field], F.lit("")).alias("text")) for field, role in layout["fields"]])
@@ -85,9 +86,9 @@ def canonical_turns(record: Column, layout: dict) -> Column:
 def with_turns(records: DataFrame, record_col: str, layouts: dict[str, dict] = LAYOUTS, sample_col: str | None = None) -> DataFrame:
     """``records`` with layout and turns; both are null where no layout has the record's field paths.
 
-    The paths are read from the record as a variant, which is limited in size, or from ``sample_col``: a small record
-    of the same paths.
-    The table of layouts has one row for each mapping and is broadcast.
+    The paths are read from the record as a variant, which takes up to 128 MB and strings of up to 20 million
+    characters, or from ``sample_col``: a small record of the same paths, for records of any size. The table of
+    layouts has one row for each mapping and is broadcast.
     """
     spark = records.sparkSession
     rows = [F.struct(F.lit(name).alias("layout"), F.lit(sample_record(layout)).alias("sample")) for name, layout in layouts.items()]
@@ -143,20 +144,39 @@ def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str
     return turns.select("conv_id", "layout", formatted(some).alias("formatted"), loss_spans(some).alias("loss"))
 
 
+#: Roles of conversations that are told as fields, and the layout's fields.
+TOLD_AS_FIELDS = ((("user", "assistant"), ("prompt", "completion")), (("system", "user", "assistant"), ("system", "prompt", "response")))
+
+
 def conversation_records(rows: DataFrame) -> DataFrame:
-    """``rows(conv_id, turn, role, text)`` as JSON records with messages in order of turn; nulls are empty.
+    """``rows(conv_id, turn, role, text)`` as JSON records in order of turn: conv_id, record, sample; nulls are empty.
 
-    Rows of one turn are ordered by role and text, rows without a turn come first. A conversation is one
-    record and so is put together in one place. The sample has the record's field paths and no texts.
+    Rows of one turn are ordered by role and text, rows without a turn come first. A question and its answer, with a
+    system text or without, are told as fields, all other conversations as messages: the layouts of a table differ, and
+    what reads the records finds out. A conversation is one record and so is put together in one place.
+    The sample has the record's field paths and no texts.
     """
     message = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     told = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("messages"))
-    plain = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    blank = F.array(F.struct(F.lit("").alias("role"), F.lit("").alias("content")))
-    return told.select("conv_id", F.to_json(F.struct(plain.alias("messages"))).alias("record"), F.to_json(F.struct(blank.alias("messages"))).alias("sample"))
+
+    def record(of: Callable[[Column], Column]) -> Column:
+        plain = F.transform("messages", lambda m: F.struct(of(m["role"]).alias("role"), of(m["content"]).alias("content")))
+        out = F.to_json(F.struct(plain.alias("messages")))
+        roles = F.transform("messages", lambda m: m["role"])
+        for wanted, fields in TOLD_AS_FIELDS:
+            fits = (roles == F.array(*map(F.lit, wanted))) & F.forall("messages", lambda m: m["content"] != "")
+            out = F.when(fits, F.to_json(F.struct(*[of(F.get("messages", i)["content"]).alias(f) for i, f in enumerate(fields)]))).otherwise(out)
+        return out
+
+    return told.select("conv_id", record(lambda text: text).alias("record"), record(lambda text: F.substring(text, 1, 0)).alias("sample"))
 
 
 def op8(conversations: DataFrame) -> DataFrame:
+    """What comes back from the formatted text of each conversation, and of the one that the query adds.
+
+    Null roles and texts are empty, a null conv_id is a conversation of its own, repeated rows are turns of their own, and
+    an empty table gives the added conversation alone. Further columns play no part.
+    """
     spark = conversations.sparkSession
     added = spark.range(1).select(F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role")))).alias("t"))
     added = added.select(F.lit(ADDED_ID).cast("long").alias("conv_id"), F.col("t.turn").cast("long").alias("turn"), "t.role", F.lit(ADDED_TEXT).alias("text"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftwork.llm.common import cut, let
+
 #: (verdict, host, path); a rule fits its host, all subdomains, and urls whose path starts with its path.
 RULES = (
     ("block", "com", "/en/"),
@@ -16,6 +18,8 @@ RULES = (
 #: Sites of this query's list, blocked where no rule fits: a site's root stands for it and its subdomains.
 LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 LISTED = tuple(f"{name}.example.{top}/" for name in LISTED_NAMES for top in ("com", "net", "org"))
+#: The query lists pages of the table too, one in sixteen: those whose canonical url has an MD5 that begins so.
+LISTED_MD5 = "0"
 
 #: The filter: blocks of eight 64-bit words, a key sets one bit in each word of its block.
 WORDS = 8
@@ -45,23 +49,27 @@ def rule_table(spark: SparkSession, rules: tuple[tuple[str, str, str], ...] = RU
     return table.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and its parents at dots: a.b.c gives a.b.c, b.c, c."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def n_labels(host: Column) -> Column:
+    return F.size(F.split(host, r"\."))
+
+
+def host_suffixes(host: Column, most: Column | int) -> Column:
+    """The host and its parents at dots, those of at most ``most`` labels: of a.b.c and 2 these are b.c and c."""
+    below = lambda labels: F.sequence(F.greatest(F.lit(1), F.size(labels) - most + 1), F.size(labels))
+    return let(F.split(host, r"\."), lambda labels: F.transform(below(labels), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
 
 
 def fitting_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """The longest fitting rule of each row of ``pages(row_id, host, path)``: row_id, rule, verdict.
 
-    A url's candidates are its host's suffixes, each with the prefixes of its path that are as long as some
-    rule's path; they are looked up in the rules by an equi-join. Distinct path lengths are few however many
-    rules there are. Of rules that are equally long the longer host wins.
+    A url's candidates are its host's suffixes, as deep as some rule's host is, each with the prefixes of its path that
+    are as long as some rule's path; they are looked up in the rules by an equi-join. Distinct path lengths are few
+    however many rules there are. Of rules that are equally long the longer host wins.
     """
-    lengths = rules.select(F.length("rule_path").alias("n")).distinct().agg(F.sort_array(F.collect_set("n")).alias("lengths"))
+    lengths = rules.select(F.length("rule_path").alias("n"), n_labels(F.col("rule_host")).alias("labels")).distinct().agg(F.sort_array(F.collect_set("n")).alias("lengths"), F.coalesce(F.max("labels"), F.lit(0)).alias("deepest"))
     keyed = pages.crossJoin(F.broadcast(lengths)).select(
         "row_id",
-        F.explode(host_suffixes(F.col("host"))).alias("rule_host"),
+        F.explode(host_suffixes(F.col("host"), F.col("deepest"))).alias("rule_host"),
         F.filter(F.coalesce("lengths", F.array().cast("array<int>")), lambda n: n <= F.length("path")).alias("lengths"),
         "path",
     )
@@ -72,17 +80,26 @@ def fitting_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select("row_id", F.concat("best.rule_host", "best.rule_path").alias("rule"), F.col("best.verdict").alias("rule_verdict"))
 
 
-def canonical_keys(host: Column, path: Column) -> Column:
-    """Keys under which a url may be listed: the roots of its site and of the sites above it, and its page.
-
-    The host loses its port, the path repeated slashes, a last slash and ``.html``; a page is listed with its
-    host without ``www.`` or ``m.``. No host gives no keys.
-    """
-    name = F.regexp_replace(host, r":\d*$", "")
+def page_key(host: Column, path: Column) -> Column:
+    """The canonical url of a page: no port, no ``www.`` or ``m.``, no repeated or last slash, no ``.html``; null without a host."""
     page = F.regexp_replace(F.regexp_replace(path, r"/+", "/"), r"(?:/index)?\.html?$|/$", "")
-    roots = F.transform(host_suffixes(name), lambda h: F.concat(h, F.lit("/")))
-    own = F.concat(F.regexp_replace(name, r"^(?:www|m)\.", ""), F.when(page == "", "/").otherwise(page))
-    return F.when(host != "", F.array_distinct(F.array_append(roots, own))).otherwise(F.array().cast("array<string>"))
+    own = F.concat(F.regexp_replace(site_name(host), r"^(?:www|m)\.", ""), F.when(page == "", "/").otherwise(page))
+    return F.when(host != "", own)
+
+
+def site_name(host: Column) -> Column:
+    return F.regexp_replace(host, r":\d*$", "")
+
+
+def canonical_keys(host: Column, path: Column, most: int) -> Column:
+    """Keys under which a url may be listed: its page, and the roots of its site and of the sites above it, of up to ``most`` labels."""
+    roots = F.transform(host_suffixes(site_name(host), most), lambda h: F.concat(h, F.lit("/")))
+    return F.when(host != "", F.array_distinct(F.array_append(roots, page_key(host, path)))).otherwise(F.array().cast("array<string>"))
+
+
+def deepest_site(listed: DataFrame) -> int:
+    """Labels of the deepest site root among ``listed(key)``; 0 without any."""
+    return listed.filter(F.col("key").rlike("^[^/]*/$")).agg(F.coalesce(F.max(n_labels(F.col("key"))), F.lit(0))).first()[0]
 
 
 def bit_masks(key: Column) -> list[Column]:
@@ -125,14 +142,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: st
     """One row per page: the id, host, path, rule, verdict, listed.
 
     Null urls, and urls without ``://``, have empty host and path, fit no rule and are allowed. Rows that
-    share an id, or have none, are judged one by one; an empty table gives an empty result.
+    share an id, or have none, are judged one by one; an empty table gives an empty result; further columns play no
+    part. A host of very many labels has no more keys than the rules and the listed sites are deep.
     """
     host, path = url_parts(url_col)
     parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     distinct = parts.select("host", "path").distinct().select(F.struct("host", "path").alias("row_id"), "host", "path")
     ruled = fitting_rule(distinct, rules)
     rest = distinct.join(ruled, "row_id", "left_anti")
-    hits = listed_rows(rest.select("row_id", F.explode(canonical_keys(F.col("host"), F.col("path"))).alias("key")), listed)
+    hits = listed_rows(rest.select("row_id", F.explode(canonical_keys(F.col("host"), F.col("path"), deepest_site(listed))).alias("key")), listed)
     judged = ruled.select("row_id", "rule", F.col("rule_verdict").alias("verdict"), F.lit(False).alias("listed")).union(
         hits.select("row_id", F.lit(None).cast("string"), F.lit("block"), F.lit(True))
     ).select(F.col("row_id.host").alias("_host"), F.col("row_id.path").alias("_path"), "rule", "verdict", "listed")
@@ -141,10 +159,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: st
     )
 
 
+def listed_urls(pages: DataFrame) -> DataFrame:
+    """The query's list: the fixed sites, and the canonical urls of one in sixteen of the table's pages."""
+    sites = pages.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in LISTED])).alias("key"))
+    own = pages.select(page_key(*url_parts("url")).alias("key")).distinct()
+    return sites.union(own.filter(F.md5("key").startswith(LISTED_MD5)))
+
+
 def op6(pages: DataFrame) -> DataFrame:
-    spark = pages.sparkSession
-    listed = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in LISTED])).alias("key"))
-    return judge_urls(pages, rule_table(spark), listed).select("page_id", "host", "path", "rule", "verdict")
+    return judge_urls(pages, rule_table(pages.sparkSession), cut(listed_urls(pages))).select("page_id", "host", "path", "rule", "verdict")
 
 
 def _sql() -> str:
@@ -162,10 +185,12 @@ WITH split AS (
   FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r
 ), named AS (
   SELECT *, regexp_replace(host, ':\d*$', '') AS name, regexp_replace(regexp_replace(path, '/+', '/', 'g'), '(?:/index)?\.html?$|/$', '', 'g') AS page FROM parts
-), listed(k) AS (VALUES {listed}
+), keyed AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(name, '^(?:www|m)\.', '') || (CASE WHEN page = '' THEN '/' ELSE page END) END AS own FROM named
+), listed(k) AS (VALUES {listed} UNION SELECT own FROM keyed WHERE md5(own) LIKE '{LISTED_MD5}%'
 ), hits AS (
-  SELECT DISTINCT r FROM named JOIN listed ON host <> '' AND (name || '/' = k OR ends_with(name || '/', '.' || k)
-    OR regexp_replace(name, '^(?:www|m)\.', '') || (CASE WHEN page = '' THEN '/' ELSE page END) = k)
+  SELECT r FROM keyed JOIN listed ON own = k
+  UNION SELECT r FROM keyed JOIN (SELECT k FROM listed WHERE regexp_matches(k, '^[^/]*/$')) ON host <> '' AND (name || '/' = k OR ends_with(name || '/', '.' || k))
 )
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN hits.r IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN fitted USING (r) LEFT JOIN hits USING (r)

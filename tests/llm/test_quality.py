@@ -67,6 +67,28 @@ def test_far_from_its_language_goes_and_short_texts_are_guarded(spark):
     assert out[-2]["kept"]  # too short for its histograms to say anything
 
 
+def test_each_distance_rejects_what_the_other_keeps(spark):
+    normal = documents(spark, SMALL).filter("lang = 'en'").select("doc_id", "text", "lang", "source", "n_chars")
+    prose = normal.filter("length(text) > 3000").first()["text"].split()
+    marked = " ".join(w + "$%&*" * (i % 2) if w.lower() in quality.COMMON_WORDS["en"] else w for i, w in enumerate(prose[:500]))  # common words as ever, signs behind them
+    marked = " ".join(w.replace("$%&*", " $%&*$%&*$%&*") for w in marked.split())
+    other = " ".join("tree" if w.lower().strip(".,") in quality.COMMON_WORDS["en"] else w for w in prose[:500])  # letters as ever, no common words
+    odd = [(-1, marked, "en", "z", 0), (-2, other, "en", "z", 0)]
+    rows = quality.counted(normal.unionByName(spark.createDataFrame(odd, normal.schema)))
+    references = quality.cut(quality.fit_references(rows))
+    limit = references.filter("ref_lang = 'en'").first()
+    out = {r["doc_id"]: r for r in quality.judged(rows, references).filter("doc_id < 0").collect()}
+    words = lambda i: max(quality.WORD_FLOOR, limit["word_limit"] / out[i]["counts"]["n_words"] ** 0.5)
+    assert not out[-1]["base_failed"] and not out[-2]["base_failed"] and not out[-1]["kept"] and not out[-2]["kept"]
+    assert out[-1]["char_distance"] > limit["char_limit"] and out[-1]["word_distance"] <= words(-1)
+    assert out[-2]["char_distance"] <= limit["char_limit"] and out[-2]["word_distance"] > words(-2)
+
+
+def test_classes_are_those_of_unicode():
+    table, names = quality.class_table(), list(quality.CLASSES)
+    assert [names[table[ord(c)]] for c in "aÉ日5٣ \u00a0\t.«$😀\x00ß½"] == ["lower", "upper", "letter", "digit", "digit", "space", "space", "space", "punctuation", "punctuation", "symbol", "symbol", "control", "lower", "digit"]
+
+
 def test_clean_documents_stay(spark):
     docs = documents(spark, SMALL)
     good = spark.read.parquet(f"{SMALL}/labels.parquet").filter("quality = 1").select("doc_id")

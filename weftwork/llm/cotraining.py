@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.llm.common import cut, delete, shared_path, texts_for_python, whole
-from weftwork.llm.quality import CLASSES, class_table, lookup_table
+from weftwork.llm.quality import CLASSES, class_counts, class_table, lookup_table
 
 #: Labelled rows that the views are fitted on, at most; chosen by a hash of their ids.
 MAX_LABELLED = 4000
@@ -58,7 +58,7 @@ def text_features(text: str, classes: np.ndarray, lookup: bytes) -> tuple[np.nda
     sums = np.bincount(at, weights=by, minlength=WORD_DIM)
     at = np.flatnonzero(sums)
     bins = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
-    chars = np.array([bins[classes == k].sum() for k in range(len(CLASSES))], dtype=np.float64)
+    chars = class_counts(text, bins, classes).astype(np.float64)
     lines = [x for x in raw.split(b"\n") if x.strip()]
     extra = [*(chars / max(1.0, chars.sum())), min(1.0, chars.sum() / n / 20), len(words) / n, len(set(lines)) / max(1, len(lines))]
     return np.concatenate([at, WORD_DIM + np.arange(EXTRA)]).astype(np.int32), np.concatenate([sums[at] / np.linalg.norm(sums[at]), extra]).astype(np.float32)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -21,12 +22,16 @@ GUARD_CHARS = 200
 GUARD_WORDS = 50
 #: A document's share in a bin of its language's reference counts in these parts of one, so that sums are whole.
 SHARE_UNITS = 1_000_000
-#: Jensen-Shannon distances (square root of the divergence, base 2) above which a text is rejected.
-MAX_CHAR_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.45
-
-CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "other", "control")
-PUNCTUATION = ".,;:!?'\"()-"
+#: Jensen-Shannon distances (square root of the divergence, base 2) above which a text is rejected, for each language
+#: from the texts that its reference is made of. Characters: their median and so much more. Common words: a histogram
+#: of n words is off by chance in proportion to 1 / sqrt(n), so distances times sqrt(n) are compared: their median and
+#: so many times the distance of their quartiles; but never below the floor, however long a text is.
+CHAR_MARGIN = 0.20
+WORD_SPREADS = 3.0
+WORD_FLOOR = 0.15
+
+#: Unicode's categories, by class; ASCII white space is space.
+CLASSES = {"lower": "Ll", "upper": "Lu Lt", "letter": "Lo Lm Mn Mc Me", "digit": "Nd Nl No", "space": "Zs Zl Zp", "punctuation": "Pc Pd Ps Pe Pi Pf Po", "symbol": "Sm Sc Sk So", "control": "Cc Cf Cs Co Cn"}
 #: Marks that part from a word before it is looked up.
 MARKS = ".,;:!?'\"()"
 #: Frequent function words of the languages, most frequent first.
@@ -42,30 +47,23 @@ CHAR_BINS = [f"c_{c}" for c in CLASSES]
 WORD_BINS = [f"w_{i}" for i in range(N_COMMON + 1)]
 
 
+@cache
 def class_table() -> np.ndarray:
-    """Class of each byte; bytes that go on with a character are in none (-1)."""
-    table = np.full(256, CLASSES.index("symbol"))
-    for b in range(256):
-        c = chr(b)
-        if b >= 0xC0:
-            table[b] = CLASSES.index("other")
-        elif b >= 0x80:
-            table[b] = -1
-        elif c.islower():
-            table[b] = CLASSES.index("lower")
-        elif c.isupper():
-            table[b] = CLASSES.index("upper")
-        elif c.isdigit():
-            table[b] = CLASSES.index("digit")
-        elif c == " " or 9 <= b <= 13:
-            table[b] = CLASSES.index("space")
-        elif b < 32 or b == 127:
-            table[b] = CLASSES.index("control")
-        elif c in PUNCTUATION:
-            table[b] = CLASSES.index("punctuation")
+    """Class of each code point."""
+    of = {category: k for k, name in enumerate(CLASSES) for category in CLASSES[name].split()}
+    table = np.fromiter((of[unicodedata.category(chr(c))] for c in range(0x110000)), dtype=np.uint8, count=0x110000)
+    table[[9, 10, 11, 12, 13, 32]] = list(CLASSES).index("space")
     return table
 
 
+def class_counts(text: str, bins: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Characters of a text by class; ``bins`` are the counts of its bytes."""
+    if text.isascii():
+        return np.bincount(classes[:128], weights=bins[:128], minlength=len(CLASSES)).astype(np.int64)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return np.bincount(classes[codes], minlength=len(CLASSES))
+
+
 def lookup_table() -> bytes:
     """Bytes as words are looked up: A-Z lowered, marks as spaces."""
     return bytes(32 if chr(b) in MARKS else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -99,13 +97,13 @@ def text_counts(text: str, lang: str | None, classes: np.ndarray, lookup: bytes,
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     bins = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
-    chars = [int(bins[classes == k].sum()) for k in range(len(CLASSES))]
+    chars = class_counts(text, bins, classes).tolist()
     lines = [x for x in raw.split(b"\n") if x.strip()]
     found = Counter(raw.translate(lookup).split())
     ranked = [found[w] for w in common.get(lang, ())]
     ranked += [0] * (N_COMMON - len(ranked))
-    symbols = int(sum(bins[ord(c)] for c in SYMBOLS))
-    return [len(words), sum(chars) - chars[CLASSES.index("space")], symbols, len(lines) - len(set(lines)), repeated_words(words), *chars, *ranked, found.total() - sum(ranked)]
+    symbols, blanks = int(sum(bins[ord(c)] for c in SYMBOLS)), int(bins[32] + bins[9:14].sum())
+    return [len(words), len(text) - blanks, symbols, len(lines) - len(set(lines)), repeated_words(words), *chars, *ranked, found.total() - sum(ranked)]
 
 
 def counted(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", name: str = "counts") -> DataFrame:
@@ -131,18 +129,6 @@ def long_enough(counts: str = "counts") -> Column:
     return (chars >= GUARD_CHARS) & (F.col(f"{counts}.n_words") >= GUARD_WORDS)
 
 
-def fit_references(rows: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """One row per language of ``rows``, with their counts: ref_lang and a struct of the documents' mean histograms, summed.
-
-    All texts that pass the base rules and the guards count, each with its shares: a very long text weighs as
-    much as any other. Sums of whole numbers, combined before the shuffle: the same for any order of the rows.
-    """
-    good = rows.filter(~base_failed() & long_enough())
-    total = {c: F.nullif(reduce(lambda a, b: a + b, [F.col(f"counts.{x}") for x in bins]), F.lit(0)) for bins in (CHAR_BINS, WORD_BINS) for c in bins}
-    sums = [F.sum(F.floor(F.col(f"counts.{c}") * SHARE_UNITS / n)).alias(c) for c, n in total.items()]
-    return good.groupBy(F.col(lang_col).cast("string").alias("ref_lang")).agg(*sums).select("ref_lang", F.struct(*CHAR_BINS, *WORD_BINS).alias("reference"))
-
-
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two histograms, arrays of one length, in [0, 1]; null where one is empty."""
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
@@ -152,17 +138,43 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.when(divergence > 0, divergence).when(divergence.isNotNull(), 0.0))
 
 
+def distances(rows: DataFrame, references: DataFrame, lang_col: str) -> DataFrame:
+    """``rows`` and the reference of their language, with char_distance and word_distance, and the latter times sqrt(words).
+
+    References have a row per language; they are counted and broadcast if they are few.
+    """
+    joined = rows.join(if_small(references), F.col(lang_col).cast("string").eqNullSafe(F.col("ref_lang")), "left")
+    both = lambda bins: F.round(js_distance(F.array(*[f"counts.{c}" for c in bins]), F.array(*[f"reference.{c}" for c in bins])), 6)
+    measured = joined.withColumn("char_distance", both(CHAR_BINS)).withColumn("word_distance", both(WORD_BINS))
+    return measured.withColumn("word_excess", F.round(F.col("word_distance") * F.sqrt(F.col("counts.n_words").cast("double")), 2))
+
+
+def fit_references(rows: DataFrame, lang_col: str = "lang") -> DataFrame:
+    """One row per language of ``rows``, with their counts: ref_lang, a struct of the documents' mean histograms, summed, and limits.
+
+    All texts that pass the base rules and the guards count, each with its shares: a very long text weighs as
+    much as any other. Sums of whole numbers, combined before the shuffle: the same for any order of the rows. The limits
+    are quantiles of the same texts' distances, so that what is odd in a language moves them little.
+    """
+    good = rows.filter(~base_failed() & long_enough())
+    total = {c: F.nullif(reduce(lambda a, b: a + b, [F.col(f"counts.{x}") for x in bins]), F.lit(0)) for bins in (CHAR_BINS, WORD_BINS) for c in bins}
+    sums = [F.sum(F.floor(F.col(f"counts.{c}") * SHARE_UNITS / n)).alias(c) for c, n in total.items()]
+    means = cut(good.groupBy(F.col(lang_col).cast("string").alias("ref_lang")).agg(*sums).select("ref_lang", F.struct(*CHAR_BINS, *WORD_BINS).alias("reference")))
+    at = lambda p, c: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {c})")
+    measured = distances(good, means, lang_col).select("ref_lang", F.round("char_distance", 3).alias("c"), F.col("word_excess").alias("w"))
+    limits = measured.groupBy("ref_lang").agg((at(0.5, "c") + CHAR_MARGIN).alias("char_limit"), (at(0.5, "w") + WORD_SPREADS * (at(0.75, "w") - at(0.25, "w"))).alias("word_limit"))
+    return means.join(limits.withColumnRenamed("ref_lang", "_lang"), F.col("ref_lang").eqNullSafe(F.col("_lang"))).drop("_lang")
+
+
 def judged(rows: DataFrame, references: DataFrame, lang_col: str = "lang") -> DataFrame:
     """``rows`` with counts, as ``counted`` gives them, and char_distance, word_distance, base_failed, kept.
 
-    A text under the guards, or of a language without a reference, is judged by the base rules alone. The
-    references have a row per language; they are counted and broadcast if they are few.
+    A text under the guards, or of a language without a reference, is judged by the base rules alone.
     """
-    joined = rows.join(if_small(references), F.col(lang_col).cast("string").eqNullSafe(F.col("ref_lang")), "left")
-    both = lambda bins: js_distance(F.array(*[f"counts.{c}" for c in bins]), F.array(*[f"reference.{c}" for c in bins]))
-    measured = joined.withColumn("char_distance", F.round(both(CHAR_BINS), 6)).withColumn("word_distance", F.round(both(WORD_BINS), 6))
-    far = (F.col("char_distance") > MAX_CHAR_DISTANCE) | (F.col("word_distance") > MAX_WORD_DISTANCE)
-    return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(long_enough() & far, F.lit(False))).drop("ref_lang", "reference")
+    measured = distances(rows, references, lang_col)
+    far = (F.col("char_distance") > F.col("char_limit")) | (F.col("word_distance") > F.greatest(F.lit(WORD_FLOOR), F.col("word_limit") / F.sqrt(F.col("counts.n_words").cast("double"))))
+    told = measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(long_enough() & far, F.lit(False)))
+    return told.drop("ref_lang", "reference", "char_limit", "word_limit", "word_excess")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", references: DataFrame | None = None) -> DataFrame:
@@ -199,8 +211,8 @@ def _sql() -> str:
     """The same in SQL: windows as joined slices, histograms as lists."""
     common = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in COMMON_WORDS.items())
     keep = {
-        "lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "space": r"[\x20\x09-\x0D]", "punctuation": r"""[.,;:!?''"()-]""",
-        "symbol": r"[#$%&*+/<=>@\[\\\]^_`{|}~]", "other": r"[^\x00-\x7F]", "control": r"[\x00-\x08\x0E-\x1F\x7F]",
+        "lower": r"\p{Ll}", "upper": r"[\p{Lu}\p{Lt}]", "letter": r"[\p{Lo}\p{Lm}\p{M}]", "digit": r"\p{N}", "space": r"[\x20\x09-\x0D\p{Z}]", "punctuation": r"\p{P}",
+        "symbol": r"\p{S}", "control": r"[^\P{C}\x09-\x0D]",
     }
     only = lambda text, kind: f"length({text}) - length(regexp_replace({text}, '{kind}', '', 'g'))"
     chars = ", ".join(only("t", keep[c]) for c in CLASSES)
@@ -228,9 +240,13 @@ h AS (SELECT *, list_append(ranked, n_found - list_sum(ranked)) AS wo, n_words <
   list_sum(ch) >= {GUARD_CHARS} AND n_words >= {GUARD_WORDS} AS enough FROM c),
 ref AS (SELECT lang AS ref_lang, {sums("ch", len(CLASSES))} AS qc, {sums("wo", N_COMMON + 1)} AS qw FROM h WHERE NOT base_failed AND enough GROUP BY lang),
 j AS (SELECT h.*, list_transform(ch, lambda x: x::DOUBLE) AS pc, list_transform(wo, lambda x: x::DOUBLE) AS pw, qc, qw FROM h LEFT JOIN ref ON h.lang IS NOT DISTINCT FROM ref_lang),
-m AS (SELECT *, {distance("pc", "qc")} AS char_distance, {distance("pw", "qw")} AS word_distance FROM j)
+m AS (SELECT *, {distance("pc", "qc")} AS char_distance, {distance("pw", "qw")} AS word_distance FROM j),
+lim AS (SELECT lang AS lim_lang, quantile_disc(round(char_distance, 3), 0.5) + {CHAR_MARGIN} AS char_limit,
+  quantile_disc(w, 0.5) + {WORD_SPREADS} * (quantile_disc(w, 0.75) - quantile_disc(w, 0.25)) AS word_limit
+  FROM (SELECT *, round(word_distance * sqrt(n_words), 2) AS w FROM m WHERE NOT base_failed AND enough) GROUP BY lang)
 SELECT doc_id, n_words, coalesce(wc, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(enough AND (char_distance > {MAX_CHAR_DISTANCE} OR word_distance > {MAX_WORD_DISTANCE}), false) AS kept, char_distance, word_distance FROM m
+  NOT base_failed AND NOT coalesce(enough AND (char_distance > char_limit OR word_distance > greatest({WORD_FLOOR}, word_limit / sqrt(n_words))), false) AS kept, char_distance, word_distance
+FROM m LEFT JOIN lim ON m.lang IS NOT DISTINCT FROM lim_lang
 """
 
 

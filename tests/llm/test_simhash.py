@@ -6,6 +6,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -99,14 +100,16 @@ def test_a_bucket_is_joined_by_few_links(seed, n):
     assert len(set(got)) == len(set(want)) == len(set(zip(got, want, strict=True)))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [0, 40, 1 << 16])
+def test_components(spark, at_once):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (102, 100), (7, 7), (200, 200)]
-    labels = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    labels = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(chain, "a long, b long"), at_once).collect()}
     assert labels == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
     assert connected_components(spark.createDataFrame([(5, 5)], "a long, b long")).collect() == []
 
 
-def test_components_of_any_graph(spark):
+@pytest.mark.parametrize("at_once", [0, 100, 1 << 16])
+def test_components_of_any_graph(spark, at_once):
     rng = random.Random(11)
     for n, links in ((400, 250), (400, 700), (60, 59)):
         edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(links)] + [(n - 1, i) for i in range(0, 30, 2)]
@@ -115,7 +118,7 @@ def test_components_of_any_graph(spark):
         for i, r in enumerate(roots):
             least.setdefault(r, i)
         linked = {x for a, b in edges if a != b for x in (a, b)}
-        labels = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        labels = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), at_once).collect()}
         assert labels == {i: least[roots[i]] for i in linked}
 
 

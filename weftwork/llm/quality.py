@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import cut, if_small, shared_path, texts_for_python, whole
+from weftwork.llm.common import counted_cut, cut, if_small, located, texts_for_python, whole
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -194,13 +194,13 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     """The rows of ``docs`` that the rules keep, same columns, which may have any names.
 
     Null and empty texts go; null languages are a language of their own; repeated rows stay or go together; of an
-    empty table nothing stays. Rows are written with their counts to the shared folder once: the references
-    read the counts alone, and texts are counted once.
+    empty table nothing stays. Texts are counted once; the counts are kept with their rows' locators, and the locators
+    of what goes are joined away.
     """
-    staged = shared_path(docs.sparkSession, "counted")
-    counted(docs.select(F.struct("*").alias("record"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))).drop("text").write.parquet(staged)
-    rows = docs.sparkSession.read.parquet(staged)
-    return judged(rows, cut(fit_references(rows))).filter("kept").select("record.*")
+    rows = located(docs)
+    counts = cut(counted(rows.select("file", "row", F.col("record")[text_col].alias("text"), F.col("record")[lang_col].alias("lang"))).drop("text"))
+    goes, n = counted_cut(judged(counts, cut(fit_references(counts))).filter("not kept").select("file", "row"))
+    return rows.join(if_small(goes, rows=n), ["file", "row"], "left_anti").select("record.*")
 
 
 def op1(docs: DataFrame) -> DataFrame:

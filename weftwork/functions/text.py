@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.vocab import NOISE_TERMS, STOPWORDS
@@ -14,9 +14,13 @@ TOKEN = r"[A-Za-z0-9!+#.]+"
 INTENT_TOKEN = r"[A-Za-z0-9!+#.']+"
 
 
+#: What counts as white space: Unicode's property of that name.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, Unicode's included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def collapse(c: Column) -> Column:
@@ -30,7 +34,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def blank(c: Column) -> Column:
-    return F.coalesce(strip(c), F.lit("")) == ""
+    return ~F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
 
 
 def first_filled(*cs: Column) -> Column:
@@ -123,9 +127,13 @@ def useful_term(c: Column) -> Column:
     )
 
 
-def normalize_token(c: Column) -> Column:
-    """Lower case, no quotes at the ends, simple stems of -ies, -ing and -s."""
-    t = F.regexp_replace(casefold(c), "^'+|'+$", "")
+def folded_token(c: Column) -> Column:
+    """Lower case, no quotes at the ends."""
+    return F.btrim(casefold(c), F.lit("'"))
+
+
+def stem(t: Column) -> Column:
+    """A folded token by simple stems of -ies, -ing and -s."""
     n = F.length(t)
     root = F.substring(t, F.lit(1), n - 3)
     doubled = (F.substring(root, -1, 1) == F.substring(root, -2, 1)) & (F.length(root) >= 2)
@@ -139,11 +147,27 @@ def normalize_token(c: Column) -> Column:
     )
 
 
+def normalize_token(c: Column) -> Column:
+    """Lower case, no quotes at the ends, simple stems; for use inside other expressions."""
+    return let(folded_token(c), stem)
+
+
 def tokens(c: Column, pattern: str = TOKEN) -> Column:
     """Raw tokens, in order."""
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(0))
 
 
+def token_rows(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """``keys`` and term: a row for each token as tokenize() gives them; of long texts this is the quicker form.
+
+    Stop words, a fixed list that is broadcast, are joined away: as a filter they would be pushed below the stems, which
+    would then be made twice for every token.
+    """
+    raw = rows.select(*keys, F.explode(tokens(text)).alias("_raw")).select(*keys, folded_token(F.col("_raw")).alias("_folded"))
+    stops = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ("", *STOPWORDS)))).alias("term"))
+    return raw.select(*keys, stem(F.col("_folded")).alias("term")).join(F.broadcast(stops), "term", "left_anti").select(*keys, "term")
+
+
 def tokenize(c: Column) -> Column:
     """Normalised tokens that are no stop words, in order, repeats included."""
     return F.filter(F.transform(tokens(c), normalize_token), lambda t: (t != "") & ~t.isin(*STOPWORDS))

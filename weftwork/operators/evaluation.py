@@ -25,3 +25,22 @@ def summarize(scores: DataFrame) -> DataFrame:
     return scores.rollup("category").agg(
         F.count(F.lit(1)).alias("examples"), judged.alias("judged_examples"), matches.alias("matches"), F.coalesce(F.try_divide(matches, judged), F.lit(0.0)).alias("retrieval_accuracy")
     )
+
+
+def texts_with_passages(texts: DataFrame, passages: DataFrame) -> DataFrame:
+    """doc, query_id of each text of ``texts(doc, body)`` that holds a passage of ``passages(query_id, query)`` as it is.
+
+    A passage's inner words stand as words in a text that holds it: they meet by the longest of them, in an equi-join,
+    and what meets is compared. Passages of fewer than three words have no inner one and are compared with all
+    texts; empty ones are left out.
+    """
+    words = lambda text: F.split(text, r"\s+")
+    inner = F.slice(words(F.col("query")), F.lit(2), F.greatest(F.size(words(F.col("query"))) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = passages.filter("query <> ''").select("query_id", "query", longest.alias("word"))
+    held = texts.select("doc", "body", F.explode(F.array_distinct(words(F.col("body")))).alias("word"))
+    keys = keyed.filter("word is not null")
+    few = keys.select("word").distinct()
+    met = held.join(few, "word").join(keys, "word").filter(F.contains("body", "query")).select("doc", "query_id")
+    short = texts.join(keyed.filter("word is null").drop("word"), F.contains("body", "query")).select("doc", "query_id")
+    return met.union(short)

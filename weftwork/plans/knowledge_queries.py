@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from weftwork.functions.text import acronym, normalize_term, plural_alias
 from weftwork.operators import entities, indexing, links, reports, taxonomy, terms
 from weftwork.operators.retrieval import detect_entities
+from weftwork.operators.chunking import build_chunks
+from weftwork.plans.retrieval_queries import SECTION_HEADER, packed_parts
 from weftwork.plans.sql import PAGE, STOP, TITLE, strip
-from weftwork.plans.tables import chunks_of, linked_pages, pages_of, questions, table
+from weftwork.plans.tables import linked_pages, pages_of, questions, table
 from weftwork.storage import materialized
 from weftwork.vocab import GENERIC_ANCHORS, NOISE_TERMS
 
 
+#: Characters of a chunk, for a report of chunks that are too large.
+LARGE_CHUNKS = 30_000
+
+
 def alias_candidates(spark: SparkSession, d: str) -> DataFrame:
     found = links.link_candidates(links.link_rows(linked_pages(table(spark, d, "pages"))))
     return found.select("alias", "alias_key", "target_page_id", "decision", "decision_reason", F.round("confidence", 6).alias("confidence"), "source_count", "link_count", "target_count", "ambiguous_target_count")
@@ -139,6 +145,27 @@ def key_cascade(spark: SparkSession, d: str) -> DataFrame:
     return entities.resolve_targets(asked, index).groupBy("name", "document_id", "target_page_id", "target_title", "link_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+_ENTITY_KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9!+]+', ' ', 'g'))"
+_SINGULAR = "(CASE WHEN ends_with({0}, 'ies') AND length({0}) > 4 THEN left({0}, length({0}) - 3) || 'y' WHEN ends_with({0}, 's') AND NOT ends_with({0}, 'ss') AND length({0}) > 4 THEN left({0}, length({0}) - 1) ELSE {0} END)"
+KEY_CASCADE = f"""
+WITH pages AS (SELECT 'Nation/' || n_name AS page_id, n_name AS title, n_nationkey::BIGINT AS ordinal FROM nation UNION ALL SELECT 'Region/' || r_name, r_name, r_regionkey + 1000 FROM region UNION ALL SELECT 'Part/' || p_partkey, p_name, p_partkey + 10000 FROM part),
+kp AS (SELECT *, {_ENTITY_KEY.format('title')} AS t, {_ENTITY_KEY.format("regexp_extract(page_id, '([^/]*)$', 1)")} AS l, {_ENTITY_KEY.format('page_id')} AS f, {_ENTITY_KEY.format(_ACRONYM.format('title'))} AS a FROM pages),
+keys AS (SELECT DISTINCT key, page_id, ordinal FROM (SELECT page_id, ordinal, unnest([t, {_SINGULAR.format('t')}, l, {_SINGULAR.format('l')}, f, a]) AS key FROM kp) WHERE key <> ''),
+by_key AS (SELECT key, count(DISTINCT page_id) AS n, arg_min(page_id, ordinal) AS first_page FROM keys GROUP BY 1),
+asked AS (SELECT lower(n_name) AS name, 'Region/ASIA' AS document_id FROM nation UNION ALL SELECT p_name, 'Part/' || p_partkey FROM part UNION ALL SELECT p_type || 's', '' FROM part),
+ks AS (SELECT name, document_id, {_ENTITY_KEY.format('name')} AS k FROM asked),
+s AS (SELECT *, {_SINGULAR.format('k')} AS sk FROM ks),
+j AS (SELECT s.*, o.title AS own_title, o.t AS tk, {_SINGULAR.format('o.t')} AS tsk, {_ENTITY_KEY.format("regexp_extract(document_id, '([^/]*)$', 1)")} AS tail,
+  b1.n AS n1, b1.first_page AS f1, b2.n AS n2, b2.first_page AS f2, EXISTS (SELECT 1 FROM keys x WHERE x.key = k AND x.page_id = document_id) AS own1, EXISTS (SELECT 1 FROM keys x WHERE x.key = sk AND x.page_id = document_id) AS own2
+  FROM s LEFT JOIN kp o ON o.page_id = document_id LEFT JOIN by_key b1 ON b1.key = k LEFT JOIN by_key b2 ON b2.key = sk),
+r AS (SELECT *, CASE WHEN own_title IS NOT NULL AND (k = tk OR sk = tsk) THEN 'source_title' WHEN n1 = 1 THEN 'global_title' WHEN own1 THEN 'ambiguous_source_title' WHEN n1 > 1 THEN 'ambiguous_global_title'
+  WHEN n2 = 1 THEN 'global_title' WHEN own2 THEN 'ambiguous_source_title' WHEN n2 > 1 THEN 'ambiguous_global_title' WHEN own_title IS NOT NULL AND k IN (tail, tsk) THEN 'source_path_tail' ELSE 'unlinked' END AS link_reason,
+  CASE WHEN own_title IS NOT NULL AND (k = tk OR sk = tsk) THEN document_id WHEN n1 = 1 THEN f1 WHEN own1 THEN document_id WHEN n1 > 1 THEN f1 WHEN n2 = 1 THEN f2 WHEN own2 THEN document_id WHEN n2 > 1 THEN f2
+  WHEN own_title IS NOT NULL AND k IN (tail, tsk) THEN document_id ELSE '' END AS target_page_id FROM j)
+SELECT name, document_id, r.target_page_id, coalesce(pages.title, '') AS target_title, link_reason, count(*) AS n FROM r LEFT JOIN pages ON pages.page_id = r.target_page_id GROUP BY ALL
+"""
+
+
 def stats(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return reports.histograms(docs, {"source": F.col("source"), "lang": F.col("lang"), "size": F.floor(F.log2(F.length("text") + 1))}, F.col("doc_id")).select("name", "value", "n")
@@ -254,8 +281,16 @@ INGEST_REPORT = "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT s
 
 
 def chunk_validation(spark: SparkSession, d: str) -> DataFrame:
-    """The validator over all chunks of all documents."""
-    return reports.validate_chunks(chunks_of(table(spark, d, "documents"))).groupBy("severity", "kind").agg(F.count(F.lit(1)).alias("n"))
+    """The validator over all chunks of all documents, of a size that it finds large."""
+    made = build_chunks(pages_of(table(spark, d, "documents")), LARGE_CHUNKS)
+    return reports.validate_chunks(made).groupBy("severity", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+CHUNK_VALIDATION = f"""
+WITH {packed_parts(LARGE_CHUNKS - 300)}, c AS (SELECT *, {TITLE} AS title FROM p),
+t AS (SELECT unnest(list_transform(parts, lambda x: length({SECTION_HEADER} || x))) AS n FROM c)
+SELECT 'warning' AS severity, 'large_chunk' AS kind, count(*) AS n FROM t WHERE n > 9000 HAVING count(*) > 0
+"""
 
 
 QUERIES = {
@@ -266,10 +301,10 @@ QUERIES = {
     "round_robin_sample": (round_robin, ROUND_ROBIN),
     "best_per_key_dedupe": (best_events, BEST_EVENTS),
     "merge_after_winner": (merged_events, MERGED_EVENTS),
-    "key_cascade_link": (key_cascade, None),
+    "key_cascade_link": (key_cascade, KEY_CASCADE),
     "stats_grouping_sets": (stats, STATS),
     "validation_rules": (validation, VALIDATION),
-    "chunk_validation": (chunk_validation, None),
+    "chunk_validation": (chunk_validation, CHUNK_VALIDATION),
     "duplicate_ids": (duplicates, DUPLICATES),
     "top20_largest": (largest, LARGEST),
     "uuid5_point_id": (point_ids, POINT_IDS),

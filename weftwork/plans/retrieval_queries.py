@@ -152,13 +152,18 @@ def pack_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LINES = f"list_filter(list_transform(string_split(body, chr(10)), lambda x: {strip('x')}), lambda x: x <> '')"
-_WORDS = packed("list_filter(string_split_regex(x, '\\s+'), lambda w: w <> '')", 1200, " ")
-PACK_BLOCKS = f"""
-WITH b AS (SELECT doc_id, {strip("coalesce(text, '')")} AS body FROM documents),
-l AS (SELECT doc_id, body, list_transform({_LINES}, lambda x: CASE WHEN length(x) > 1200 THEN {_WORDS} ELSE [x] END) AS nested FROM b),
-p AS (SELECT doc_id, CASE WHEN body = '' THEN [] WHEN length(body) <= 1200 THEN [body] ELSE {packed('flatten(nested)', 1200, chr(92) + 'n' + chr(92) + 'n')} END AS parts FROM l)
-SELECT doc_id, unnest(range(0, len(parts))) AS part, length(unnest(parts)) AS n_chars, md5(unnest(parts)) AS text_md5 FROM p
-"""
+
+
+def packed_parts(limit: int) -> str:
+    """CTEs b(doc_id, body) and p(doc_id, body, parts): each text packed into parts of at most ``limit`` characters."""
+    words = packed("list_filter(string_split_regex(x, '\\s+'), lambda w: w <> '')", limit, " ")
+    return f"""
+b AS (SELECT doc_id, lang, source, text, {strip("coalesce(text, '')")} AS body FROM documents),
+l AS (SELECT *, list_transform({_LINES}, lambda x: CASE WHEN length(x) > {limit} THEN {words} ELSE [x] END) AS nested FROM b),
+p AS (SELECT * EXCLUDE (nested), CASE WHEN body = '' THEN [] WHEN length(body) <= {limit} THEN [body] ELSE {packed('flatten(nested)', limit, chr(92) + 'n' + chr(92) + 'n')} END AS parts FROM l)"""
+
+
+PACK_BLOCKS = f"WITH {packed_parts(1200)} SELECT doc_id, unnest(range(0, len(parts))) AS part, length(unnest(parts)) AS n_chars, md5(unnest(parts)) AS text_md5 FROM p"
 
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -166,6 +171,26 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return made.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"), F.max("chunk_index").cast("long").alias("last_index"), F.count_if(F.col("chunk_type") == "section").alias("n_sections"))
 
 
+SECTION_HEADER = "'Article: ' || title || chr(10) || 'Section: Body' || chr(10) || 'Heading path: Body' || chr(10) || chr(10)"
+CHUNKED = packed_parts(chunking.MAX_CHUNK_CHARS - 300) + f""",
+c AS (SELECT *, {PAGE} AS document_id, {TITLE} AS title FROM p),
+h AS (SELECT *, CASE WHEN length(body) > 1400 THEN regexp_replace(left(body, 1400), '\\s+$', '') || '...' ELSE body END AS intro FROM c)"""
+CHUNK_DOCUMENTS = f"""
+WITH {CHUNKED}, n AS (SELECT *, 'Title: ' || title || CASE WHEN trim(coalesce(lang, '')) <> '' THEN chr(10) || 'Domain: ' || trim(lang) ELSE '' END || chr(10) || 'Subculture: general'
+  || CASE WHEN intro <> '' THEN chr(10) || chr(10) || 'Intro excerpt:' || chr(10) || intro ELSE '' END AS article FROM h)
+SELECT document_id, sum(1 + len(parts))::BIGINT AS n_chunks, sum(length(article) + coalesce(list_sum(list_transform(parts, lambda x: length({SECTION_HEADER} || x))), 0))::BIGINT AS n_chars,
+  max(len(parts))::BIGINT AS last_index, sum(len(parts))::BIGINT AS n_sections FROM n GROUP BY 1
+"""
+_SECTIONS = "SELECT document_id, title, lang, source, 'section' AS kind, 'Body' AS heading, document_id || '::section::body' || CASE WHEN len(parts) > 1 THEN '::part-' || unnest(range(1, len(parts) + 1)) ELSE '' END AS chunk_id FROM c WHERE len(parts) > 0"
+POSTINGS = f"""
+WITH {CHUNKED}, k AS (SELECT document_id, title, lang, source, 'article' AS kind, title AS heading, document_id || '::article' AS chunk_id FROM c UNION ALL {_SECTIONS}),
+m AS (SELECT *, concat_ws(' ', title, heading, coalesce(lang, ''), coalesce(source, ''), document_id || '.md', kind, coalesce(lang, ''), 'general') AS meta FROM k),
+i AS (SELECT chunk_id, term FROM {terms('m', 'chunk_id', 'meta')} UNION SELECT chunk_id, lower(unnest([title, heading, lang, source, kind])) AS term FROM k),
+q AS (SELECT DISTINCT item_id, term FROM {terms('benchmark', 'item_id', 'text')})
+SELECT item_id AS query_id, count(DISTINCT chunk_id) AS n_chunks, min(chunk_id) AS first_chunk FROM q JOIN i USING (term) WHERE term <> '' GROUP BY 1
+"""
+
+
 def contexts(spark: SparkSession, d: str) -> DataFrame:
     """What surrounds the middle of each text."""
     middle = F.floor(F.length("text") / 2).cast("int")
@@ -182,7 +207,7 @@ def hit_rates(spark: SparkSession, d: str) -> DataFrame:
     """Passages as questions, the documents that hold them as expectations, by the passage's first letter."""
     asked = questions(table(spark, d, "benchmark"))
     docs = table(spark, d, "documents")
-    holds = docs.select(F.col("doc_id").cast("string").alias("doc"), F.col("text").alias("body")).join(asked, F.contains("body", "query"))
+    holds = evaluation.texts_with_passages(docs.select(F.col("doc_id").cast("string").alias("doc"), F.col("text").alias("body")), asked)
     expected = holds.groupBy("query_id").agg(F.collect_set("doc").alias("expected_document_ids"))
     examples = asked.join(expected, "query_id", "left").select("query_id", F.lower(F.substring("query", 1, 1)).alias("category"), "expected_document_ids", F.array().cast("array<string>").alias("expected_chunk_ids"))
     results = overlap_scores(spark, d).select("query_id", "rank", F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"))
@@ -218,14 +243,14 @@ SELECT query_id, length(prompt) AS n_chars, md5(prompt) AS prompt_md5 FROM p
 QUERIES = {
     "tokenize_term_counts": (term_counts, TERM_COUNTS),
     "chunk_terms_overlap_topk": (overlap_topk, OVERLAP_TOPK),
-    "postings_semi_join": (postings_candidates, None),
+    "postings_semi_join": (postings_candidates, POSTINGS),
     "document_scores": (document_scores, DOCUMENT_SCORES),
     "ancestor_rollup": (ancestor_scores, ANCESTOR_SCORES),
     "dense_topk": (dense_topk, DENSE_TOPK),
     "hybrid_rank": (hybrid_search, None),
     "intent_labels": (intents, INTENTS),
     "text_pack_blocks": (pack_blocks, PACK_BLOCKS),
-    "chunk_documents": (chunk_documents, None),
+    "chunk_documents": (chunk_documents, CHUNK_DOCUMENTS),
     "context_window": (contexts, CONTEXTS),
     "hit_rate_rollup": (hit_rates, HIT_RATES),
     "prompt_context": (prompts, PROMPTS),

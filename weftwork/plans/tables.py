@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from weftwork.operators.chunking import build_chunks
 
 STRINGS = "array<string>"
+#: Tables of long texts, which are worth a shuffle where they would be read by one task.
+TEXTS = ("documents", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the driver's; one in fewer files than cores is dealt over all of them, since a file may be one row group."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, rows.columns[0]) if name in TEXTS and len(rows.inputFiles()) < cores else rows
 
 
 def pages_of(documents: DataFrame) -> DataFrame:

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import json
+import threading
 import uuid
+from dataclasses import replace
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_structure import NEWS, WIKI
 from weftwork import cli, jobs
+from weftwork.operators import prompting
 from weftwork.operators.indexing import embedding_text, stable_point_id
 from weftwork.sources import files, sinks
-from weftwork.sources.config import Config, load_config
+from weftwork.sources.config import Config, load_config, load_vocabulary
 from weftwork.storage import checkpoint_root
 from weftwork.streaming.indexing import BUCKETS, index_stream
+from weftwork.vocab import Vocabulary
 
 
 @pytest.fixture
@@ -71,6 +76,35 @@ def test_settings(tmp_path):
         load_config(str(path), {})
 
 
+def test_vocabulary(tmp_path):
+    path = tmp_path / "settings.toml"
+    path.write_text('[vocabulary]\nhosts = ["a.org"]\nseed_terms = ["x y"]\nlabel_rules = [[["client", "app"], "software"]]\n[vocabulary.manual_targets]\nxy = "X/Y"\n')
+    vocab = load_vocabulary(str(path))
+    assert (vocab.hosts, vocab.seed_terms, vocab.label_rules, vocab.manual_targets) == (("a.org",), ("x y",), ((("client", "app"), "software"),), {"xy": "X/Y"})
+    assert load_config(str(path), {}) == Config() and load_vocabulary() == Vocabulary()
+    path.write_text("[vocabulary]\nother = 1\n")
+    with pytest.raises(ValueError, match="other"):
+        load_vocabulary(str(path))
+
+
+def test_http_generator():
+    class Server(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            said = json.dumps({"response": f" {asked['model']}: {asked['prompt']} {asked['stream']} {asked['options']['temperature']} "}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(said)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.handle_request, daemon=True).start()
+    assert prompting.http_generator(f"http://127.0.0.1:{server.server_port}", "m", 5, 0.2)("why?") == "m: why? False 0.2"
+    server.server_close()
+
+
 def test_point_ids(spark):
     names = ["a", "Ranking::section::é", "x" * 300]
     rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", stable_point_id(F.col("n")).alias("id")).collect()
@@ -111,16 +145,30 @@ def test_whole_run(spark, config, tmp_path):
     assert jobs.build_links(spark, config)["raw_links"] >= 4
     jobs.extract_entities(spark, config, "dictionary", {"names": {"Bolt": "feature"}})
     assert jobs.normalize_entities(spark, config)["normalized_rows"] >= 1
-    assert jobs.stats(spark, config).filter("name = 'source' and value = 'wiki'").first()["n"] == 2
+    made = jobs.stats(spark, config)
+    assert made["histograms"].filter("name = 'source' and value = 'wiki'").first()["n"] == 2
+    assert {"news_year", "news_series", "chunk_type"} <= {r["name"] for r in made["histograms"].collect()}
+    total = made["totals"].first()
+    assert total["documents"] == 3 and total["chunks"] == report["chunks"] and total["entities"] > 0 and total["aliases"] >= total["entities"]
+    assert [r["chars"] for r in made["largest_chunks"].collect()] == sorted((r["chars"] for r in made["largest_chunks"].collect()), reverse=True)
+    assert made["largest_alias_sets"].count() > 0
     assert jobs.validate(spark, config).filter("kind = 'duplicate_chunk_id'").count() == 0
     assert jobs.build_index(spark, config)["points"] == report["chunks"] == jobs.build_index(spark, config)["points"]
+    apart = replace(config, artifacts=replace(config.artifacts, path=str(tmp_path / "other"), source_path=config.artifacts.path))
+    assert jobs.build_index(spark, apart, limit=2)["points"] == 2 and jobs.build_index(spark, apart, offset=1, limit=2)["points"] == 3
+    assert jobs.build_index(spark, apart, offset=3)["points"] == report["chunks"]
     asked = spark.createDataFrame([(0, "widget parts")], "query_id int, query string")
     for dense in (False, True):
         assert jobs.search(spark, config, asked, dense).filter("rank = 1").first()["document_id"] == "Widget"
     assert "widget parts" in jobs.prompts(spark, config, asked).first()["prompt"]
     path = tmp_path / "questions.jsonl"
     path.write_text(json.dumps({"question": "widget parts", "category": "c", "expected_document_ids": ["Widget"]}) + "\n")
-    assert jobs.evaluate(spark, config, str(path)).filter("category is null").first()["retrieval_accuracy"] == 1.0
+    assert jobs.evaluate(spark, config, str(path), output=str(tmp_path / "judged")).filter("category is null").first()["retrieval_accuracy"] == 1.0
+    row = spark.read.json(str(tmp_path / "judged")).first()
+    assert row["question"] == "widget parts" and row["matched"] == 1 and [s["rank"] for s in row["top_sources"]] == list(range(1, len(row["top_sources"]) + 1))
+    nobody = spark.createDataFrame([(0, "widget parts"), (1, "zzz")], "query_id int, query string")
+    said = {r["query_id"]: r["answer"] for r in jobs.answers(spark, config, nobody, lambda prompt: "yes [1]" if "widget parts" in prompt else "").collect()}
+    assert said == {0: "yes [1]", 1: prompting.REFUSAL}
 
 
 def test_command_line(spark, config, capsys, monkeypatch):

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork import jobs
-from weftwork.sources.config import load_config
+from weftwork.operators.entities import MAX_TEXT_CHARS
+from weftwork.operators.prompting import http_generator
+from weftwork.sources.config import load_config, load_vocabulary
 
 
 def parser() -> argparse.ArgumentParser:
@@ -26,8 +28,16 @@ def parser() -> argparse.ArgumentParser:
     found.add_argument("--limit", type=int)
     found.add_argument("--sampling", choices=("balanced", "sequential"), default="balanced")
     found.add_argument("--scoped", action="store_true")
+    found.add_argument("--label", action="append", help="ask for this label, instead of the profile's; may repeat")
+    found.add_argument("--model", help="model of the backend, if it has several")
+    found.add_argument("--threshold", type=float, help="least score of a mention")
+    found.add_argument("--max-text-chars", type=int, default=MAX_TEXT_CHARS)
     commands.add_parser("normalize-entities").add_argument("--full-merge", action="store_true")
-    commands.add_parser("index").add_argument("--no-resume", dest="resume", action="store_false")
+    indexed = commands.add_parser("index")
+    indexed.add_argument("--no-resume", dest="resume", action="store_false")
+    indexed.add_argument("--offset", type=int, default=0)
+    indexed.add_argument("--limit", type=int)
+    indexed.add_argument("--quiet", action="store_true")
     for name in ("inspect", "query"):
         asked = commands.add_parser(name)
         asked.add_argument("question")
@@ -35,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
     judged = commands.add_parser("eval")
     judged.add_argument("path")
     judged.add_argument("--dense", action="store_true")
+    judged.add_argument("--output", help="folder of the questions' own rows, as JSON lines")
     return top
 
 
@@ -48,30 +59,42 @@ def say(what: dict | DataFrame) -> None:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
-    config = load_config(args.config)
-    if args.command in ("ingest", "terms", "links"):
-        say({"ingest": jobs.ingest, "terms": jobs.build_terms, "links": jobs.build_links}[args.command](spark, config))
+    config, vocab = load_config(args.config), load_vocabulary(args.config)
+    if args.command in ("ingest", "terms"):
+        say({"ingest": jobs.ingest, "terms": jobs.build_terms}[args.command](spark, config, vocab))
+    elif args.command == "links":
+        say(jobs.build_links(spark, config))
     elif args.command == "entities":
         with open(args.names, encoding="utf-8") as f:
-            say(jobs.extract_entities(spark, config, args.backend, {"names": json.load(f)}, args.profile, args.limit, args.sampling, args.scoped))
+            options = {"names": json.load(f)} | {k: v for k, v in (("model", args.model), ("threshold", args.threshold)) if v is not None}
+        say(jobs.extract_entities(spark, config, args.backend, options, args.profile, args.limit, args.sampling, args.scoped, vocab, args.label, args.max_text_chars))
     elif args.command == "normalize-entities":
-        say(jobs.normalize_entities(spark, config, args.full_merge))
+        say(jobs.normalize_entities(spark, config, args.full_merge, vocab))
     elif args.command == "stats":
-        say(jobs.stats(spark, config).orderBy("name", F.desc("n"), "value"))
+        made = jobs.stats(spark, config)
+        say(made["totals"])
+        say(made["histograms"].orderBy("name", F.desc("n"), "value"))
+        say(made["largest_chunks"].orderBy(F.desc("chars"), "chunk_id"))
+        say(made["largest_alias_sets"].orderBy(F.desc("alias_count"), "canonical"))
     elif args.command == "validate":
         issues = jobs.validate(spark, config)
         say(issues.groupBy("severity", "kind").agg(F.count(F.lit(1)).alias("n")).orderBy("severity", "kind"))
         return int(not issues.filter("severity = 'error'").isEmpty())
     elif args.command == "index":
-        say(jobs.build_index(spark, config, args.resume))
+        report = jobs.build_index(spark, config, args.resume, args.offset, args.limit)
+        if not args.quiet:
+            say(report)
     elif args.command == "eval":
-        say(jobs.evaluate(spark, config, args.path, args.dense).orderBy("category"))
+        say(jobs.evaluate(spark, config, args.path, args.dense, vocab, args.output).orderBy("category"))
     else:
         asked = spark.createDataFrame([(0, args.question)], "query_id int, query string")
+        dense, to = not args.keyword_only, config.generation
         if args.command == "inspect":
-            say(jobs.search(spark, config, asked, not args.keyword_only).orderBy("rank"))
-        else:
-            say(jobs.prompts(spark, config, asked, not args.keyword_only))
+            say(jobs.search(spark, config, asked, dense, vocab).orderBy("rank"))
+        elif to.url:
+            say(jobs.answers(spark, config, asked, http_generator(to.url, to.model, to.timeout_seconds, to.temperature), dense, vocab))
+        else:  # no model to ask: what it would be asked
+            say(jobs.prompts(spark, config, asked, dense, vocab))
     return 0
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.operators import chunking, entities, evaluation, indexing, links, prompting, reports, retrieval, structure, terms
 from weftwork.sources import files, sinks
 from weftwork.sources.config import Config
-from weftwork.storage import checkpoint_root
-from weftwork.streaming.indexing import hashing_vector, index_stream
+from weftwork.storage import checkpoint_root, materialized
+from weftwork.streaming.indexing import hashing_vector, index_stream, points_of, upsert_into
 from weftwork.vocab import Vocabulary
 
 
@@ -49,11 +52,11 @@ def build_links(spark: SparkSession, config: Config) -> dict:
     return sinks.write_report(links.link_report(rows, candidates, docs), config.artifacts.writes("links_report"))
 
 
-def extract_entities(spark: SparkSession, config: Config, backend: str, options: dict, profile: str = "default", limit: int | None = None, sampling: str = "balanced", scoped: bool = False, vocab: Vocabulary = Vocabulary()) -> dict:  # noqa: B008
-    """Mentions in all chunks, or in a sample of ``limit`` chunks if one is asked for."""
+def extract_entities(spark: SparkSession, config: Config, backend: str, options: dict, profile: str = "default", limit: int | None = None, sampling: str = "balanced", scoped: bool = False, vocab: Vocabulary = Vocabulary(), labels: list[str] | None = None, max_text_chars: int = entities.MAX_TEXT_CHARS) -> dict:  # noqa: B008
+    """Mentions in all chunks, or in a sample of ``limit`` chunks if one is asked for; ``labels`` stand in for the profile's."""
     chunks = table(spark, config, "chunks").withColumn("ordinal", F.struct("document_id", "chunk_index"))
     chosen = entities.select_chunks(chunks, limit, sampling)
-    made = entities.extract_entities(chosen, backend, options, entities.labels_for_profile(profile, vocab), vocab, scoped)
+    made = entities.extract_entities(chosen, backend, options, labels or entities.labels_for_profile(profile, vocab), vocab, scoped, max_text_chars)
     sinks.write_table(made, config.artifacts.writes("entity_candidates"))
     return sinks.write_report(entities.candidate_report(spark.read.parquet(config.artifacts.writes("entity_candidates"))), config.artifacts.writes("entity_candidates_report"))
 
@@ -67,14 +70,13 @@ def normalize_entities(spark: SparkSession, config: Config, full_merge: bool = F
     return sinks.write_report(entities.normalization_report(rows), config.artifacts.writes("entities_report"))
 
 
-def stats(spark: SparkSession, config: Config) -> DataFrame:
-    """name, value, n: histograms of documents and of chunks."""
-    docs, chunks = table(spark, config, "documents"), table(spark, config, "chunks")
-    of_docs = reports.histograms(docs, {c: F.col(c) for c in ("source", "domain", "subculture", "year")}, F.col("document_id"))
-    of_chunks = reports.histograms(chunks, {c: F.col(c) for c in ("source_type", "chunk_type")}, F.col("chunk_id"))
-    made = of_docs.select("name", "value", "n").unionByName(of_chunks.select("name", "value", "n"))
-    sinks.write_table(made, config.artifacts.writes("stats"))
-    return spark.read.parquet(config.artifacts.writes("stats"))
+def stats(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
+    """Histograms, totals, the largest chunks and alias sets, each written as a table below ``stats``."""
+    known = files.read_entities(spark, config.artifacts.reads("terms"))
+    made = reports.corpus_stats(table(spark, config, "documents"), table(spark, config, "chunks"), known)
+    for name, rows in made.items():
+        sinks.write_table(rows, config.artifacts.writes(f"stats/{name}"))
+    return {name: spark.read.parquet(config.artifacts.writes(f"stats/{name}")) for name in made}
 
 
 def validate(spark: SparkSession, config: Config) -> DataFrame:
@@ -85,17 +87,29 @@ def validate(spark: SparkSession, config: Config) -> DataFrame:
     return spark.read.parquet(config.artifacts.writes("issues"))
 
 
-def build_index(spark: SparkSession, config: Config, resume: bool = True) -> dict:
-    """Bring the index up to date with the chunk files; without ``resume`` all of them are taken again."""
+def build_index(spark: SparkSession, config: Config, resume: bool = True, offset: int = 0, limit: int | None = None) -> dict:
+    """Bring the index up to date with the chunk files; without ``resume`` all of them are taken again.
+
+    What is done is known by file: a chunk table that was written anew has other files and is taken whole. With an
+    ``offset`` or a ``limit`` those chunks alone are taken, in order of document and place, and nothing is marked as done.
+    """
     checkpoint_root(spark)
+    began = time.monotonic()
     chunks, index = config.artifacts.reads("chunks"), config.artifacts.writes("index")
-    table(spark, config, "chunks")
+    rows = table(spark, config, "chunks")
     states = config.artifacts.writes("index_checkpoint")
-    if not resume:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(states)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    index_stream(spark, chunks, index, states, lambda text: hashing_vector(text, config.embedding.dimensions))
-    return sinks.write_report(spark.read.parquet(index).agg(F.count(F.lit(1)).alias("points")), config.artifacts.writes("index_report"))
+    encode = lambda text: hashing_vector(text, config.embedding.dimensions)
+    if offset or limit is not None:
+        chosen = rows.orderBy("document_id", "chunk_index", "chunk_id").offset(offset)
+        upsert_into(points_of(chosen if limit is None else chosen.limit(limit), encode), index)
+    else:
+        if not resume:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(states)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        index_stream(spark, chunks, index, states, encode)
+    seconds = time.monotonic() - began
+    counts = spark.read.parquet(index).agg(F.count(F.lit(1)).alias("points")).withColumn("seconds", F.lit(round(seconds, 3)))
+    return sinks.write_report(counts, config.artifacts.writes("index_report"))
 
 
 def search(spark: SparkSession, config: Config, queries: DataFrame, dense: bool = False, vocab: Vocabulary = Vocabulary()) -> DataFrame:  # noqa: B008
@@ -116,8 +130,15 @@ def prompts(spark: SparkSession, config: Config, queries: DataFrame, dense: bool
     return prompting.build_prompts(queries, search(spark, config, queries, dense, vocab), table(spark, config, "chunks"))
 
 
-def evaluate(spark: SparkSession, config: Config, path: str, dense: bool = False, vocab: Vocabulary = Vocabulary()) -> DataFrame:  # noqa: B008
-    """Hit rates of all questions of a file, in all and by category."""
+def answers(spark: SparkSession, config: Config, queries: DataFrame, generate: Callable[[str], str], dense: bool = False, vocab: Vocabulary = Vocabulary()) -> DataFrame:  # noqa: B008
+    """query_id and answer of each question; those without results, and empty answers, get the refusal."""
+    return prompting.answer(queries, prompts(spark, config, queries, dense, vocab), generate)
+
+
+def evaluate(spark: SparkSession, config: Config, path: str, dense: bool = False, vocab: Vocabulary = Vocabulary(), output: str | None = None) -> DataFrame:  # noqa: B008
+    """Hit rates of all questions of a file, in all and by category; the questions' own rows go to ``output``."""
     examples = files.read_examples(spark, path)
-    found = search(spark, config, examples.select("query_id", "query"), dense, vocab)
+    found = materialized(search(spark, config, examples.select("query_id", "query"), dense, vocab))
+    where = output or config.artifacts.writes("evaluation")
+    sinks.write_records(evaluation.per_question(examples, found), where)
     return evaluation.summarize(evaluation.score_retrieval(examples, found))

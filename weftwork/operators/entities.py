@@ -32,7 +32,9 @@ class DictionaryExtractor:
 
     backend, source_model = "dictionary", "names"
 
-    def __init__(self, names: dict[str, str], score: float = 1.0):
+    def __init__(self, names: dict[str, str], score: float = 1.0, threshold: float = 0.0):
+        if score < threshold:  # nothing that it finds scores high enough
+            names = {}
         self.names, self.score = {k.lower(): v for k, v in names.items()}, score
         longest_first = sorted(self.names, key=lambda n: (-len(n), n))
         self.pattern = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, longest_first))})(?!\w)", re.IGNORECASE) if names else None

@@ -27,6 +27,15 @@ def summarize(scores: DataFrame) -> DataFrame:
     )
 
 
+def per_question(examples: DataFrame, results: DataFrame) -> DataFrame:
+    """score_retrieval() with the question and top_sources: the results in order of rank, each with its scores."""
+    scores = ("score", "dense_score", "keyword_score", "entity_score", "document_score")
+    source = F.struct("rank", "chunk_id", "document_id", "title", *[F.round(c, 6).alias(c) for c in scores])
+    top = results.groupBy("query_id").agg(F.array_sort(F.collect_list(source)).alias("top_sources"))
+    named = examples.select("query_id", F.col("query").alias("question"))
+    return score_retrieval(examples, results).join(named, "query_id").join(top, "query_id", "left").withColumn("top_sources", F.coalesce("top_sources", F.array()))
+
+
 def texts_with_passages(texts: DataFrame, passages: DataFrame) -> DataFrame:
     """doc, query_id of each text of ``texts(doc, body)`` that holds a passage of ``passages(query_id, query)`` as it is.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -28,6 +30,18 @@ def build_prompts(queries: DataFrame, results: DataFrame, chunks: DataFrame, ins
     return blocks.join(queries, "query_id").select("query_id", F.concat(F.lit(f"{instructions}\n\nQuestion: "), F.col("query"), F.lit("\n\nContext:\n"), context, F.lit("\n\nAnswer:")).alias("prompt"))
 
 
+def http_generator(url: str, model: str, timeout_seconds: int = 120, temperature: float = 0.1) -> Callable[[str], str]:
+    """A client of a model server that takes a prompt as JSON and gives its whole answer as ``response``."""
+
+    def generate(prompt: str) -> str:
+        body = json.dumps({"model": model, "prompt": prompt, "stream": False, "options": {"temperature": temperature}}).encode()
+        asked = urllib.request.Request(f"{url}/api/generate", body, {"Content-Type": "application/json"})
+        with urllib.request.urlopen(asked, timeout=timeout_seconds) as said:
+            return str(json.load(said).get("response") or "").strip()
+
+    return generate
+
+
 def answer(queries: DataFrame, prompts: DataFrame, generate: Callable[[str], str]) -> DataFrame:
     """query_id and answer; questions without results, and empty answers, get the refusal.
 

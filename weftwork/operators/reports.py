@@ -33,6 +33,29 @@ def largest(rows: DataFrame, size: Column, tie: str, limit: int = 20) -> DataFra
     return rows.withColumn("size", size).orderBy(F.desc("size"), tie).limit(limit)
 
 
+def corpus_stats(docs: DataFrame, chunks: DataFrame, terms: DataFrame, top: int = 20, shown_aliases: int = 25) -> dict[str, DataFrame]:
+    """The tables of a statistics report: histograms, totals (one row), largest_chunks and largest_alias_sets.
+
+    Histograms are name, value, n: all of a table in one pass, those of domains and series cut to the most frequent.
+    """
+    whole = histograms(docs, {c: F.col(c) for c in ("source", "domain", "subculture")}, F.col("document_id"))
+    news = docs.filter(F.col("source") == "news")
+    series = F.when(blank(F.col("series_primary")), "none").otherwise(F.col("series_primary"))
+    of_news = histograms(news, {"news_year": F.col("year"), "news_series": series}, F.col("document_id"))
+    issues = histograms(news.select("document_id", F.explode("style_issues").alias("issue")), {"news_style_issue": F.col("issue")}, F.col("document_id"))
+    of_chunks = histograms(chunks, {c: F.col(c) for c in ("source_type", "chunk_type")}, F.col("chunk_id"))
+    shown = top_values(whole.unionByName(of_news).unionByName(issues).unionByName(of_chunks), 1 << 30)
+    sums = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(blank(F.col("text"))).alias("empty_chunks"))
+    of_terms = terms.agg(F.count(F.lit(1)).alias("entities"), F.coalesce(F.sum(F.size("aliases")), F.lit(0)).alias("aliases"))
+    words = F.size(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != ""))
+    return {
+        "histograms": shown.filter(~F.col("name").isin("domain", "news_series") | (F.col("rank") <= top)).select("name", "value", "n"),
+        "totals": structure_totals(docs).crossJoin(sums).crossJoin(of_terms),
+        "largest_chunks": largest(chunks.select("chunk_id", "title", "chunk_type", "source_type", "url", "text"), F.length("text"), "chunk_id", top).select("chunk_id", "title", "chunk_type", "source_type", F.col("size").alias("chars"), words.alias("words"), "url"),
+        "largest_alias_sets": largest(terms, F.size("aliases"), "canonical", top).select("canonical", F.col("size").alias("alias_count"), F.slice("aliases", 1, shown_aliases).alias("aliases")),
+    }
+
+
 def structure_totals(docs: DataFrame) -> DataFrame:
     """Sums of the documents' counters; a counter that is no number counts as 0."""
     total = lambda c: F.sum(F.coalesce(F.col(c).try_cast("bigint"), F.lit(0).cast("bigint"))).alias(c)

@@ -6,6 +6,8 @@ import os
 import tomllib
 from dataclasses import dataclass, field, fields, replace
 
+from weftwork.vocab import Vocabulary
+
 ENV = "WEFTWORK_"
 
 
@@ -66,7 +68,7 @@ def load_config(path: str | None = None, env: dict[str, str] | None = None) -> C
         with open(path, "rb") as f:
             given = tomllib.load(f)
     env = os.environ if env is None else env
-    known = {f.name for f in fields(Config)}
+    known = {*(f.name for f in fields(Config)), "vocabulary"}
     if unknown := sorted(set(given) - known):
         raise ValueError(f"unknown settings in {path}: {', '.join(unknown)}")
     config = Config()
@@ -81,3 +83,23 @@ def load_config(path: str | None = None, env: dict[str, str] | None = None) -> C
         typed = {name: type(getattr(own, name))(value) for name, value in values.items()}
         config = replace(config, **{section.name: replace(own, **typed)})
     return replace(config, generation=replace(config.generation, url=config.generation.url.rstrip("/")))
+
+
+def load_vocabulary(path: str | None = None) -> Vocabulary:
+    """The words of a site, from the section ``vocabulary`` of the settings; what it does not name is as by default.
+
+    Lists are tuples here; ``label_rules`` is a list of pairs: patterns and their label.
+    """
+    if not path:
+        return Vocabulary()
+    with open(path, "rb") as f:
+        given = tomllib.load(f).get("vocabulary", {})
+    if unknown := sorted(set(given) - {f.name for f in fields(Vocabulary)}):
+        raise ValueError(f"unknown settings in {path}, vocabulary: {', '.join(unknown)}")
+
+    def fixed(value):
+        if isinstance(value, dict):
+            return {k: fixed(v) for k, v in value.items()}
+        return tuple(map(fixed, value)) if isinstance(value, list) else value
+
+    return Vocabulary(**{name: fixed(value) for name, value in given.items()})

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import combinations
 
 import pytest
 
 import corpus_pipeline
 from tests.conftest import SMALL
 from tests.llm.helpers import clashing, empty_docs, odd_docs
+from tests.llm.test_simhash import components, shingles
 from weftwork.llm import mixing, packing, quality
 from weftwork.llm.common import documents, shared_path
 
@@ -23,23 +25,42 @@ def run_stages(spark, docs):
     return out
 
 
-def test_stages(spark):
-    docs = documents(spark, SMALL)
-    raw, good, distinct, apart, mixed, packed = run_stages(spark, docs)
-    assert all(x.columns == docs.columns for x in (good, distinct, apart, mixed))
-    kept = {r["doc_id"] for r in quality.op1(raw).filter("kept").collect()}
-    assert {r["doc_id"] for r in good.collect()} == kept
+def near_classes(texts: list[str]) -> list[int]:
+    """For each text the number of its component, by comparing the five-word shingle sets of all pairs."""
+    sets = [shingles(x) for x in texts]
+    links = [(i, j) for i, j in combinations(range(len(sets)), 2) if sets[i] == sets[j] or (sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))]
+    return components(len(texts), links)
+
+
+def check_stages(frames) -> None:
+    """Each stage's rows against plain Python on the rows before it, by text: ids may be null and repeat."""
+    raw, good, distinct, apart, mixed, packed = frames
+    assert all(x.columns == raw.columns for x in (good, distinct, apart, mixed))
+    texts = lambda df: [r["text"] or "" for r in df.collect()]
+    kept = Counter(r["doc_id"] for r in quality.op1(raw).filter("kept").collect())
+    assert Counter(r["doc_id"] for r in good.collect()) == kept
     largest = {}
     for r in good.collect():
-        largest[r["text"] or ""] = max(largest.get(r["text"] or "", -1), r["doc_id"])
-    assert sorted(r["doc_id"] for r in distinct.collect()) == sorted(largest.values())
-    ids = {r["doc_id"] for r in apart.collect()}
-    assert ids < {r["doc_id"] for r in distinct.collect()}
-    planned = Counter({r["doc_id"]: r["copies"] for r in mixing.mixing_plan(apart).collect()})
+        largest[r["text"] or ""] = max(largest.get(r["text"] or "", -(1 << 40)), -(1 << 40) if r["doc_id"] is None else r["doc_id"])
+    assert sorted((r["text"] or "", -(1 << 40) if r["doc_id"] is None else r["doc_id"]) for r in distinct.collect()) == sorted(largest.items())
+    rows = sorted(distinct.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+    first = {}
+    for r, label in zip(rows, near_classes([r["text"] or "" for r in rows]), strict=True):
+        first.setdefault(label, r["text"] or "")
+    assert sorted(texts(apart)) == sorted(first.values())
+    planned = Counter()
+    for r in mixing.mixing_plan(apart).collect():
+        planned[r["doc_id"]] += r["copies"]
     assert Counter(r["doc_id"] for r in mixed.collect()) == +planned
     assert packed.count() == packing.token_pieces(mixed).count()
 
 
+def test_stages(spark):
+    frames = run_stages(spark, documents(spark, SMALL))
+    check_stages(frames)
+    assert all(b.count() < a.count() for a, b in zip(frames[:3], frames[1:4], strict=True))
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     *_, packed = run_stages(spark, documents(spark, SMALL))
@@ -50,5 +71,4 @@ def test_run(spark):
 @pytest.mark.parametrize("make", [odd_docs, empty_docs, lambda spark: clashing(odd_docs(spark))])
 def test_odd_tables(spark, make):
     docs = make(spark)
-    frames = run_stages(spark, docs)
-    assert all(x.columns == docs.columns for x in frames[:-1])
+    check_stages(run_stages(spark, docs))

@@ -122,6 +122,13 @@ def test_components_of_any_graph(spark, at_once):
         assert labels == {i: least[roots[i]] for i in linked}
 
 
+def test_blocks_follow_the_number_of_fingerprints():
+    assert simhash.blocks_for(0) == simhash.blocks_for(10**8) == 6
+    for n in (10**9, 10**10, 10**12):
+        blocks = simhash.blocks_for(n)
+        assert n / 2 ** (64 * (blocks - 4) // blocks) <= simhash.BY_CHANCE < n / 2 ** (64 * (blocks - 5) // (blocks - 1))
+
+
 def test_odd_tables(spark):
     assert simhash.op9(empty_docs(spark)).collect() == []
     one = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (3, None)], "doc_id long, text string")

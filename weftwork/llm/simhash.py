@@ -12,16 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftwork.llm.common import cut, texts_for_python, whole
+from weftwork.llm.common import counted_cut, cut, texts_for_python, whole
 from weftwork.llm.components import connected_components
 
 BITS = 64
 SHINGLE = 4
 MAX_DISTANCE = 4
-#: Blocks the fingerprint is split into. A close pair agrees on at least BLOCKS - MAX_DISTANCE of them, so it
-#: shares the bucket of some choice of that many blocks: 15 choices of two blocks, 21 bits, by default.
-#: More blocks mean more choices and smaller buckets; raise it with the corpus (8: 70 choices, 32 bits).
+#: Blocks the fingerprint is split into, at least. A close pair agrees on at least BLOCKS - MAX_DISTANCE of them, so it
+#: shares the bucket of some choice of that many blocks: 15 choices of two blocks, 21 bits. More blocks mean more
+#: choices and smaller buckets (8: 70 choices, 32 bits); they follow the number of fingerprints.
 BLOCKS = 6
+#: Fingerprints of a bucket that are together by chance, at most.
+BY_CHANCE = 64
 #: Fingerprints of one bucket that a task holds (8 bytes each); larger buckets take the other way, star_links().
 BUCKET_LIMIT = 1 << 20
 SEED = 42
@@ -66,6 +68,14 @@ def block_masks(blocks: int = BLOCKS, distance: int = MAX_DISTANCE) -> list[int]
     return [signed(sum(c)) for c in combinations(spans, blocks - distance)]
 
 
+def blocks_for(fingerprints: int, distance: int = MAX_DISTANCE) -> int:
+    """The fewest blocks whose buckets hold no more than BY_CHANCE of so many unrelated fingerprints."""
+    blocks = max(BLOCKS, distance + 2)
+    while blocks < BITS // 2 and fingerprints > BY_CHANCE << (BITS * (blocks - distance) // blocks):
+        blocks += 1
+    return blocks
+
+
 def signed(x: int) -> int:
     return x - (1 << BITS) if x >= 1 << (BITS - 1) else x
 
@@ -170,14 +180,14 @@ def star_links(over: DataFrame, masks: list[int], distance: int = MAX_DISTANCE)
     return near.join(first, "point").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct()
 
 
-def classes_of(fps: DataFrame, blocks: int = BLOCKS, distance: int = MAX_DISTANCE, limit: int = BUCKET_LIMIT) -> DataFrame:
-    """``fps(doc_id, fp)`` with component_id; doc_id may be of any orderable type.
+def classes_of(fps: DataFrame, blocks: int | None = None, distance: int = MAX_DISTANCE, limit: int = BUCKET_LIMIT) -> DataFrame:
+    """``fps(doc_id, fp)`` with component_id; doc_id may be of any orderable type. ``blocks`` follow their number if not given.
 
     Equal fingerprints are one class from the start, so copies never meet in the link search; then classes
     are linked, and a component takes the smallest id of its classes.
     """
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    linked = connected_components(block_links(classes.select("fp"), blocks, distance, limit))
+    classes, n = counted_cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), part_rows=None)
+    linked = connected_components(block_links(classes.select("fp"), blocks or blocks_for(n, distance), distance, limit))
     members = linked.join(classes, linked["node"] == classes["fp"]).select("fp", "label", "first_id")
     smallest = members.groupBy("label").agg(F.min("first_id").alias("least_id"))
     named = members.join(smallest, "label").select("fp", "least_id")

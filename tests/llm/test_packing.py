@@ -94,6 +94,13 @@ def test_both_encoders_agree_on_every_plain_character():
     assert [encode(t).tolist() for t in texts] == plainly(texts)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=0x180), max_size=30), st.integers(0, 120))
+def test_plain(text, blanks):
+    for x in (text, text + " \t\n\x1c" * (blanks // 4) + " " * (blanks % 4) + "é", text + "<|endoftext|>" + text):
+        assert packing.plain(x) == (packing.NOT_PLAIN.search(x) is None)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60), st.text(alphabet="ab 1'st.\n\t éßœ—“€ſ", max_size=60))
 def test_any_text_has_the_ids_of_tokenizers(anything, plain):

@@ -32,6 +32,20 @@ def vocabulary_paths() -> tuple[str, str]:
 #: a special token's string, or with a long run of white space.
 NOT_PLAIN = re.compile(r"[^\x00-\x7F\u00A1\u00AB\u00BB\u00BF-\u017F\u2013\u2014\u2018-\u201E\u2026\u20AC]|<\|endoftext\|>|\s{100}")
 
+#: The same for texts within Latin-1, whose bytes are looked at as a whole.
+PLAIN_BYTES = bytes(b for b in range(256) if not NOT_PLAIN.search(chr(b)))
+AS_BLANK = bytes(32 if chr(b).isspace() else b for b in range(256))
+
+
+def plain(text: str) -> bool:
+    """Whether NOT_PLAIN finds nothing in the text."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not NOT_PLAIN.search(text)
+    return not raw.translate(None, PLAIN_BYTES) and b"<|endoftext|>" not in raw and b" " * 100 not in raw.translate(AS_BLANK)
+
+
 _encoders: dict[tuple[str, str], Callable[[str], np.ndarray]] = {}
 
 
@@ -52,7 +66,7 @@ def encoder(paths: tuple[str, str]) -> Callable[[str], np.ndarray]:
         fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> np.ndarray:
-            if NOT_PLAIN.search(text):
+            if not plain(text):
                 return np.array(whole_file.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             return fast.encode_to_numpy(text)
 

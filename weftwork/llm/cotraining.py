@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.llm.common import cut, delete, shared_path, texts_for_python, whole
-from weftwork.llm.quality import CLASSES, class_counts, class_table, lookup_table
+from weftwork.llm.quality import CLASSES, class_counts, class_runs, class_table, lookup_table
 
 #: Labelled rows that the views are fitted on, at most; chosen by a hash of their ids.
 MAX_LABELLED = 4000
@@ -181,14 +181,14 @@ def write_features(docs: DataFrame, path: str) -> DataFrame:
 
     doc_id is a string, which keeps null and value apart for every type; content is a 64-bit hash of the text.
     """
-    text = whole("text")
+    text, runs = whole("text"), class_runs()
     rows = docs.select(
         F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(text).alias("content"), text.alias("text"),
         F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars"),
     )
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = class_table(), lookup_table()
+        tables = class_table(runs), lookup_table()
         for b in batches:
             texts = [text_features(t, *tables) for t in b["text"]]
             sizes = [None if pd.isna(x) else float(x) for x in b["n_chars"]]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from functools import cache, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -47,13 +47,21 @@ CHAR_BINS = [f"c_{c}" for c in CLASSES]
 WORD_BINS = [f"w_{i}" for i in range(N_COMMON + 1)]
 
 
-@cache
-def class_table() -> np.ndarray:
-    """Class of each code point."""
+def class_runs() -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all code points in order, as runs of one class and their lengths.
+
+    Made on the driver and sent along with what uses it: a worker needs no module of this package for it.
+    """
     of = {category: k for k, name in enumerate(CLASSES) for category in CLASSES[name].split()}
     table = np.fromiter((of[unicodedata.category(chr(c))] for c in range(0x110000)), dtype=np.uint8, count=0x110000)
     table[[9, 10, 11, 12, 13, 32]] = list(CLASSES).index("space")
-    return table
+    starts = np.flatnonzero(np.diff(table, prepend=255))
+    return table[starts], np.diff(starts, append=len(table))
+
+
+def class_table(runs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Class of each code point."""
+    return np.repeat(*(runs or class_runs()))
 
 
 def class_counts(text: str, bins: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -108,11 +116,11 @@ def text_counts(text: str, lang: str | None, classes: np.ndarray, lookup: bytes,
 
 def counted(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", name: str = "counts") -> DataFrame:
     """``rows`` with a struct of the counts of each whole text; null counts as empty."""
-    columns = [*BASE, *CHAR_BINS, *WORD_BINS]
+    columns, runs = [*BASE, *CHAR_BINS, *WORD_BINS], class_runs()
 
     @F.pandas_udf(", ".join(f"{c} long" for c in columns))
     def count(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
-        tables = class_table(), lookup_table(), {k: [w.encode() for w in v] for k, v in COMMON_WORDS.items()}
+        tables = class_table(runs), lookup_table(), {k: [w.encode() for w in v] for k, v in COMMON_WORDS.items()}
         return pd.DataFrame([text_counts(t, g, *tables) for t, g in zip(texts, langs, strict=True)], columns=columns)
 
     once = count.asNondeterministic()  # else filters and joins above would each count the text anew

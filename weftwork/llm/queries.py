@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftwork.llm import chat, cotraining, exactdedup, lexical, mixing, packing, quality, secrets, sharding, simhash, urlfilter
+from weftwork.llm import chat, cotraining, exactdedup, lexical, mixing, packing, prefixtrie, quality, secrets, sharding, simhash, urlfilter
 from weftwork.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +24,10 @@ def queries() -> dict[str, Query]:
         "op8_chat_format": lambda spark, d: chat.op8(spark.read.parquet(f"{d}/conversations.parquet")),
         "op9_simhash_classes": lambda spark, d: simhash.op9(documents(spark, d)),
         "op10_shard_shuffle": lambda spark, d: sharding.op10(documents(spark, d)),
+        "op11_prefix_trie": lambda spark, d: prefixtrie.op11(spark.read.parquet(f"{d}/conversations.parquet")),
         "op13_ranked_search": lambda spark, d: lexical.op13(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.SQL, "op5_exact_dedup": exactdedup.SQL, "op6_url_filter": urlfilter.SQL, "op7_mix_sources": mixing.SQL, "op8_chat_format": chat.SQL, "op13_ranked_search": lexical.SQL}
+    return {"op1_quality_rules": quality.SQL, "op5_exact_dedup": exactdedup.SQL, "op6_url_filter": urlfilter.SQL, "op7_mix_sources": mixing.SQL, "op8_chat_format": chat.SQL, "op11_prefix_trie": prefixtrie.SQL, "op13_ranked_search": lexical.SQL}

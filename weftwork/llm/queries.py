@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftwork.llm import chat, cotraining, exactdedup, lexical, mixing, packing, prefixtrie, quality, secrets, sharding, simhash, urlfilter
+from weftwork.llm import annsearch, chat, cotraining, exactdedup, lexical, mixing, packing, prefixtrie, quality, secrets, sharding, simhash, urlfilter
 from weftwork.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op9_simhash_classes": lambda spark, d: simhash.op9(documents(spark, d)),
         "op10_shard_shuffle": lambda spark, d: sharding.op10(documents(spark, d)),
         "op11_prefix_trie": lambda spark, d: prefixtrie.op11(spark.read.parquet(f"{d}/conversations.parquet")),
+        "op12_nearest": lambda spark, d: annsearch.op12(spark.read.parquet(f"{d}/embeddings.parquet")),
         "op13_ranked_search": lambda spark, d: lexical.op13(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
     }
 

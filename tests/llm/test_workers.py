@@ -30,7 +30,7 @@ for name in {names!r}:
     assert queries[name](spark, {data!r}).count() > 0, name
     print("ran", name)
 """
-NAMES = ["op1_quality_rules", "op2_pack_sequences", "op3_cotrained_quality", "op9_simhash_classes", "pipeline"]
+NAMES = ["op1_quality_rules", "op2_pack_sequences", "op3_cotrained_quality", "op9_simhash_classes", "op11_prefix_trie", "op12_nearest", "op13_ranked_search", "pipeline"]
 
 
 @pytest.mark.parametrize("names", [NAMES], ids=["python"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -72,3 +73,26 @@ def test_many_sources_are_shuffled_not_broadcast(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert mixing.op7(empty_docs(spark)).collect() == [] and mixing.mix(empty_docs(spark)).collect() == []
+
+
+@pytest.mark.parametrize("ids", ["null", "a third"])
+def test_targets_are_met_without_ids_of_their_own(spark, ids):
+    """Null ids, or one id for a third of the rows: rows are drawn apart by their texts, and equal rows one by one."""
+    docs = documents(spark, "/root/testdata/sf0.01").filter("length(text) < 2000")
+    own = F.lit(None).cast("long") if ids == "null" else F.when(F.col("doc_id") % 3 == 0, 7).otherwise(F.col("doc_id"))
+    same = spark.range(600).select(own.alias("doc_id") if ids == "null" else F.lit(7).cast("long").alias("doc_id"), F.lit("four words in all").alias("text"), F.lit("en").alias("lang"), F.lit("equal").alias("source"), F.lit(17).cast("long").alias("n_chars")) if ids == "a third" else docs.limit(0)
+    docs = docs.withColumn("doc_id", own).withColumn("source", F.concat(F.lit("s"), (F.col("n_chars") % 5).cast("string"))).union(same)
+    rate = F.col("target") / F.col("source_size")
+    fraction = rate - F.floor(rate)
+    spread = F.sqrt(F.sum(F.col("size") * F.col("size") * fraction * (1 - fraction)))  # of independent draws
+    for r in mixing.mixing_plan(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), spread.alias("spread")).collect():
+        assert abs(r["taken"] - r["target"]) <= 4 * r["spread"] + 1 <= 0.5 * r["target"], r
+    mixed = mixing.mix(docs)
+    assert rows_of(mixed.groupBy("source").count()) == rows_of(mixing.mixing_plan(docs).groupBy("source").agg(F.sum("copies")))
+    assert rows_of(mixing.op7(docs)) == rows_of(mixing.op7(docs.repartition(5)))
+
+
+def test_equal_rows_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "EQUAL_ROWS", 4)
+    rows = spark.createDataFrame([(1, "a", 2, "x", 11), (2, "b", 3, "y", 1)], "doc_id long, source string, size long, digest string, n long")
+    assert sorted((r["doc_id"], r["rank"]) for r in mixing.numbered(rows).collect()) == [(1, i) for i in range(1, 12)] + [(2, 1)]

@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target says.
 
     A null source is a source of its own; a text without words has size 0 and is as often as its source's rate says; rows
-    of one doc_id, null too, are drawn alike. A source without any words is left out.
+    of one doc_id, or of none, are drawn apart by their texts. A source without any words is left out.
     """
     return mixing.mix(docs)
 

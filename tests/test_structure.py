@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
+import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftwork.functions import markdown as md
@@ -138,3 +143,35 @@ def test_links_with_parentheses_and_fences():
 @pytest.mark.parametrize(("target", "path"), [("../Other", "Other"), ("./Sub/en.md", "Widget/Sub"), ("..", "Widget"), ("../..", None), ("../../x", None), ("Part.md", "Widget/Part")])
 def test_relative_paths(spark, target, path):
     assert one(spark, md.resolved_path(F.lit("Widget/en.md"), F.lit(target))) == path
+
+
+#: A link as a grammar: the target is escaped characters, others than parentheses and line ends, and targets in parentheses.
+LINK = regex.compile(r"\[([^\]]*)\]\((?P<t>(?:\\[\s\S]|[^()\\\n]|\((?&t)\))*+)\)")
+
+
+def brute_links(text: str) -> list[tuple]:
+    out, i, fenced = [], 0, False
+    while i < len(text):
+        link = None if fenced or text[i - 1 : i] == "!" else LINK.match(text, i)
+        if text.startswith("```", i):
+            fenced, i = not fenced, i + 3
+        elif link:
+            out.append((i, link.end(), link[1], link["t"]))
+            i = link.end()
+        else:
+            i += 1
+    return out
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.text(alphabet="[]()!`\\\na", max_size=30).map(lambda t: t.replace("`", "```").replace("]", "](")) | st.text(alphabet="[]()!`\\\na", max_size=30))
+def test_links_as_the_grammar_says(text):
+    assert md.scan_links(text) == brute_links(text)
+
+
+@pytest.mark.parametrize("unit", ["[", "[a](b", "[a](", "[a](b)", "](", "[](("])
+def test_links_of_long_texts_take_linear_time(unit):
+    text = unit * (1_000_000 // len(unit))
+    began = time.perf_counter()
+    md.scan_links(text)
+    assert time.perf_counter() - began < 10  # seconds; about one on an idle machine

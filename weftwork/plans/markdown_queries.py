@@ -124,6 +124,63 @@ def page_documents(spark: SparkSession, d: str) -> DataFrame:
 
 PAGE_DOCUMENTS = "SELECT 'part/' || p_partkey AS page_id, trim(p_name) AS title, 6::BIGINT AS section_count, 0::BIGINT AS edge_count, 0::BIGINT AS citation_count, 1::BIGINT AS table_count, 0::BIGINT AS formula_count FROM part"
 
+def full_pages(spark: SparkSession, d: str) -> DataFrame:
+    """rel_path and text of a page per supplier, with all kinds of links, images, formulas, footnotes, a comment and a fence."""
+    k = F.col("s_suppkey").cast("string")
+    text = _text(
+        "# ", F.col("s_name"), "\n\n<!-- gone [x](/wiki/Gone) -->See [part ", k, "](/wiki/Part/", k, "_(x)#Top_B), [own](#B-", k, "), [home](https://example.com/home), [far](https://other.test/a_(b)), [mail](mailto:a@b.c), ",
+        "[file](/wiki/shared/f.png), [near](../../nation/", F.col("s_nationkey").cast("string"), "/en.md), [none](), [ref ", k, "][R1] and https://bare.test/", k, ", then:\n\n", TICKS, "\n[hidden](/wiki/Hidden)\nx = ", k, " + 1\n", TICKS,
+        '\n\n![alt](/wiki/shared/p.png "On top") ![alt](/wiki/shared/p.png "On top") ![far][r2]\n\n## B ', k, "\n\nThe weight `w = ", k, " * 2` counts.[^n1] And `plain` does not.[^n2]",
+        F.when(F.col("s_suppkey") % 2 == 0, _text(" ![no](/x) [twice](/wiki/Even/", k, ")")).otherwise(""), "\n\n[r1]: /wiki/Other#Part\n[r2]: https://img.test/i.png\n[^n1]: Note **", k, "**.\n",
+    )
+    return table(spark, d, "supplier").select(_text("supplier/", k, "/en.md").alias("rel_path"), text.alias("text"))
+
+
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    """The links of whole pages: inline with balanced targets, by reference, bare; of all seven kinds."""
+    edges = structure.parse_pages(full_pages(spark, d), SITE).select("page_id", F.posexplode("link_edges").alias("at", "e"))
+    return edges.select("page_id", (F.col("at") + 1).cast("long").alias("nth"), *[f"e.{c}" for c in ("edge_id", "link_text", "url_raw", "url_resolved", "link_type", "target_page_id", "target_anchor", "is_reference_link")])
+
+
+PAGE_LINKS = """
+WITH p AS (SELECT s_suppkey::VARCHAR AS k, s_nationkey::VARCHAR AS n, 'supplier/' || s_suppkey AS page_id, s_suppkey % 2 = 0 AS even,
+  regexp_replace(lower(s_name), '[^a-z0-9!_ -]+', '', 'g') AS slug FROM supplier),
+e AS (SELECT page_id, slug, 'b-' || k AS slug_b, unnest([
+  {nth: 1, part: 1, txt: 'part ' || k, raw: '/wiki/Part/' || k || '_(x)#Top_B', url: '/wiki/Part/' || k || '_(x)#top_b', kind: 'wiki_section', page: 'Part/' || k || '_(x)', anchor: 'top_b', ref: false},
+  {nth: 2, part: 1, txt: 'own', raw: '#B-' || k, url: '/wiki/' || page_id || '#b-' || k, kind: 'wiki_section', page: page_id, anchor: 'b-' || k, ref: false},
+  {nth: 3, part: 1, txt: 'home', raw: 'https://example.com/home', url: 'https://example.com/home', kind: 'site_internal', page: NULL, anchor: NULL, ref: false},
+  {nth: 4, part: 1, txt: 'far', raw: 'https://other.test/a_(b)', url: 'https://other.test/a_(b)', kind: 'external', page: NULL, anchor: NULL, ref: false},
+  {nth: 5, part: 1, txt: 'mail', raw: 'mailto:a@b.c', url: 'mailto:a@b.c', kind: 'mailto', page: NULL, anchor: NULL, ref: false},
+  {nth: 6, part: 1, txt: 'file', raw: '/wiki/shared/f.png', url: '/wiki/shared/f.png', kind: 'wiki_asset', page: NULL, anchor: NULL, ref: false},
+  {nth: 7, part: 1, txt: 'near', raw: '../../nation/' || n || '/en.md', url: '/wiki/nation/' || n, kind: 'wiki_article', page: 'nation/' || n, anchor: NULL, ref: false},
+  {nth: 8, part: 1, txt: 'none', raw: '', url: NULL, kind: 'other', page: NULL, anchor: NULL, ref: false},
+  {nth: 9, part: 1, txt: 'ref ' || k, raw: '/wiki/Other#Part', url: '/wiki/Other#part', kind: 'wiki_section', page: 'Other', anchor: 'part', ref: true},
+  {nth: 10, part: 1, txt: 'https://bare.test/' || k, raw: 'https://bare.test/' || k, url: 'https://bare.test/' || k, kind: 'external', page: NULL, anchor: NULL, ref: false},
+  {nth: 11, part: 2, txt: 'twice', raw: '/wiki/Even/' || k, url: '/wiki/Even/' || k, kind: 'wiki_article', page: 'Even/' || k, anchor: NULL, ref: false}]) AS e, even FROM p)
+SELECT page_id, e.nth::BIGINT AS nth, CASE e.part WHEN 1 THEN slug || ':' || e.nth ELSE slug_b || ':1' END AS edge_id, e.txt AS link_text, e.raw AS url_raw, e.url AS url_resolved, e.kind AS link_type, e.page AS target_page_id, e.anchor AS target_anchor, e.ref AS is_reference_link
+FROM e WHERE e.nth < 11 OR even
+"""
+
+
+def page_contents(spark: SparkSession, d: str) -> DataFrame:
+    """What whole pages hold besides their links: images, formulas, citations, comments that are gone."""
+    docs = structure.parse_pages(full_pages(spark, d), SITE)
+    of = lambda field: F.array_join(F.flatten(F.transform("sections", lambda s: s[field])), "|")
+    images = F.array_join(F.transform(F.flatten(F.transform("sections", lambda s: s["images"])), lambda i: F.concat_ws(",", i["alt"], i["title"], i["url_resolved"], i["link_type"])), "|")
+    formulas = F.array_join(F.transform(F.flatten(F.transform("sections", lambda s: s["formulae"])), lambda f: F.concat_ws(":", f["source"], f["expression"])), "|")
+    cited = F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["citation_id"], c["text"], c["missing_definition"].cast("string"), F.array_join(c["referenced_in_sections"], ","))), "|")
+    counts = [F.col(c).cast("long").alias(c) for c in ("section_count", "edge_count", "citation_count", "image_count", "formula_count")]
+    return docs.select("page_id", *counts, of("citation_refs").alias("citation_refs"), images.alias("images"), formulas.alias("formulas"), cited.alias("citations"), F.contains(F.array_join(F.transform("sections", lambda s: s["text"]), " "), F.lit("gone")).alias("comment_left"))
+
+
+PAGE_CONTENTS = """
+SELECT 'supplier/' || s_suppkey AS page_id, 2::BIGINT AS section_count, (CASE WHEN s_suppkey % 2 = 0 THEN 11 ELSE 10 END)::BIGINT AS edge_count, 2::BIGINT AS citation_count, 2::BIGINT AS image_count,
+  3::BIGINT AS formula_count, 'n1|n2' AS citation_refs, 'alt,On top,/wiki/shared/p.png,wiki_asset|far,,https://img.test/i.png,external' AS images,
+  'code_block:[hidden](/wiki/Hidden)|code_block:x = ' || s_suppkey || ' + 1|inline_code:w = ' || s_suppkey || ' * 2' AS formulas,
+  'n1:Note **' || s_suppkey || '**.:false:b-' || s_suppkey || '|n2::true:b-' || s_suppkey AS citations, false AS comment_left
+FROM supplier
+"""
+
 QUERIES = {
     "fence_parity": (fence_parity, FENCE_PARITY),
     "heading_hierarchy": (heading_hierarchy, HEADING_HIERARCHY),
@@ -132,4 +189,6 @@ QUERIES = {
     "link_classify": (link_kinds, LINK_KINDS),
     "news_dates": (news_dates, NEWS_DATES),
     "page_documents": (page_documents, PAGE_DOCUMENTS),
+    "page_links": (page_links, PAGE_LINKS),
+    "page_contents": (page_contents, PAGE_CONTENTS),
 }

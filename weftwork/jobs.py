@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.operators import chunking, entities, evaluation, indexing, links, prompting, reports, retrieval, structure, terms
+from weftwork.operators import chunking, entities, evaluation, indexing, links, prompting, reports, retrieval, structure, terms, vectors
 from weftwork.sources import files, sinks
 from weftwork.sources.config import Config
 from weftwork.storage import checkpoint_root, materialized
@@ -120,7 +120,8 @@ def search(spark: SparkSession, config: Config, queries: DataFrame, dense: bool
     if dense:
         points = table(spark, config, "index").select("payload.chunk_id", F.col("vector").alias("embedding"))
         asked = queries.select("query_id", hashing_vector(F.col("query"), config.embedding.dimensions).alias("query_embedding"))
-        scores = retrieval.dense_scores(asked, points, config.retrieval.dense_top_k)
+        found = vectors.nearest_to(asked, points, config.retrieval.dense_top_k, config.retrieval.dense_missed)
+        scores = found.select("query_id", "chunk_id", F.col("score").alias("dense_score"))
     names = None if dense else files.read_entities(spark, config.artifacts.reads("terms"))
     return retrieval.search(queries, indexing.last_by_id(chunks, "chunk_id", "chunk_index"), docs, names, scores, config.retrieval.final_top_k, vocab, config.retrieval.dense_top_k)
 

@@ -164,7 +164,7 @@ class Index(NamedTuple):
     single: bool
 
 
-def build_index(rows: DataFrame, size: int, n: int, max_lists: int = MAX_LISTS, block_bytes: int = BLOCK_BYTES, seed: int = SEED) -> Index:
+def build_index(rows: DataFrame, size: int, n: int, max_lists: int = MAX_LISTS, seed: int = SEED) -> Index:
     """The index of all of ``n`` usable ``rows(row, id, vector)``. The sample is chosen by a hash of id and vector."""
     single = rows.schema["vector"].dataType.elementType == T.FloatType()
     lists = min(max_lists, math.ceil(math.sqrt(n)), max(1, SAMPLE_BYTES // (4 * size) // 4))
@@ -194,7 +194,7 @@ def build_index(rows: DataFrame, size: int, n: int, max_lists: int = MAX_LISTS,
     sizes, sums = np.zeros(len(centroids), np.int64), np.zeros(len(centroids))
     for r in stats:
         sizes[r["list"]], sums[r["list"]] = r["n"], r["near"]
-    blocks = -(-sizes // max(1, block_bytes // (4 * size)))
+    blocks = -(-sizes // max(1, BLOCK_BYTES // (4 * size)))
     of_list = F.element_at(F.lit(blocks.tolist()), F.col("list") + 1)
     dealt = placed.withColumn("block", F.pmod(F.xxhash64("row"), of_list).cast("int")).drop("n", "near")
     return Index(Lists(centroids, sizes, sums / np.maximum(sizes, 1), blocks), dealt, size, single)
@@ -343,7 +343,19 @@ def best_rows(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, asked: Column | str, k: int, scan: Scan = scan_all, missed: float = MISSED, id_col: str = "id", vector_col: str = "vector", max_lists: int = MAX_LISTS, first: int = FIRST_LISTS, prepared: Callable[[int], Scan] | None = None) -> DataFrame:
+def searched(index: Index, queries: DataFrame, k: int, scan: Scan, missed: float = MISSED, first: int = FIRST_LISTS) -> DataFrame:
+    """query_row, query_id, rank, row, id, score: the k nearest of each of ``queries(row, id, vector)``, as found in two steps."""
+    lists, size, none = index.lists, index.size, F.lit(float("-inf"))
+    queries = materialized(queries.repartition(max(1, -(-queries.count() // PACK_ROWS))))
+    begun = met(index, query_packs(queries.withColumn("floor", none), index, lambda c, floor: first_lists(c, lists, k, first)), k, scan)
+    begun = materialized(best_rows(begun, k).drop("rank"))
+    floors = begun.groupBy(F.col("query_row").alias("row")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(none).alias("floor"))
+    told = queries.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", none))
+    more = met(index, query_packs(told, index, lambda c, floor: further_lists(c, floor, lists, size, k, missed, first)), k, scan)
+    return best_rows(begun.unionByName(more), k).select("query_row", "query_id", "rank", "row", "id", "score")
+
+
+def nearest(vectors: DataFrame, asked: Column | str, k: int, prepared: Callable[[int], Scan] = lambda size: scan_all, missed: float = MISSED, id_col: str = "id", vector_col: str = "vector", max_lists: int = MAX_LISTS, first: int = FIRST_LISTS) -> DataFrame:
     """query_row, query_id, rank, row, id, score: the k rows of ``vectors`` nearest to each row that ``asked`` picks (by ``id``).
 
     The score is the cosine of the vectors as they are, in double precision; a row is not found for itself, but for other rows
@@ -351,18 +363,26 @@ def nearest(vectors: DataFrame, asked: Column | str, k: int, scan: Scan = scan_a
     are looked into. ``prepared`` makes the scan from the number of components.
     """
     rows, size = usable(vectors, id_col, vector_col)
-    n = rows.count()
-    if not n:
+    if not (n := rows.count()):
         return rows.sparkSession.createDataFrame([], f"{FOUND}, rank int").select("query_row", "query_id", "rank", "row", "id", "score")
-    scan = prepared(size) if prepared else scan
-    index = build_index(rows, size, n, max_lists)
-    lists = index.lists
-    queries = rows.filter(asked)
-    queries = materialized(queries.repartition(max(1, -(-queries.count() // PACK_ROWS))))
-    none = F.lit(float("-inf"))
-    begun = best_rows(met(index, query_packs(queries.withColumn("floor", none), index, lambda c, floor: first_lists(c, lists, k, first)), k, scan), k)
-    begun = materialized(begun.drop("rank"))
-    floors = begun.groupBy(F.col("query_row").alias("row")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(none).alias("floor"))
-    told = queries.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", none))
-    more = met(index, query_packs(told, index, lambda c, floor: further_lists(c, floor, lists, size, k, missed, first)), k, scan)
-    return best_rows(begun.unionByName(more), k).select("query_row", "query_id", "rank", "row", "id", "score")
+    return searched(build_index(rows, size, n, max_lists), rows.filter(asked), k, prepared(size), missed, first)
+
+
+def nearest_to(queries: DataFrame, vectors: DataFrame, k: int, missed: float = MISSED, max_lists: int = MAX_LISTS, first: int = FIRST_LISTS) -> DataFrame:
+    """query_id, chunk_id, rank, score: the k of ``vectors(chunk_id, embedding)`` nearest to each of ``queries(query_id, query_embedding)``.
+
+    Ids may be of any type and each row counts by itself; ties go to the row that comes first in ``vectors`` as read. Queries with unusable vectors,
+    or of another number of components, find nothing.
+    """
+    number = F.monotonically_increasing_id()
+    named = materialized(vectors.select(number.alias("_id"), "chunk_id", "embedding"))
+    asked = materialized(queries.select(number.alias("_id"), "query_id", "query_embedding"))
+    rows, size = usable(named, "_id", "embedding")
+    own, query_size = usable(asked, "_id", "query_embedding")
+    kinds = named.select("chunk_id").schema, asked.select("query_id").schema
+    if not (n := rows.count()) or query_size != size:
+        return named.sparkSession.createDataFrame([], T.StructType([*kinds[1], *kinds[0], T.StructField("rank", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+    own = own.select((-1 - F.col("row")).alias("row"), "id", F.col("vector").cast(rows.schema["vector"].dataType).alias("vector"))
+    found = searched(build_index(rows, size, n, max_lists), own, k, scan_all, missed, first)
+    found = found.join(named.select(F.col("_id").alias("id"), "chunk_id"), "id").join(asked.select(F.col("_id").alias("query_id"), F.col("query_id").alias("_name")), "query_id")
+    return found.select(F.col("_name").alias("query_id"), "chunk_id", "rank", "score")

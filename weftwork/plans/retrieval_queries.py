@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions.text import context_window, path_prefixes
-from weftwork.operators import chunking, evaluation, prompting, retrieval
+from weftwork.operators import chunking, evaluation, maxscore, prompting, retrieval, vectors
 from weftwork.plans.sql import PAGE, TITLE, norm, packed, strip, terms
 from weftwork.plans.tables import chunks_of, pages_of, questions, table
+from weftwork.storage import materialized
 from weftwork.vocab import ACCESS, EXPANSIONS, PERFORMANCE, TROUBLESHOOTING
 
 TOP = 6
@@ -42,6 +43,16 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC
 """
 OVERLAP_TOPK = OVERLAP + "SELECT query_id, rank, doc_id, overlap, round(ln(1 + overlap), 6) AS score FROM top"
 
+def maxscore_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows as chunk_terms_overlap_topk, from postings in blocks; every question reads blocks, and some are skipped."""
+    asked = questions(table(spark, d, "benchmark"))
+    top, blocks = maxscore.top_overlaps(retrieval.term_counts(asked, "query_id", F.col("query")), maxscore.term_bags(table(spark, d, "documents"), "doc_id", F.col("text")), "doc_id", TOP)
+    read = blocks.select("query_id", (F.col("blocks_read") > 0).alias("read"))
+    return top.join(read, "query_id").select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "overlap", "read")
+
+
+MAXSCORE_TOPK = OVERLAP + "SELECT query_id, rank, doc_id, overlap, true AS read FROM top"
+
 INTENT_TOKENS = "lower(unnest(regexp_extract_all(coalesce({text}, ''), '[A-Za-z0-9!+#.'']+')))"
 
 
@@ -108,9 +119,9 @@ SELECT chunk_id, round(coalesce(own, above), 6) AS document_score FROM m
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     """The nearest vectors of every vector whose id is divisible by 100."""
-    vectors = table(spark, d, "embeddings")
-    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    top = retrieval.dense_scores(asked, vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"))
+    rows = table(spark, d, "embeddings")
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    top = retrieval.dense_scores(asked, rows.select(F.col("vec_id").alias("chunk_id"), "embedding"))
     return top.select("query_id", "chunk_id", F.round("dense_score", 6).alias("dense_score"))
 
 
@@ -120,14 +131,34 @@ SELECT query_id, chunk_id, round(score, 6) AS dense_score FROM (SELECT *, row_nu
 """
 
 
+def dense_index(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest vectors of the same queries from the inverted-file index: how much of the exact answer it finds.
+
+    Every query has its k rows, scores never exceed the exact ones of their rank, and at least nine in ten rows of the exact
+    answer are found.
+    """
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = rows.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    found = materialized(vectors.nearest_to(asked, rows, retrieval.DENSE_TOP_K))
+    exact = materialized(retrieval.dense_scores(asked, rows))
+    both = exact.join(found, ["query_id", "chunk_id"], "left").agg(F.count("*").alias("n_exact"), (F.count("score") / F.count("*") >= 0.9).alias("recall_reached"), F.coalesce(F.max(F.abs(F.col("score") - F.col("dense_score"))) < 1e-5, F.lit(True)).alias("scores_agree"))
+    return found.agg(F.count("*").alias("n_found"), F.countDistinct("query_id").alias("n_queries"), F.coalesce(F.max("rank"), F.lit(0)).cast("long").alias("k")).crossJoin(both)  # two single rows
+
+
+DENSE_INDEX = """
+WITH q AS (SELECT count(*) AS n FROM embeddings WHERE vec_id % 100 = 0), v AS (SELECT least(24, count(*)) AS k FROM embeddings)
+SELECT n * k AS n_found, n AS n_queries, k, n * k AS n_exact, true AS recall_reached, true AS scores_agree FROM q, v
+"""
+
+
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """All passages as questions over all chunks: lexical, document and dense scores together."""
     docs = table(spark, d, "documents")
-    asked, vectors = questions(table(spark, d, "benchmark")), table(spark, d, "embeddings")
+    asked, embedded = questions(table(spark, d, "benchmark")), table(spark, d, "embeddings")
     chunks, pages = chunks_of(docs), pages_of(docs)
     ids = docs.select(F.col("doc_id").alias("vec_id"), F.concat(F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")), F.lit("::article")).alias("chunk_id"))
-    query_vectors = vectors.join(asked, F.col("vec_id") == F.col("query_id"), "inner").select("query_id", F.col("embedding").alias("query_embedding"))
-    dense = retrieval.dense_scores(query_vectors, vectors.join(ids, "vec_id").select("chunk_id", "embedding"))
+    query_vectors = embedded.join(asked, F.col("vec_id") == F.col("query_id"), "inner").select("query_id", F.col("embedding").alias("query_embedding"))
+    dense = retrieval.dense_scores(query_vectors, embedded.join(ids, "vec_id").select("chunk_id", "embedding"))
     found = retrieval.search(asked, chunks, pages, dense=dense)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", *[F.round(c, 6).alias(c) for c in ("score", "dense_score", "keyword_score", "document_score")])
 
@@ -247,6 +278,8 @@ QUERIES = {
     "document_scores": (document_scores, DOCUMENT_SCORES),
     "ancestor_rollup": (ancestor_scores, ANCESTOR_SCORES),
     "dense_topk": (dense_topk, DENSE_TOPK),
+    "overlap_topk_blocks": (maxscore_topk, MAXSCORE_TOPK),
+    "dense_index_recall": (dense_index, DENSE_INDEX),
     "hybrid_rank": (hybrid_search, None),
     "intent_labels": (intents, INTENTS),
     "text_pack_blocks": (pack_blocks, PACK_BLOCKS),

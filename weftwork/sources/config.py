@@ -41,6 +41,8 @@ class Embedding:
 @dataclass(frozen=True)
 class Retrieval:
     dense_top_k: int = 24
+    #: Share of the dense results that the index may miss, as expected; 0 looks into all of it.
+    dense_missed: float = 0.0
     final_top_k: int = 6
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions.text import context_window, path_prefixes
-from weftwork.operators import chunking, evaluation, maxscore, prompting, retrieval, vectors
+from weftwork.operators import chunking, evaluation, maxscore, mentions, prompting, retrieval, vectors
 from weftwork.plans.sql import PAGE, TITLE, norm, packed, strip, terms
 from weftwork.plans.tables import chunks_of, pages_of, questions, table
 from weftwork.storage import materialized
@@ -53,6 +53,21 @@ def maxscore_topk(spark: SparkSession, d: str) -> DataFrame:
 
 MAXSCORE_TOPK = OVERLAP + "SELECT query_id, rank, doc_id, overlap, true AS read FROM top"
 
+def title_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """All documents' titles of two words looked for in all documents: how many mention each, how often, and the first."""
+    docs = table(spark, d, "documents")
+    names = docs.select(F.regexp_extract(F.coalesce("text", F.lit("")), "^([A-Za-z]+ [A-Za-z]+)", 1).alias("name"))
+    found = mentions.mentions(docs, names, "doc_id", "text")
+    return found.groupBy("name").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"), F.min("start").cast("long").alias("least_start"))
+
+
+TITLE_MENTIONS = """
+WITH n AS (SELECT DISTINCT lower(regexp_extract(coalesce(text, ''), '^([A-Za-z]+ [A-Za-z]+)', 1)) AS name FROM documents),
+d AS (SELECT doc_id, replace(lower(coalesce(text, '')), 'ß', 'ss') AS text FROM documents),
+m AS (SELECT name, doc_id, text, regexp_extract(text, '^((?s:.*?)(?:^|[^a-z0-9]))' || name || '(?:[^a-z0-9]|$)', 1) AS head, regexp_matches(text, '(^|[^a-z0-9])' || name || '([^a-z0-9]|$)') AS ok FROM n JOIN d ON contains(d.text, n.name) WHERE name <> '')
+SELECT name, count(*) AS n_docs, min(doc_id) AS first_doc, min(length(head)) AS least_start FROM m WHERE ok GROUP BY name
+"""
+
 INTENT_TOKENS = "lower(unnest(regexp_extract_all(coalesce({text}, ''), '[A-Za-z0-9!+#.'']+')))"
 
 
@@ -279,6 +294,7 @@ QUERIES = {
     "ancestor_rollup": (ancestor_scores, ANCESTOR_SCORES),
     "dense_topk": (dense_topk, DENSE_TOPK),
     "overlap_topk_blocks": (maxscore_topk, MAXSCORE_TOPK),
+    "title_mentions": (title_mentions, TITLE_MENTIONS),
     "dense_index_recall": (dense_index, DENSE_INDEX),
     "hybrid_rank": (hybrid_search, None),
     "intent_labels": (intents, INTENTS),

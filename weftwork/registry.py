@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftwork.plans import knowledge_queries, markdown_queries, retrieval_queries
+from weftwork.plans import index_queries, knowledge_queries, markdown_queries, retrieval_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-ALL = {**retrieval_queries.QUERIES, **knowledge_queries.QUERIES, **markdown_queries.QUERIES}
+ALL = {**retrieval_queries.QUERIES, **knowledge_queries.QUERIES, **markdown_queries.QUERIES, **index_queries.QUERIES}
 
 
 def queries() -> dict[str, Query]:

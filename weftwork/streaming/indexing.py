@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftwork.functions.text import tokenize
 from weftwork.operators.indexing import embedding_text, stable_point_id
+from weftwork.operators.snapshots import changes, content_of
 
 #: Buckets of the index by point id: an upsert rewrites only those that a batch touches.
 BUCKETS = 64
@@ -31,12 +32,58 @@ def hashing_vector(text: Column, dimensions: int = 384) -> Column:
     return encode(F.transform(tokenize(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int")))
 
 
-def points_of(chunks: DataFrame, encode: Callable[[Column], Column] = hashing_vector) -> DataFrame:
-    """Index points: id, bucket, payload and vector of each chunk; of repeated ids in a batch the last one's."""
+def staged_points(chunks: DataFrame) -> DataFrame:
+    """Points without vectors: id, bucket, the text to embed, payload and content; of repeated ids in a batch the last one's.
+
+    ``content`` is a digest of the payload, by which a later state of the chunks is compared with this one.
+    """
     point = stable_point_id(F.col("chunk_id"))
     rows = chunks.select(point.alias("point_id"), embedding_text(chunks).alias("_text"), F.struct(*chunks.columns).alias("payload"))
     one = rows.groupBy("point_id").agg(F.max_by(F.struct("_text", "payload"), F.struct("payload.chunk_index", F.col("_text"))).alias("r"))
-    return one.select("point_id", F.pmod(F.xxhash64("point_id"), F.lit(BUCKETS)).cast("int").alias("bucket"), "r.payload", encode(F.col("r._text")).alias("vector"))
+    return one.select("point_id", bucket_of("point_id"), F.col("r._text").alias("_text"), "r.payload", content_of("r.payload").alias("content"))
+
+
+def bucket_of(point_id: str) -> Column:
+    return F.pmod(F.xxhash64(point_id), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def embedded(staged: DataFrame, encode: Callable[[Column], Column]) -> DataFrame:
+    return staged.select("point_id", "bucket", "payload", encode(F.col("_text")).alias("vector"), "content", F.lit(False).alias("deleted"))
+
+
+def points_of(chunks: DataFrame, encode: Callable[[Column], Column] = hashing_vector) -> DataFrame:
+    """Index points: id, bucket, payload, vector, content of each chunk; ``deleted`` is false."""
+    return embedded(staged_points(chunks), encode)
+
+
+def live_points(index: DataFrame) -> DataFrame:
+    """The index without what has been deleted from it."""
+    return index.filter(~F.coalesce("deleted", F.lit(False))) if "deleted" in index.columns else index
+
+
+def sync_into(chunks: DataFrame, index: str, encode: Callable[[Column], Column] = hashing_vector) -> dict[str, int]:
+    """Make the index what ``chunks`` are now; returns the numbers of inserts, updates and deletes.
+
+    Contents are compared by digest, so that only what is new or has changed is embedded and only its buckets are
+    written; without changes nothing is. What is gone leaves a point without payload that is marked as deleted, so that a
+    bucket is rewritten even where nothing is left in it.
+    """
+    spark = chunks.sparkSession
+    staged = staged_points(chunks).select("point_id", "bucket", "_text", "payload", "content")
+    before = live_points(spark.read.parquet(index)) if exists(spark, index) else None
+    known = before.select("point_id", "content") if before is not None and "content" in before.columns else staged.select("point_id", "content").limit(0) if before is None else before.select("point_id", F.lit(None).cast("string").alias("content"))
+    found = changes(known, staged.select("point_id", "content"), "point_id").checkpoint()
+    counts = {c: 0 for c in ("insert", "update", "delete")} | {r["change"]: r["count"] for r in found.groupBy("change").count().collect()}
+    if any(counts.values()):
+        fresh = embedded(staged.join(found.filter("change <> 'delete'"), "point_id", "left_semi"), encode)
+        gone = found.filter("change = 'delete'").select("point_id", bucket_of("point_id"), *[F.lit(None).cast(fresh.schema[c].dataType).alias(c) for c in ("payload", "vector", "content")], F.lit(True).alias("deleted"))
+        upsert_into(fresh.unionByName(gone), index)
+    return counts
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def upsert_into(points: DataFrame, index: str) -> None:
@@ -50,8 +97,7 @@ def upsert_into(points: DataFrame, index: str) -> None:
     touched = [r["bucket"] for r in points.select("bucket").distinct().collect()]  # BUCKETS at most
     if not touched:
         return
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(index)
-    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    if exists(spark, index):
         old = spark.read.schema(points.schema).parquet(index).filter(F.col("bucket").isin(touched))
         points = old.join(points.select("point_id"), "point_id", "left_anti").unionByName(points).checkpoint()
     points.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(index)

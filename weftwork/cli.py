@@ -37,6 +37,8 @@ def parser() -> argparse.ArgumentParser:
     indexed.add_argument("--no-resume", dest="resume", action="store_false")
     indexed.add_argument("--offset", type=int, default=0)
     indexed.add_argument("--limit", type=int)
+    indexed.add_argument("--sync", action="store_true", help="compare contents: take what is new or changed, drop what is gone")
+    indexed.add_argument("--files-per-batch", type=int, default=64)
     indexed.add_argument("--quiet", action="store_true")
     for name in ("inspect", "query"):
         asked = commands.add_parser(name)
@@ -81,7 +83,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         say(issues.groupBy("severity", "kind").agg(F.count(F.lit(1)).alias("n")).orderBy("severity", "kind"))
         return int(not issues.filter("severity = 'error'").isEmpty())
     elif args.command == "index":
-        report = jobs.build_index(spark, config, args.resume, args.offset, args.limit)
+        tell = None if args.quiet else lambda event: print(json.dumps(event), flush=True)
+        report = jobs.build_index(spark, config, args.resume, args.offset, args.limit, args.sync, args.files_per_batch, tell)
         if not args.quiet:
             say(report)
     elif args.command == "eval":

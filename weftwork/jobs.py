@@ -8,11 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftwork.functions.text import casefold
 from weftwork.operators import chunking, entities, evaluation, indexing, links, prompting, reports, retrieval, structure, terms, vectors
+from weftwork.operators.ordering import in_ranges
 from weftwork.sources import files, sinks
 from weftwork.sources.config import Config
 from weftwork.storage import checkpoint_root, materialized
-from weftwork.streaming.indexing import hashing_vector, index_stream, points_of, upsert_into
+from weftwork.streaming.indexing import hashing_vector, index_stream, live_points, points_of, sync_into, upsert_into
+from weftwork.streaming.progress import EVENTS
 from weftwork.vocab import Vocabulary
 
 
@@ -37,7 +40,7 @@ def ingest(spark: SparkSession, config: Config, vocab: Vocabulary = Vocabulary()
 
 def build_terms(spark: SparkSession, config: Config, vocab: Vocabulary = Vocabulary()) -> dict:  # noqa: B008
     made = terms.build_terms(table(spark, config, "documents"), vocab)
-    sinks.write_records(made, config.artifacts.writes("terms"))
+    sinks.write_records(in_ranges(made, F.lower("canonical"), "canonical"), config.artifacts.writes("terms"))
     return sinks.write_report(terms.terms_report(files.read_entities(spark, config.artifacts.writes("terms"))), config.artifacts.writes("terms_report"))
 
 
@@ -57,14 +60,14 @@ def extract_entities(spark: SparkSession, config: Config, backend: str, options:
     chunks = table(spark, config, "chunks").withColumn("ordinal", F.struct("document_id", "chunk_index"))
     chosen = entities.select_chunks(chunks, limit, sampling)
     made = entities.extract_entities(chosen, backend, options, labels or entities.labels_for_profile(profile, vocab), vocab, scoped, max_text_chars)
-    sinks.write_table(made, config.artifacts.writes("entity_candidates"))
+    sinks.write_table(in_ranges(made, F.desc("score"), "label", casefold(F.col("canonical_guess")), "chunk_id", "start"), config.artifacts.writes("entity_candidates"))
     return sinks.write_report(entities.candidate_report(spark.read.parquet(config.artifacts.writes("entity_candidates"))), config.artifacts.writes("entity_candidates_report"))
 
 
 def normalize_entities(spark: SparkSession, config: Config, full_merge: bool = False, vocab: Vocabulary = Vocabulary()) -> dict:  # noqa: B008
     docs = table(spark, config, "documents").filter(F.col("source") == "wiki")
     made = entities.normalize_candidates(table(spark, config, "entity_candidates"), entities.document_index(docs), vocab, full_merge)
-    sinks.write_table(made, config.artifacts.writes("entities"))
+    sinks.write_table(in_ranges(made, links.decision_order(F.col("decision")), F.desc("confidence"), casefold(F.col("canonical")), "canonical"), config.artifacts.writes("entities"))
     rows = spark.read.parquet(config.artifacts.writes("entities"))
     sinks.write_review(entities.normalization_review_rows(rows), config.artifacts.writes("entity_review"))
     return sinks.write_report(entities.normalization_report(rows), config.artifacts.writes("entities_report"))
@@ -87,28 +90,46 @@ def validate(spark: SparkSession, config: Config) -> DataFrame:
     return spark.read.parquet(config.artifacts.writes("issues"))
 
 
-def build_index(spark: SparkSession, config: Config, resume: bool = True, offset: int = 0, limit: int | None = None) -> dict:
+def build_index(spark: SparkSession, config: Config, resume: bool = True, offset: int = 0, limit: int | None = None, sync: bool = False, files_per_batch: int = 64, tell: Callable[[dict], None] | None = None) -> dict:
     """Bring the index up to date with the chunk files; without ``resume`` all of them are taken again.
 
-    What is done is known by file: a chunk table that was written anew has other files and is taken whole. With an
-    ``offset`` or a ``limit`` those chunks alone are taken, in order of document and place, and nothing is marked as done.
+    What is done is known by file, and an event for each batch is written and passed to ``tell``. With ``sync`` contents are
+    compared instead: only what is new, changed or gone since the last time is touched. With an ``offset`` or a ``limit``
+    those chunks alone are taken, in order of document and place, and nothing is marked as done; an offset below 0 is 0.
     """
+    offset = max(0, offset)
+    if limit is not None and limit <= 0:
+        raise ValueError("limit must be above zero")
+    if files_per_batch <= 0:
+        raise ValueError("files of a batch must be above zero")
+    if sync and (offset or limit is not None):
+        raise ValueError("sync takes all chunks: no offset and no limit")
     checkpoint_root(spark)
     began = time.monotonic()
     chunks, index = config.artifacts.reads("chunks"), config.artifacts.writes("index")
     rows = table(spark, config, "chunks")
+    if not (n := rows.count()):
+        raise ValueError("there are no chunks: run ingest first")
+    if offset >= n:
+        raise ValueError(f"offset {offset} is past the {n} chunks that there are")
     states = config.artifacts.writes("index_checkpoint")
     encode = lambda text: hashing_vector(text, config.embedding.dimensions)
-    if offset or limit is not None:
+    changed, events = {}, []
+    if sync:
+        changed = sync_into(rows, index, encode)
+    elif offset or limit is not None:
         chosen = rows.orderBy("document_id", "chunk_index", "chunk_id").offset(offset)
         upsert_into(points_of(chosen if limit is None else chosen.limit(limit), encode), index)
     else:
         if not resume:
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(states)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        index_stream(spark, chunks, index, states, encode)
+        events = index_stream(spark, chunks, index, states, encode, files_per_batch, tell)
+        if events:
+            sinks.write_records(spark.createDataFrame(events, EVENTS), config.artifacts.writes("index_events"))
     seconds = time.monotonic() - began
-    counts = spark.read.parquet(index).agg(F.count(F.lit(1)).alias("points")).withColumn("seconds", F.lit(round(seconds, 3)))
+    more = [F.lit(round(seconds, 3)).alias("seconds"), *[F.lit(n).alias(f"{c}s") for c, n in changed.items()]]
+    counts = live_points(spark.read.parquet(index)).agg(F.count(F.lit(1)).alias("points")).select("points", *more)
     return sinks.write_report(counts, config.artifacts.writes("index_report"))
 
 
@@ -118,7 +139,7 @@ def search(spark: SparkSession, config: Config, queries: DataFrame, dense: bool
     docs = table(spark, config, "documents").withColumn("section_parts", F.flatten(F.transform("sections", lambda s: F.concat(F.array(s["title"]), s["heading_path"]))))
     scores = None
     if dense:
-        points = table(spark, config, "index").select("payload.chunk_id", F.col("vector").alias("embedding"))
+        points = live_points(table(spark, config, "index")).select("payload.chunk_id", F.col("vector").alias("embedding"))
         asked = queries.select("query_id", hashing_vector(F.col("query"), config.embedding.dimensions).alias("query_embedding"))
         found = vectors.nearest_to(asked, points, config.retrieval.dense_top_k, config.retrieval.dense_missed)
         scores = found.select("query_id", "chunk_id", F.col("score").alias("dense_score"))

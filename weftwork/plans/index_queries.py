@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.operators import bitmaps, extraction, snapshots, vectors
+from weftwork.operators import bitmaps, extraction, ordering, snapshots, vectors
 from weftwork.plans.tables import table
 from weftwork.storage import materialized
 
@@ -93,7 +93,18 @@ EXTRACTED = "\nUNION ALL\n".join(
     for label in sorted(set(NAMES.values()))
 )
 
+
+
+def order_places(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every order by price, the highest first, numbered without a task that sees all."""
+    placed = ordering.numbered(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), F.desc("o_totalprice"), "o_orderkey")
+    return placed.select("o_orderkey", F.col("nth").cast("long").alias("nth"))
+
+
+ORDER_PLACES = "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS nth FROM orders"
+
 QUERIES = {
+    "order_places": (order_places, ORDER_PLACES),
     "order_changes": (order_changes, ORDER_CHANGES),
     "filtered_documents": (filtered_documents, FILTERED_DOCUMENTS),
     "filtered_topk": (filtered_topk, FILTERED_TOPK),

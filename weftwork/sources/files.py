@@ -35,20 +35,21 @@ def below(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return files.select(F.substring(at, len(top) + 2, 1 << 16).alias("rel_path"), F.col("value").alias("text"))
 
 
-def markdown_files(spark: SparkSession, root: str, lang: str = "en") -> DataFrame:
-    """Pages and news posts of a corpus: rel_path and text.
+def markdown_files(spark: SparkSession, root: str, lang: str = "en", year: str | None = None) -> DataFrame:
+    """Pages and news posts of a corpus: rel_path and text; with a ``year`` that year's news posts alone, no other folder is listed.
 
     Pages are the files ``<lang>.md`` below ``wiki/`` and named from there; news posts are the ``.md`` files below
     ``news/`` and named from ``root``. Either folder may be missing; without both the corpus does not exist.
     """
     found = []
-    for folder, pattern, prefix in (("wiki", f"{lang}.md", ""), ("news", "*.md", "news/")):
+    folders = [("wiki", f"{lang}.md", ""), ("news", "*.md", "news/")] if year is None else [(f"news/{year}", "*.md", f"news/{year}/")]
+    for folder, pattern, prefix in folders:
         place = f"{root.rstrip('/')}/{folder}"
         if qualified(spark, place)[1]:
             files = below(spark, place, pattern)
             found.append(files.select(F.concat(F.lit(prefix), F.col("rel_path")).alias("rel_path"), "text"))
     if not found:
-        raise FileNotFoundError(f"no corpus at {root}: neither wiki/ nor news/ is there")
+        raise FileNotFoundError(f"no corpus at {root}: no {' or '.join(folder for folder, *_ in folders)} there")
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
@@ -65,6 +66,14 @@ def read_entities(spark: SparkSession, path: str) -> DataFrame:
     return read_records(spark, path, ENTITIES)
 
 
+def lines_without(spark: SparkSession, path: str, field: str, most: int = 10) -> list[str]:
+    """The first places, as line and file, where a file of JSON lines has a record whose ``field`` is blank."""
+    whole = spark.read.format("binaryFile").load(path)
+    lines = whole.select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("at", "line")).filter(~blank(F.col("line")))
+    bad = lines.filter(blank(F.get_json_object("line", f"$.{field}"))).orderBy("path", "at").limit(most)
+    return [f"line {r['at'] + 1} in {r['path']}" for r in bad.collect()]
+
+
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
     """query_id, query, category and expectations of a file of JSON lines; blank questions are an error.
 
@@ -73,9 +82,8 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
     if not qualified(spark, path)[1]:
         raise FileNotFoundError(f"no evaluation questions at {path}")
     rows = spark.read.schema(EXAMPLES).json(path)
-    missing = rows.filter(blank(F.col("question"))).count()
-    if missing:
-        raise ValueError(f"{missing} rows of {path} have no question")
+    if not rows.filter(blank(F.col("question"))).isEmpty():
+        raise ValueError("no question on " + "; ".join(lines_without(spark, path, "question")))
     empty = F.array().cast("array<string>")
     question = strip(F.col("question"))
     return rows.select(

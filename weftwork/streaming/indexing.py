@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from weftwork.functions.text import tokenize
 from weftwork.operators.indexing import embedding_text, stable_point_id
 from weftwork.operators.snapshots import changes, content_of
+from weftwork.streaming.progress import BatchEvents
 
 #: Buckets of the index by point id: an upsert rewrites only those that a batch touches.
 BUCKETS = 64
@@ -103,11 +105,21 @@ def upsert_into(points: DataFrame, index: str) -> None:
     points.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(index)
 
 
-def index_stream(spark: SparkSession, chunks: str, index: str, checkpoint: str, encode: Callable[[Column], Column] = hashing_vector, files_per_batch: int = 64) -> None:
-    """Take the chunk files that are new since the last call into the index, in batches, and stop.
+def index_stream(spark: SparkSession, chunks: str, index: str, checkpoint: str, encode: Callable[[Column], Column] = hashing_vector, files_per_batch: int = 64, tell: Callable[[dict], None] | None = None) -> list[dict]:
+    """Take the chunk files that are new since the last call into the index, in batches, and stop; returns an event a batch.
 
-    A batch that was cut off is done again whole; the ids make that harmless. A new checkpoint folder starts over.
+    A batch that was cut off is done again whole; the ids make that harmless. A new checkpoint folder starts over. Events are
+    passed to ``tell`` as they come.
     """
+    if files_per_batch <= 0:
+        raise ValueError("files of a batch must be above zero")
     rows = spark.readStream.schema(spark.read.parquet(chunks).schema).option("maxFilesPerTrigger", files_per_batch).parquet(chunks)
     took = lambda batch, _: upsert_into(points_of(batch, encode), index)
-    rows.writeStream.foreachBatch(took).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    listener = BatchEvents(f"index-{uuid.uuid4().hex}", tell)
+    spark.streams.addListener(listener)
+    try:
+        rows.writeStream.queryName(listener.name).foreachBatch(took).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        listener.over.wait(10)  # seconds: events come on a thread of their own
+    finally:
+        spark.streams.removeListener(listener)
+    return listener.events

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.test_jobs import CHUNK, chunk
 from weftwork import jobs
-from weftwork.operators import bitmaps, entities, extraction, ordering, snapshots
+from weftwork.operators import bitmaps, entities, extraction, ordering, reports, snapshots
 from weftwork.sources import files, sinks
 from weftwork.sources.config import load_config
 from weftwork.storage import checkpoint_root
@@ -132,3 +132,11 @@ def test_one_year_lists_its_folder_alone(spark, tmp_path):
     assert [r["rel_path"] for r in found.collect()] == ["news/2024/b.md"] and len(found.inputFiles()) == 1
     with pytest.raises(FileNotFoundError, match="2030"):
         files.markdown_files(spark, str(tmp_path), year="2030")
+
+
+def test_validation_report_names_fifty_kinds(spark):
+    rows = [("warning" if i % 2 else "error", f"kind{i:02}") for i in range(60) for _ in range(60 - i)]
+    report = reports.validation_report(spark.createDataFrame(rows, "severity string, kind string")).first()
+    assert report["issues"] == len(rows) and [(r["value"], r["n"]) for r in report["by_kind"]] == [(f"kind{i:02}", 60 - i) for i in range(50)]
+    assert {r["value"]: r["n"] for r in report["by_severity"]} == {"error": 930, "warning": 900}
+    assert reports.validation_report(spark.createDataFrame([], "severity string, kind string")).first()["issues"] == 0

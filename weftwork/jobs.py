@@ -83,11 +83,13 @@ def stats(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
 
 
 def validate(spark: SparkSession, config: Config) -> DataFrame:
-    """All issues of documents, chunks and, if there are any, terms."""
+    """All issues of documents, chunks and, if there are any, terms; and a report of their numbers."""
     issues = reports.validate_documents(table(spark, config, "documents")).unionByName(reports.validate_chunks(table(spark, config, "chunks")))
     issues = issues.unionByName(reports.validate_entities(files.read_entities(spark, config.artifacts.reads("terms"))))
     sinks.write_table(issues, config.artifacts.writes("issues"))
-    return spark.read.parquet(config.artifacts.writes("issues"))
+    issues = spark.read.parquet(config.artifacts.writes("issues"))
+    sinks.write_report(reports.validation_report(issues), config.artifacts.writes("validation_report"))
+    return issues
 
 
 def build_index(spark: SparkSession, config: Config, resume: bool = True, offset: int = 0, limit: int | None = None, sync: bool = False, files_per_batch: int = 64, tell: Callable[[dict], None] | None = None) -> dict:

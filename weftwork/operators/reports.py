@@ -130,3 +130,12 @@ def validate_entities(terms: DataFrame) -> DataFrame:
 
 def issue_summary(issues: DataFrame) -> DataFrame:
     return histograms(issues, {"severity": F.col("severity"), "kind": F.col("kind")}).select("name", "value", "n")
+
+
+def validation_report(issues: DataFrame, kinds: int = 50) -> DataFrame:
+    """One row: issues, by_severity, and by_kind of the ``kinds`` most frequent, as lists of (value, n), the most frequent first."""
+    counts = top_values(histograms(issues, {"severity": F.col("severity"), "kind": F.col("kind")}), kinds)
+    listed = lambda name: F.array_sort(F.collect_list(F.when(F.col("name") == name, F.struct((-F.col("n")).alias("_by"), "value", "n"))))
+    plain = lambda xs: F.transform(xs, lambda x: F.struct(x["value"], x["n"]))
+    total = F.coalesce(F.sum(F.when(F.col("name") == "severity", F.col("n"))), F.lit(0).cast("long"))
+    return counts.agg(total.alias("issues"), plain(listed("severity")).alias("by_severity"), plain(listed("kind")).alias("by_kind"))

@@ -231,10 +231,10 @@ def further_lists(cosine: np.ndarray, floor: np.ndarray, lists: Lists, size: int
 
 def query_packs(queries: DataFrame, index: Index, choose: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """``queries(row, id, vector, floor)`` packed for every block of the lists that ``choose`` names for them."""
-    sent, size = queries.sparkSession.sparkContext.broadcast(index.lists), index.size
+    sent, size = queries.sparkSession.sparkContext.broadcast(tuple(index.lists)), index.size  # classes in broadcasts go by name
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = sent.value
+        lists = Lists(*sent.value)
         for whole_batch in batches:
             for s in range(0, whole_batch.num_rows, PACK_ROWS):
                 batch = whole_batch.slice(s, PACK_ROWS)

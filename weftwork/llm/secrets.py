@@ -25,14 +25,11 @@ UUID = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f
 PLACEHOLDER = r"(?i)abcdefghij|0123456789|1234567890|example|placeholder|x{6,}"
 JOINTS, JOINED = r"[-_/+=]", r"^(?:[A-Za-z]*|[0-9]{1,8})$"
 
-#: Counts of a window are five bits each, twelve to a long; candidates' characters lie between these codes.
-FIRST_CODE, LAST_CODE, PER_WORD, COUNT_BITS = 43, 122, 12, 5
-COUNT_WORDS = (LAST_CODE - FIRST_CODE) // PER_WORD + 1
 #: c log2 c in whole units, so that sums do not depend on the way they came about.
 UNITS = 1 << 32
 C_LOG_C = [round(c * math.log2(c) * UNITS) if c else 0 for c in range(WINDOW + 2)]
 #: Windows that one pass looks at; a longer candidate is cut into chunks that overlap by a window less one.
-CHUNK = 4096
+CHUNK = 1024
 
 
 def match_spans(text: Column, pattern: str) -> Column:
@@ -62,41 +59,36 @@ RUNS = "array<struct<start:long,end:long>>"
 def high_runs(chunk: Column, at: Column, threshold: float, window: int = WINDOW) -> Column:
     """Runs (start, end) of what a chunk's windows cover whose Shannon entropy reaches the threshold; the chunk is at ``at``.
 
-    One pass: the counts of the window's characters change by the one that enters and the one that leaves, and
-    so does the sum of c log2 c, from which the entropy follows. High windows that overlap or touch are one run.
+    A window differs from the one before it by the character that enters and the one that leaves. How often these two
+    occur in what both windows share says how much the sum of c log2 c grows and shrinks, and from that sum the entropy
+    follows: one running sum over the chunk. High windows that overlap or touch are one run.
     """
     most = math.floor((math.log2(window) - threshold) * window * UNITS + 1)
     grows = F.array(*[F.lit(b - a).cast("long") for a, b in zip(C_LOG_C, C_LOG_C[1:], strict=False)])
-    codes = F.transform(F.split(chunk, ""), lambda c: F.ascii(c) - FIRST_CODE)
-    left = F.slice(F.concat(F.array_repeat(F.lit(-1), window), codes), F.lit(1), F.size(codes))
-    place = lambda x: F.struct(F.floor(x / PER_WORD).cast("int").alias("word"), (F.pmod(x, F.lit(PER_WORD)) * COUNT_BITS).alias("bit"))
-    moves = F.zip_with(codes, left, lambda a, b: F.struct(place(a).alias("enters"), place(b).alias("leaves"), (b >= 0).alias("full"), (a == b).alias("same")))
-    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x["bit"])
-    number = lambda counts, x: F.call_function("shiftright", F.get(counts, x["word"]), x["bit"]).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
     long = lambda n: F.lit(n).cast("long")
-    zero = F.struct(F.array_repeat(long(0), COUNT_WORDS).alias("counts"), long(0).alias("sum"), long(0).alias("n"), long(-1).alias("start"), long(-1).alias("end"), F.array().cast(RUNS).alias("runs"))
-    run = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
+    times = lambda x, shared: F.octet_length(shared) - F.octet_length(F.replace(shared, x, F.lit("")))  # noqa: E731  candidates are ASCII
 
-    def moved(s: Column, x: Column) -> Column:
-        counts = F.transform(s["counts"], lambda c, i: c + F.when(i == x["enters"]["word"], one(x["enters"])).otherwise(long(0)) - F.when(x["full"] & (i == x["leaves"]["word"]), one(x["leaves"])).otherwise(long(0)))
-        gone = F.when(x["full"], F.get(grows, number(s["counts"], x["leaves"]) - 1)).otherwise(long(0))
-        total = s["sum"] + F.get(grows, number(s["counts"], x["enters"])) - gone
-        return F.when(x["same"], F.struct(s["counts"].alias("counts"), s["sum"].alias("sum"))).otherwise(F.struct(counts.alias("counts"), total.alias("sum")))
+    def changes(chars: Column) -> Column:
+        def change(x: Column, i: Column) -> Column:
+            shared = F.substring(chunk, F.greatest(i - (window - 2), F.lit(1)), F.least(i, F.lit(window - 1)))
+            left = F.get(chars, i - window)
+            return let(shared, lambda m: F.get(grows, times(x, m)) - F.when(i >= window, F.get(grows, times(left, m))).otherwise(long(0)))
 
-    def step(s: Column, x: Column) -> Column:
-        n = s["n"] + 1
+        return F.transform(chars, change)
 
-        def told(now: Column) -> Column:
-            high = (n >= window) & (now["sum"] <= most)
-            fresh = high & (n - window > s["end"])
-            return F.struct(
-                now["counts"].alias("counts"), now["sum"].alias("sum"), n.alias("n"), F.when(fresh, n - window).otherwise(s["start"]).alias("start"), F.when(high, n).otherwise(s["end"]).alias("end"),
-                F.when(fresh & (s["end"] >= 0), F.array_append(s["runs"], run(s))).otherwise(s["runs"]).alias("runs"),
-            )
+    zero = F.struct(long(0).alias("sum"), long(0).alias("n"), long(-1).alias("start"), long(-1).alias("end"), F.array().cast(RUNS).alias("runs"))
+    run = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
 
-        return let(moved(s, x), told)
+    def step(s: Column, grown: Column) -> Column:
+        n, total = s["n"] + 1, s["sum"] + grown
+        high = (n >= window) & (total <= most)
+        fresh = high & (n - window > s["end"])
+        return F.struct(
+            total.alias("sum"), n.alias("n"), F.when(fresh, n - window).otherwise(s["start"]).alias("start"), F.when(high, n).otherwise(s["end"]).alias("end"),
+            F.when(fresh & (s["end"] >= 0), F.array_append(s["runs"], run(s))).otherwise(s["runs"]).alias("runs"),
+        )
 
-    found = F.aggregate(moves, zero, step, lambda s: F.when(s["end"] >= 0, F.array_append(s["runs"], run(s))).otherwise(s["runs"]))
+    found = F.aggregate(let(F.split(chunk, ""), changes), zero, step, lambda s: F.when(s["end"] >= 0, F.array_append(s["runs"], run(s))).otherwise(s["runs"]))
     return F.transform(found, lambda r: F.struct((r["start"] + at).alias("start"), (r["end"] + at).alias("end")))
 
 
@@ -114,7 +106,8 @@ def kinded(spans: Column, kind: str) -> Column:
 def entropy_spans(text: Column) -> Column:
     """Spans of kind entropy: of each class's candidates, what high windows cover, unless it is allowed.
 
-    A piece of a candidate is looked at from a window's length on, if it mixes letters and digits.
+    A piece of a candidate is looked at from a window's length on, if it mixes letters and digits. Both classes may give
+    the same span.
     """
 
     def of_class(pattern: str, threshold: float) -> Column:
@@ -126,14 +119,15 @@ def entropy_spans(text: Column) -> Column:
         runs = lambda s: F.flatten(F.transform(chunks(s), lambda c, i: high_runs(c, s["start"] + i * CHUNK, threshold)))
         return F.flatten(F.transform(mixed, lambda s: let(runs(s), merged)))
 
-    return F.array_distinct(F.concat(*[of_class(pattern, threshold) for _, pattern, threshold in CLASSES]))
+    return F.concat(*[of_class(pattern, threshold) for _, pattern, threshold in CLASSES])
 
 
 def secret_spans(text: Column) -> Column:
     """All spans of a text as (start, order, end, kind), by start and then by kind as listed in ``KINDS``."""
     assign = F.filter(match_spans(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["text"], ASSIGN, 2)) >= MIN_ASSIGNED)
     access = F.filter(match_spans(text, ACCESS), lambda s: F.length(s["text"]) >= MIN_ACCESS)
-    return F.array_sort(F.concat(kinded(assign, "assign"), kinded(access, "access"), kinded(match_spans(text, HEX), "hex"), kinded(entropy_spans(text), "entropy")))
+    every = F.array_sort(F.concat(kinded(assign, "assign"), kinded(access, "access"), kinded(match_spans(text, HEX), "hex"), kinded(entropy_spans(text), "entropy")))
+    return let(every, lambda xs: F.filter(xs, lambda x, i: (i == 0) | (x != F.get(xs, i - 1))))  # equal ones are next to each other
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

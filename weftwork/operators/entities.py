@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions.text import acronym, any_of, casefold, context_window, entity_key, first_filled, normalize_term, page_tail, singular_key
+from weftwork.storage import joinable, materialized
 from weftwork.vocab import GENERIC_SUFFIXES, Vocabulary
 
 MAX_TEXT_CHARS = 3500
@@ -132,9 +133,9 @@ def document_index(docs: DataFrame) -> DataFrame:
     rows = docs.filter(F.coalesce(page, F.lit("")) != "").select("page_id", first_filled(F.col("title"), page_tail(page)).alias("title"), "ordinal")
     title = canonical_text(F.col("title"))
     tail = F.replace(F.regexp_extract(page, "([^/]*)$", 1), F.lit("_"), F.lit(" "))
-    keys = F.array_compact(
-        F.array(entity_key(title), singular_key(entity_key(title)), entity_key(tail), singular_key(entity_key(tail)), entity_key(F.replace(page, F.lit("/"), F.lit(" "))), entity_key(acronym(title)))
-    )
+    rows = rows.withColumn("_canonical", title)
+    rows = rows.withColumn("_title", entity_key(F.col("_canonical"))).withColumn("_tail", entity_key(tail))  # each once a page
+    keys = F.array_compact(F.array(F.col("_title"), singular_key(F.col("_title")), F.col("_tail"), singular_key(F.col("_tail")), entity_key(F.replace(page, F.lit("/"), F.lit(" "))), entity_key(acronym(F.col("_canonical")))))
     return rows.select(F.explode(F.array_distinct(F.filter(keys, lambda k: k != ""))).alias("key"), "page_id", "title", "ordinal")
 
 
@@ -150,14 +151,18 @@ def resolve_targets(rows: DataFrame, index: DataFrame, vocab: Vocabulary = Vocab
 
     The first rule that gives a page wins: a manual alias, the source's own title, the key, its singular (one
     page; of several the source's own, else the first), the source's path tail. Each rule is a left join on
-    keys that are unique, so no row multiplies.
+    keys that are unique, so no row multiplies; of the keys' pages only those of keys that rows have are counted.
+    Sides of joins are counted before any is broadcast.
     """
     spark = rows.sparkSession
-    pages = index.groupBy("page_id").agg(F.min_by("title", "ordinal").alias("title"))
-    by_key = index.groupBy("key").agg(F.count_distinct("page_id").alias("n"), F.min_by("page_id", "ordinal").alias("first_page"))
-    own_keys = index.select("key", F.col("page_id").alias("own_page")).distinct()
-    key = entity_key(F.col("name"))
-    out = rows.withColumn("_key", key).withColumn("_single", singular_key(key))
+    index = materialized(index)
+    pages = joinable(index.groupBy("page_id").agg(F.min_by("title", "ordinal").alias("title")))
+    out = rows.withColumn("_key", entity_key(F.col("name")))
+    out = materialized(out.withColumn("_single", singular_key(F.col("_key"))))
+    wanted = joinable(out.select(F.explode(F.array("_key", "_single")).alias("key")).distinct())
+    asked = index.join(wanted, "key", "left_semi")
+    by_key = joinable(asked.groupBy("key").agg(F.count_distinct("page_id").alias("n"), F.min_by("page_id", "ordinal").alias("first_page")))
+    own_keys = joinable(asked.select("key", F.col("page_id").alias("own_page")).distinct())
     own = pages.select(F.col("page_id").alias("document_id"), F.col("title").alias("_own_title"))
     out = out.join(own, "document_id", "left")
     manual = [F.struct(F.lit(k).alias("_key"), F.lit(v).alias("_manual")) for k, v in vocab.manual_targets.items()]

@@ -142,7 +142,8 @@ def key_cascade(spark: SparkSession, d: str) -> DataFrame:
     )
     index = entities.document_index(pages)
     asked = nation.select(F.lower("n_name").alias("name"), F.lit("Region/ASIA").alias("document_id")).union(part.select("p_name", F.concat(F.lit("Part/"), F.col("p_partkey").cast("string")))).union(part.select(F.concat("p_type", F.lit("s")), F.lit("")))
-    return entities.resolve_targets(asked, index).groupBy("name", "document_id", "target_page_id", "target_title", "link_reason").agg(F.count(F.lit(1)).alias("n"))
+    asked = asked.groupBy("name", "document_id").agg(F.count(F.lit(1)).alias("times"))  # parts of one type ask the same
+    return entities.resolve_targets(asked, index).groupBy("name", "document_id", "target_page_id", "target_title", "link_reason").agg(F.sum("times").alias("n"))
 
 
 _ENTITY_KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9!+]+', ' ', 'g'))"

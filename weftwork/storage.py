@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows, short ones, of a table that may go to all executors.
+FEW = 100_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -24,3 +28,12 @@ def materialized(df: DataFrame) -> DataFrame:
     """``df``, written to the shared folder now; what reads it never computes it again."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint()
+
+
+def joinable(df: DataFrame, few: int | None = None) -> DataFrame:
+    """``df``, written and counted, for the right side of a join: broadcast if it has few rows, else never.
+
+    Spark's own estimate goes by the compressed size of the files, and does not know what explode() makes of them.
+    """
+    df = materialized(df)
+    return F.broadcast(df) if df.count() <= (FEW if few is None else few) else df.hint("merge")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions.text import acronym, blank, brand_variants, casefold, links_to_target, normalize_term, plural_alias, useful_term
+from weftwork.storage import materialized
 from weftwork.vocab import Vocabulary
 
 LAYOUT_PARTS = ("database", "wiki", "news", "en.md")
@@ -13,7 +14,11 @@ MAX_SOURCES = 20
 
 
 def add_terms(named: DataFrame, brand: str = "") -> DataFrame:
-    """``named(raw, source, hint)`` as (canonical, alias, source): the alias, its spellings, its plural and its acronym."""
+    """``named(raw, source, hint)`` as (canonical, alias, source): the alias, its spellings, its plural and its acronym.
+
+    What is named more than once is one row before its spellings are made.
+    """
+    named = named.select("raw", "source", "hint").distinct()
     alias = normalize_term(F.col("raw"))
     rows = named.select(alias.alias("alias"), F.coalesce(F.nullif(normalize_term(F.col("hint")), F.lit("")), alias).alias("canonical"), "source").filter("alias <> '' and canonical <> ''")
     every = F.array_compact(F.concat(F.array("alias", plural_alias(F.col("alias")), acronym(F.col("alias"))), brand_variants(F.col("alias"), brand)))
@@ -26,7 +31,7 @@ def merge_terms(aliases: DataFrame) -> DataFrame:
     Aliases and sources are made distinct per key before they are collected. Useless aliases go, and terms
     whose name is useless or that keep no alias.
     """
-    keyed = aliases.withColumn("key", casefold(F.col("canonical")))
+    keyed = materialized(aliases.withColumn("key", casefold(F.col("canonical"))))  # read three times
     names = keyed.groupBy("key").agg(F.min("canonical").alias("canonical"))
     spelled = keyed.select("key", "alias").union(keyed.select("key", F.col("canonical").alias("alias"))).distinct().filter(useful_term(F.col("alias")))
     by_name = lambda a, b: F.when(F.lower(a) < F.lower(b), -1).when(F.lower(a) > F.lower(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)

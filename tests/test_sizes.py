@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from weftwork import storage
-from weftwork.operators import entities, terms
+from weftwork.operators import entities, retrieval, terms
+from weftwork.operators.vectors import largest_products
 
 
 def test_named_twice_is_one_row(spark):
@@ -19,3 +20,16 @@ def test_large_sides_are_not_broadcast(spark, monkeypatch):
     made = entities.resolve_targets(asked, entities.document_index(pages))
     assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in made.collect()} == few and ("ring", "Part/3", "Part/3", "Ring", "source_title") in few
+
+
+def test_dense_scores_meet_in_blocks(spark, monkeypatch):
+    rows = [(i, [float(i % 7), float(i % 3), 1.0]) for i in range(60)] + [(100 + i, [5.0, 1.0, 1.0]) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    asked = spark.createDataFrame([(q, [float(q), 1.0, 0.5]) for q in range(-3, 4)], "query_id long, query_embedding array<float>")
+    plain = {(q["query_id"], i) for q in asked.collect() for _, i in sorted((-sum(a * b for a, b in zip(v, q["query_embedding"], strict=True)), i) for i, v in rows)[:5]}
+    made = retrieval.dense_scores(asked, vectors, 5)
+    assert {(r["query_id"], r["chunk_id"]) for r in made.collect()} == plain
+    assert {(r["query_id"], r["chunk_id"]) for r in largest_products(asked, vectors, 5, block_rows=9).collect()} == plain
+    assert "CartesianProduct" not in (plan := made._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    odd = vectors.limit(3).union(spark.createDataFrame([(999, None)], vectors.schema))
+    assert len(retrieval.dense_scores(asked, odd, 4).filter("chunk_id = 999 and dense_score is null").collect()) == 7

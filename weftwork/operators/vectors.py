@@ -29,6 +29,8 @@ ROUNDS = 8
 SEED = 42
 #: Bytes of one block's vectors, in single precision, about.
 BLOCK_BYTES = 4 << 20
+#: Vectors that meet all queries at a time, by brute force.
+BLOCK_ROWS = 4096
 #: Vectors, or queries, that travel in one row, at most.
 PACK_ROWS = 512
 #: Lists that every query looks into.
@@ -386,3 +388,60 @@ def nearest_to(queries: DataFrame, vectors: DataFrame, k: int, missed: float = M
     found = searched(build_index(rows, size, n, max_lists), own, k, scan_all, missed, first)
     found = found.join(named.select(F.col("_id").alias("id"), "chunk_id"), "id").join(asked.select(F.col("_id").alias("query_id"), F.col("query_id").alias("_name")), "query_id")
     return found.select(F.col("_name").alias("query_id"), "chunk_id", "rank", "score")
+
+
+def best_products(queries: np.ndarray, block: np.ndarray, k: int) -> Pairs:
+    """The k largest inner products of each query with the block's vectors; of equal ones those that come first.
+
+    A product of matrices finds what may be among them, its error being bounded by the vectors' sizes; scores are sums over the
+    components in order.
+    """
+    near, size = queries @ block.T, queries.shape[1]
+    slack = 1e-15 * size**2 * np.abs(queries).max(initial=0.0) * np.abs(block).max(initial=0.0)
+    least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if k < near.shape[1] else np.full(len(near), -np.inf)
+    q, v = np.nonzero(near >= least[:, None] - slack)
+    score = np.zeros(len(q))
+    for d in range(size):
+        score += queries[q, d] * block[v, d]
+    order = np.lexsort((v, -score, q))
+    q, v, score = q[order], v[order], score[order]
+    start = np.searchsorted(q, q)
+    kept = np.arange(len(q)) - start < k
+    return q[kept], v[kept], score[kept]
+
+
+def largest_products(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, chunk_id, score of the k of ``vectors(chunk_id, embedding)`` with the largest inner product, by brute force.
+
+    All vectors meet all of ``queries(query_id, query_embedding)``: vectors are dealt into blocks, in each by id, and queries go to every
+    block, after it; a task holds one block and some queries. Ties go to the smaller chunk_id. Vectors must be finite and of one size.
+    """
+    size = queries.select(F.size("query_embedding")).first()[0]
+    blocks = max(1, -(-vectors.count() // block_rows))
+    vector = lambda c: F.col(c).cast("array<double>").alias("vector")
+    none = lambda c, rows: F.lit(None).cast(rows.schema[c].dataType).alias(c)
+    dealt = vectors.select(F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"), none("query_id", queries), "chunk_id", vector("embedding"))
+    everywhere = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), "query_id", none("chunk_id", vectors), vector("query_embedding"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, parts, ids, own = None, [], None, None
+        for batch in batches:
+            place = batch.column("block").to_numpy() * 2 + batch.column("side").to_numpy()
+            cuts = np.flatnonzero(np.append(True, np.diff(place) != 0)) if len(place) else np.empty(0, np.int64)
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(place)], strict=False):
+                if place[a] // 2 != name:
+                    name, parts, own = place[a] // 2, [], None
+                if place[a] % 2 == 0:
+                    parts.append(batch.slice(a, b - a))
+                    continue
+                if own is None and parts:
+                    ids, own, parts = pa.concat_arrays([p.column("chunk_id") for p in parts]), np.concatenate([matrix(p.column("vector"), size) for p in parts]), []
+                for s in range(a, b, PACK_ROWS) if own is not None else ():
+                    some = batch.slice(s, min(PACK_ROWS, b - s))
+                    q, v, score = best_products(matrix(some.column("vector"), size), own, k)
+                    yield pa.RecordBatch.from_arrays([some.column("query_id").take(pa.array(q)), ids.take(pa.array(v)), pa.array(score)], ["query_id", "chunk_id", "score"])
+
+    both = dealt.unionByName(everywhere).repartition(blocks, "block").sortWithinPartitions("block", "side", "chunk_id")
+    found = both.mapInArrow(meet, T.StructType([queries.schema["query_id"], vectors.schema["chunk_id"], T.StructField("score", T.DoubleType())]))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from weftwork import storage
-from weftwork.operators import entities, retrieval, terms
+from weftwork.operators import entities, maxscore, retrieval, terms
 from weftwork.operators.vectors import largest_products
 
 
@@ -33,3 +36,19 @@ def test_dense_scores_meet_in_blocks(spark, monkeypatch):
     assert "CartesianProduct" not in (plan := made._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
     odd = vectors.limit(3).union(spark.createDataFrame([(999, None)], vectors.schema))
     assert len(retrieval.dense_scores(asked, odd, 4).filter("chunk_id = 999 and dense_score is null").collect()) == 7
+
+
+def test_overlaps_need_no_shuffle(spark):
+    rows = spark.createDataFrame([(1, "ring ring key"), (2, "key"), (2, "ring"), (None, "key key"), (3, None)], "id long, text string")
+    asked = spark.createDataFrame([(7, "ring", 2), (7, "key", 1), (8, "key", 5), (9, "none", 1), (9, None, 1)], "query_id long, term string, n long")
+    made = retrieval.overlap(asked, rows, "id", F.col("text"))
+    assert {tuple(r) for r in made.collect()} == {(7, 1, 3), (8, 1, 1), (7, 2, 2), (8, 2, 1), (7, None, 1), (8, None, 2)}
+    once = retrieval.overlap(asked, rows.filter("id <> 2"), "id", F.col("text"))
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString() and once.count() == 2
+    assert {tuple(r) for r in maxscore.overlaps(asked, maxscore.term_bags(rows.filter("id <> 2"), "id", F.col("text")), "id", query_terms=2).collect()} == {(7, 1, 3), (8, 1, 1)}
+
+
+def test_bags_come_in_small_batches(spark):
+    seen = maxscore.term_bags(spark.range(3000).selectExpr("id", "'a ring' as text").coalesce(1), "id", F.col("text"))
+    sizes = [r["n"] for r in seen.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in maxscore.sliced(bs)), "n long").collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= maxscore.SLICE

@@ -26,7 +26,7 @@ TERM_COUNTS = f"SELECT term, sum(n)::BIGINT AS n, count(*) AS n_docs FROM (SELEC
 def overlap_scores(spark: SparkSession, d: str) -> DataFrame:
     asked = questions(table(spark, d, "benchmark"))
     bags = retrieval.term_counts(asked, "query_id", F.col("query"))
-    over = retrieval.overlap(bags, retrieval.term_counts(table(spark, d, "documents"), "doc_id", F.col("text")), "doc_id")
+    over = retrieval.overlap(bags, table(spark, d, "documents"), "doc_id", F.col("text"), TOP)
     best = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "doc_id")
     return over.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= TOP)
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftwork import storage
-from weftwork.operators import entities, maxscore, retrieval, terms
+from weftwork.operators import entities, maxscore, retrieval, structure, terms
 from weftwork.operators.vectors import largest_products
 
 
@@ -52,3 +52,12 @@ def test_bags_come_in_small_batches(spark):
     seen = maxscore.term_bags(spark.range(3000).selectExpr("id", "'a ring' as text").coalesce(1), "id", F.col("text"))
     sizes = [r["n"] for r in seen.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in maxscore.sliced(bs)), "n long").collect()]
     assert sum(sizes) == 3000 and max(sizes) <= maxscore.SLICE
+
+
+def test_pages_are_dealt_by_their_characters(spark, monkeypatch):
+    monkeypatch.setattr(structure, "TASK_CHARS", 1000)
+    pages = spark.range(100).selectExpr("concat('p/', id) as rel_path", "concat('# a', repeat('\\nline', 40)) as body")
+    lines = structure.section_lines(structure.page_lines(pages))
+    assert lines.rdd.getNumPartitions() == 21 and lines.count() == 4100
+    plan = lines._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -17,12 +17,19 @@ from weftwork.storage import materialized
 from weftwork.vocab import Vocabulary
 
 KEY = "rel_path"
+#: Characters of the pages that one task takes apart at a time, about; its lines are sorted several times over.
+TASK_CHARS = 1 << 21
 NEWS_NAME = r"^(\d{4})-(\d{2})-(\d{2})-(.+)$"
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """``pages(rel_path, body)`` as lines: n from 1, line, whether it is a fence, and whether it stands in one."""
-    lines = pages.select(KEY, F.posexplode(F.split("body", md.LINE_END)).alias("at", "line")).select(KEY, (F.col("at") + 1).alias("n"), "line")
+    """``pages(rel_path, body)`` as lines: n from 1, line, whether it is a fence, and whether it stands in one.
+
+    Pages are dealt before they become lines, into as many tasks as their characters ask for; lines are not shuffled.
+    """
+    chars = pages.agg(F.sum(F.length("body"))).first()[0] or 0
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, -(-chars // TASK_CHARS))
+    lines = pages.repartition(tasks, KEY).select(KEY, F.posexplode(F.split("body", md.LINE_END)).alias("at", "line")).select(KEY, (F.col("at") + 1).alias("n"), "line")
     last = F.max("n").over(Window.partitionBy(KEY))
     lines = lines.withColumn("_last", last).filter("not (n = _last and line = '' and n > 1)").drop("_last")
     fence = strip(F.col("line")).startswith("```")

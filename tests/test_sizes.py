@@ -82,3 +82,14 @@ def test_search_writes_neither_texts_nor_pairs(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUESTIONS", 2)
     assert shown(retrieval.search(asked, chunks, docs, dense=near, vocab=vocab)) == expected[1]
     assert shown(retrieval.search(asked, chunks.union(chunks.limit(1)), docs)) == shown(retrieval.joined_search(asked, chunks.union(chunks.limit(1)), docs))
+
+
+def test_matches_are_counted_where_they_lie(spark):
+    _, chunks = page(spark, ("A", "A ring", "help", "x"), ("A/B", "B key", "general", "y"), *[(f"E/{i}", "Same", "general", "z") for i in range(30)])
+    asked = ask(spark, "ring", "section key", "same section", "zzz", "")
+    shown = lambda df: sorted(map(tuple, df.collect()))
+    plain = lambda rows: shown(retrieval.keyword_candidates(asked, retrieval.postings(rows)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_id").alias("first_chunk")))
+    made = retrieval.keyword_matches(asked, chunks)
+    assert shown(made) == plain(chunks) and len(plain(chunks)) == 3
+    assert made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+    assert shown(retrieval.keyword_matches(asked, chunks.union(chunks.limit(5)))) == plain(chunks)

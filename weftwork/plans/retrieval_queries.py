@@ -72,9 +72,7 @@ INTENT_TOKENS = "lower(unnest(regexp_extract_all(coalesce({text}, ''), '[A-Za-z0
 
 
 def postings_candidates(spark: SparkSession, d: str) -> DataFrame:
-    index = retrieval.postings(chunks_of(table(spark, d, "documents")))
-    found = retrieval.keyword_candidates(questions(table(spark, d, "benchmark")), index)
-    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
+    return retrieval.keyword_matches(questions(table(spark, d, "benchmark")), chunks_of(table(spark, d, "documents")))
 
 
 def document_scores(spark: SparkSession, d: str) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftwork.operators import mentions
+from weftwork import storage
+from weftwork.operators import maxscore, mentions
 
 NAMES = ["Ring", "ring bearer", "++", "a", "é", "STRASSE", "straße", "", None, "ring", "the ring", "x" * 300]
 TEXTS = ["The ring-bearer's ring; Ring bearer", None, "", "strasse a ++a++ É", "x" * 300 + " " + "x" * 301, "\U0001f600 a \U0001f600 ring", "String rings"]
@@ -50,3 +52,12 @@ def test_places(names, text):
     known = sorted(names)
     got = {(0, known[i], start, n) for i, (start, n) in mentions.places(mentions.automaton_of(known), text).items()}
     assert got == plain(known, [text])
+
+
+def test_matches_of_a_batch_come_in_slices(spark):
+    texts = pa.RecordBatch.from_pydict({"id": list(range(1000)), "text": ["a ring and a key, ring"] * 1000})
+    known = ["ring", "key", "a"]
+    made = list(mentions.found_in([texts], mentions.automaton_of(known), known))
+    assert sum(b.num_rows for b in made) == 3000 and max(b.num_rows for b in made) <= 3 * maxscore.SLICE
+    mentions.mentions(spark.createDataFrame([(1, "a")], "id long, text string"), spark.createDataFrame([("a",)], "name string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= storage.BATCH_BYTES

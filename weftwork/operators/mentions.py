@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftwork.functions.text import casefold
-from weftwork.storage import materialized
+from weftwork.operators.maxscore import sliced
+from weftwork.storage import materialized, small_batches
 
 #: Characters of the names of one automaton, about; a trie takes some fifty bytes for each.
 NAME_CHARS = 4 << 20
@@ -47,6 +48,15 @@ def places(automaton: ahocorasick.Automaton, text: str) -> dict[int, list[int]]:
     return out
 
 
+def found_in(batches: Iterator[pa.RecordBatch], automaton: ahocorasick.Automaton, known: list[str]) -> Iterator[pa.RecordBatch]:
+    """id, name, start, n of the names in the texts of ``batches(id, text)``, a slice at a time: a batch of texts has very many."""
+    for batch in sliced(batches):
+        found = [(row, i, start, n) for row, text in enumerate(batch.column("text")) for i, (start, n) in places(automaton, text.as_py()).items()]
+        rows, numbers, starts, counts = zip(*found, strict=True) if found else ((), (), (), ())
+        columns = [batch.column("id").take(pa.array(rows, pa.int64())), pa.array([known[i] for i in numbers], pa.string()), pa.array(starts, pa.int32()), pa.array(counts, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "name", "start", "n"])
+
+
 def mentions(texts: DataFrame, names: DataFrame, id_col: str = "id", text_col: str = "text", name_chars: int = NAME_CHARS) -> DataFrame:
     """id, name, start, n: the first place (from 0) and the number of places of each name that stands alone in a text.
 
@@ -57,6 +67,7 @@ def mentions(texts: DataFrame, names: DataFrame, id_col: str = "id", text_col: s
     folded = materialized(names.select(casefold(F.col("name")).alias("name")).filter("name <> ''").distinct())
     chars = folded.agg(F.sum(F.length("name"))).first()[0] or 0
     parts = max(1, -(-chars // name_chars))
+    small_batches(texts.sparkSession)
     given = texts.select(F.col(id_col).alias("id"), casefold(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     schema = T.StructType([given.schema["id"], T.StructField("name", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.LongType())])
     out = None
@@ -68,12 +79,7 @@ def mentions(texts: DataFrame, names: DataFrame, id_col: str = "id", text_col: s
             known = sent.value
             if not known:
                 return
-            automaton = automaton_of(known)
-            for batch in batches:
-                found = [(row, i, start, n) for row, text in enumerate(batch.column("text")) for i, (start, n) in places(automaton, text.as_py()).items()]
-                rows, numbers, starts, counts = zip(*found, strict=True) if found else ((), (), (), ())
-                columns = [batch.column("id").take(pa.array(rows, pa.int64())), pa.array([known[i] for i in numbers], pa.string()), pa.array(starts, pa.int32()), pa.array(counts, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "name", "start", "n"])
+            yield from found_in(batches, automaton_of(known), known)
 
         found = given.mapInArrow(look, schema)
         out = found if out is None else out.unionByName(found)

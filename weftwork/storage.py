@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows, short ones, of a table that may go to all executors.
 FEW = 100_000
+#: Bytes of one Arrow batch of texts: a number of rows alone bounds nothing.
+BATCH_BYTES = 4 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -30,6 +32,11 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Python workers get few texts at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def joinable(df: DataFrame, few: int | None = None) -> DataFrame:
     """``df``, written and counted, for the right side of a join: broadcast if it has few rows, else never.
 

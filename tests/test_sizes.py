@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftwork import storage
-from weftwork.operators import entities, maxscore, retrieval, structure, terms
+from weftwork.operators import entities, extraction, maxscore, retrieval, structure, terms
 from weftwork.operators.vectors import largest_products
 from weftwork.vocab import Vocabulary
 
@@ -93,3 +93,11 @@ def test_matches_are_counted_where_they_lie(spark):
     assert shown(made) == plain(chunks) and len(plain(chunks)) == 3
     assert made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
     assert shown(retrieval.keyword_matches(asked, chunks.union(chunks.limit(5)))) == plain(chunks)
+
+
+def test_extraction_takes_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    extraction.register(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == storage.BATCH_BYTES
+    spark.createDataFrame([("1", "1", "The ring the"), ("2", "2", None)], "document_id string, chunk_id string, text string").createOrReplaceTempView("small_texts")
+    assert [tuple(r) for r in spark.sql("SELECT document_id, text, start FROM extract_entities(TABLE(small_texts), map('the', 'article')) ORDER BY start").collect()] == [("1", "The", 0), ("1", "the", 9)]

@@ -13,6 +13,7 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 from weftwork.operators.entities import create_extractor
+from weftwork.storage import small_batches
 
 COLUMNS = ("document_id", "chunk_id", "text")
 MENTIONS = T.StructType().add("document_id", "string").add("chunk_id", "string").add("at", "integer").add("text", "string").add("label", "string").add("score", "double").add("start", "integer").add("end", "integer")
@@ -47,7 +48,8 @@ class ExtractEntities:
 
 
 def register(spark: SparkSession, name: str = "extract_entities") -> None:
-    """Make the function known to the session's SQL; its rows come in Arrow batches."""
+    """Make the function known to the session's SQL; its rows come in small Arrow batches."""
+    small_batches(spark)
     spark.udtf.register(name, udtf(ExtractEntities, useArrow=True))
 
 

@@ -101,3 +101,18 @@ def test_extraction_takes_small_batches(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == storage.BATCH_BYTES
     spark.createDataFrame([("1", "1", "The ring the"), ("2", "2", None)], "document_id string, chunk_id string, text string").createOrReplaceTempView("small_texts")
     assert [tuple(r) for r in spark.sql("SELECT document_id, text, start FROM extract_entities(TABLE(small_texts), map('the', 'article')) ORDER BY start").collect()] == [("1", "The", 0), ("1", "the", 9)]
+
+
+def test_lines_are_made_and_sorted_once(spark, monkeypatch):
+    made, make = [], structure.page_lines
+    monkeypatch.setattr(structure, "page_lines", lambda pages: made.append(F.monotonically_increasing_id()) or make(pages))
+    table = "\n| a | b |\n|---|---|\n| 1 | 2 |\n"
+    files = spark.createDataFrame([("p/en.md", f"# T{table}{table}\ntext[^n]\n\n## U{table}\n[^n]: note\n"), ("q/en.md", f"x{table}y")], "rel_path string, text string")
+    lines = structure.section_lines(make(files.select("rel_path", F.col("text").alias("body"))))
+    marked = structure.table_marks(structure.content_lines(lines))
+    plan = marked._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Sort [") <= 3
+    numbers = {(r["rel_path"], r["section"], r["table"]) for r in marked.filter("start is not null").collect()}
+    assert numbers == {("p/en.md", 1, 1), ("p/en.md", 1, 2), ("p/en.md", 2, 1), ("q/en.md", 0, 1)}
+    docs = {r["page_id"]: (r["section_count"], r["table_count"], r["citation_count"]) for r in structure.parse_pages(files).collect()}
+    assert docs == {"p": (2, 3, 1), "q": (1, 1, 0)} and made and len(made) == 1

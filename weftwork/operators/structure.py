@@ -30,7 +30,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
     chars = pages.agg(F.sum(F.length("body"))).first()[0] or 0
     tasks = max(pages.sparkSession.sparkContext.defaultParallelism, -(-chars // TASK_CHARS))
     lines = pages.repartition(tasks, KEY).select(KEY, F.posexplode(F.split("body", md.LINE_END)).alias("at", "line")).select(KEY, (F.col("at") + 1).alias("n"), "line")
-    last = F.max("n").over(Window.partitionBy(KEY))
+    last = F.max("n").over(Window.partitionBy(KEY).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # in the order that the rest takes too
     lines = lines.withColumn("_last", last).filter("not (n = _last and line = '' and n > 1)").drop("_last")
     fence = strip(F.col("line")).startswith("```")
     so_far = Window.partitionBy(KEY).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -116,17 +116,17 @@ def table_marks(own: DataFrame) -> DataFrame:
     A table is a header line, a separator and rows; it ends before the first line that is no row. A header
     among the rows of a table opens none.
     """
-    order = Window.partitionBy(KEY, "section").orderBy("m")
+    order = Window.partitionBy(KEY, "section").orderBy("n")  # as content_lines() leaves them, and m goes with n
     free = ~F.col("fenced")
     row = free & md.is_row(F.col("line"))
     flags = own.withColumn("row", row).withColumn("sep", free & md.is_separator(F.col("line")))
     flags = flags.withColumn("opens", free & F.contains("line", F.lit("|")) & F.coalesce(F.lead("sep", 1).over(order), F.lit(False)) & F.coalesce(F.lead("row", 2).over(order), F.lit(False)))
     run = F.sum((~(F.col("row") | F.col("opens"))).cast("int")).over(order)
     flags = flags.withColumn("run", run)
-    in_run = Window.partitionBy(KEY, "section", "run").orderBy("m")
+    in_run = Window.partitionBy(KEY, "section", "run").orderBy("n")
     flags = flags.withColumn("start", F.min(F.when(F.col("opens"), F.col("m"))).over(in_run))
     inside = F.col("start").isNotNull() & (F.col("row") | F.col("opens")) & (F.col("m") >= F.col("start"))
-    return flags.withColumn("start", F.when(inside, F.col("start"))).withColumn("table", F.dense_rank().over(Window.partitionBy(KEY, "section").orderBy(F.col("start").asc_nulls_last())))
+    return flags.withColumn("start", F.when(inside, F.col("start"))).withColumn("table", F.when(F.col("start").isNotNull(), F.sum(F.coalesce(F.col("start") == F.col("m"), F.lit(False)).cast("int")).over(Window.partitionBy(KEY, "section").orderBy("run", "n"))))
 
 
 def section_tables(marked: DataFrame) -> DataFrame:
@@ -223,9 +223,8 @@ def parse_pages(files: DataFrame, vocab: Vocabulary = Vocabulary(), lang: str =
     news = F.col(KEY).startswith("news/")
     page_id = F.when(news, F.regexp_replace(KEY, r"\.md$", "")).otherwise(F.regexp_replace(KEY, rf"(?:/|^){lang}\.md$", ""))
     pages = materialized(files.select(KEY, "text", entries.alias("matter"), md.body_of(F.col("text")).alias("body"), page_id.alias("page_id"), news.alias("is_news")))
-    lines = page_lines(pages)
-    definitions = materialized(link_definitions(lines))
-    numbered = materialized(section_lines(lines))
+    numbered = materialized(section_lines(page_lines(pages)))
+    definitions = materialized(link_definitions(numbered))
     heads = section_heads(numbered)
     marked = materialized(table_marks(content_lines(numbered)))
     tables = section_tables(marked)
@@ -261,7 +260,7 @@ def parse_pages(files: DataFrame, vocab: Vocabulary = Vocabulary(), lang: str =
     edge = F.struct("section", "nth", *[c for c in edges.columns if c not in (KEY, "section", "nth")])
     edge_lists = edges.groupBy(KEY).agg(F.array_sort(F.collect_list(edge), lambda a, b: F.when(a["section"] != b["section"], a["section"] - b["section"]).otherwise(a["nth"] - b["nth"]).cast("int")).alias("link_edges"))
     usage = refs.groupBy(KEY, "citation_id").agg(F.array_sort(F.collect_set("section_id")).alias("referenced_in_sections"))
-    cited = footnote_definitions(lines).join(usage, [KEY, "citation_id"], "full").select(
+    cited = footnote_definitions(numbered).join(usage, [KEY, "citation_id"], "full").select(
         KEY, F.struct(F.coalesce("line", F.lit(1 << 30)).alias("line"), "citation_id", md.markdown_to_text(F.coalesce("raw_text", F.lit(""))).alias("text"), F.coalesce("raw_text", F.lit("")).alias("raw_text"), F.col("line").alias("defined_at_line"), F.col("line").isNull().alias("missing_definition"), empty("referenced_in_sections", "array<string>").alias("referenced_in_sections")).alias("c")
     )
     cite_lists = cited.groupBy(KEY).agg(F.array_sort(F.collect_list("c")).alias("citations"))
